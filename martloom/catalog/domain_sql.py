@@ -46,7 +46,7 @@ valid_orders AS (SELECT * FROM d_orders WHERE order_status <> 'Voided')"""
 _ITEMS = """
 d_items AS (
   SELECT l_orderkey * 10 + l_linenumber AS source_order_item_id, l_orderkey AS source_order_id,
-    item AS source_menu_item_id, qty AS quantity,
+    item AS source_menu_item_id, shipped AS created_at, qty AS quantity,
     CAST(price / 100.0 AS DECIMAL(18,2)) AS unit_price_at_sale,
     CAST(cost / 100.0 AS DECIMAL(18,2)) AS unit_cost_at_sale,
     CAST(disc / 100.0 AS DECIMAL(18,2)) AS line_discount,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from martloom.catalog import mart_sql as m
 from martloom.catalog.domain_sql import with_domain
+from martloom.catalog.quality_sql import quality_oracles
 from martloom.catalog.queries import SPLITS
 
 _SPLITS = (SPLITS.train_end, SPLITS.validation_end, SPLITS.test_end)
@@ -37,4 +38,4 @@ def mart_oracles() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
-    return mart_oracles()
+    return {**mart_oracles(), **quality_oracles()}

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
 from martloom.config import DemandRules, SplitDates
+from martloom.functions import dates
+from martloom.functions.numeric import fixed, money_sum
+from martloom.operators import joins, profile, quarantine
 from martloom.plans import anomalies, basket, customers, demand, menu, operations, pricing, waste
 from martloom.session import tune
 from martloom.sources.snapshot import Snapshot
@@ -84,5 +87,164 @@ MARTS: dict[str, Query] = {
 }
 
 
+LAST_YEAR = 2000
+"""The star tables end in 2001, so rows after this year play the future timestamps."""
+
+
+def _orphan_check(snap: Snapshot) -> DataFrame:
+    """Lines against counted orders only, so that lines of other orders show as orphans."""
+    counted = joins.counted_orders(snap.orders)
+    return profile.foreign_key(
+        snap.order_items, "source_order_id", counted, "source_order_id", "items_to_counted_orders"
+    )
+
+
+def _totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("quantity").alias("units"),
+        money_sum("line_net_revenue").alias("net_revenue"),
+    )
+
+
+def _order_lines(snap: Snapshot) -> DataFrame:
+    lines = joins.order_lines(
+        snap.orders, snap.order_items, snap.menu_items, snap.menu_categories, snap.promotions
+    )
+    return _totals(lines, ["category_name", "campaign_name", "order_channel", "order_status"])
+
+
+def _routed(snap: Snapshot) -> DataFrame:
+    dish, raw = joins.route_wastage(snap.wastage, snap.menu_items, snap.inventory)
+    total = [
+        F.count(F.lit(1)).alias("row_count"),
+        money_sum("cost_loss_amount").alias("cost"),
+    ]
+    dishes = dish.groupBy(F.col("source_category_id").alias("kind")).agg(*total)
+    raws = raw.groupBy(
+        F.coalesce("ingredient_category", F.lit("unknown")).alias("kind")
+    ).agg(*total)
+    return dishes.withColumn("path", F.lit("dish")).unionByName(
+        raws.withColumn("path", F.lit("raw"))
+    )
+
+
+def _valid_orders(snap: Snapshot) -> DataFrame:
+    return (
+        joins.counted_orders(snap.orders)
+        .withColumn("order_month", dates.month_start("order_timestamp"))
+        .groupBy("order_status", "order_month", dates.is_weekend("order_timestamp").alias("weekend"))
+        .agg(F.count(F.lit(1)).alias("orders"), money_sum("total_amount").alias("revenue"))
+    )
+
+
+def _as_of(snap: Snapshot) -> DataFrame:
+    facts = snap.order_items.join(
+        snap.orders.select("source_order_id", "order_timestamp"), "source_order_id"
+    )
+    priced = joins.as_of(
+        facts,
+        snap.pricing_history,
+        key="source_menu_item_id",
+        at="order_timestamp",
+        start="effective_from",
+        end="effective_to",
+        order_id="source_pricing_history_id",
+        values={"list_price": "base_price", "list_cost": "base_cost"},
+    )
+    return priced.groupBy("source_menu_item_id", "list_price", "list_cost").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("quantity").alias("units")
+    )
+
+
+def _promo_match(snap: Snapshot) -> DataFrame:
+    facts = snap.order_items.select(
+        "source_order_id",
+        "source_order_item_id",
+        "source_menu_item_id",
+        "quantity",
+        F.col("unit_price_at_sale").alias("unit_price"),
+    ).join(
+        snap.orders.select("source_order_id", "order_timestamp", "order_channel"),
+        "source_order_id",
+    )
+    matched = joins.match_promotion(facts, snap.promotions, date="order_timestamp")
+    return matched.groupBy("source_promotion_id", "order_channel").agg(
+        F.count(F.lit(1)).alias("row_count"), money_sum("line_discount").alias("discount")
+    )
+
+
+def _profiled(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_star(lambda s: build(s.tables()[table]))
+
+
+JOINS: dict[str, Query] = {
+    "order_lines_join": on_star(_order_lines),
+    "null_split_routing": on_star(_routed),
+    "valid_order_filter": on_star(_valid_orders),
+    "asof_price": on_star(_as_of, "brand"),
+    "promo_match": on_star(_promo_match, "brand"),
+}
+
+QUALITY: dict[str, Query] = {
+    "profile_columns": _profiled("orders", profile.column_profile),
+    "profile_columns_ratings": _profiled("ratings", profile.column_profile),
+    "duplicate_keys": _profiled(
+        "order_items", lambda df: profile.duplicate_keys(df, "source_order_item_id")
+    ),
+    "profile_orders": _profiled("orders", lambda df: profile.orders_profile(df, LAST_YEAR)),
+    "order_status_breakdown": _profiled(
+        "orders", lambda df: profile.breakdown(df, "order_status")
+    ),
+    "profile_order_items": _profiled("order_items", profile.order_items_profile),
+    "profile_ratings": _profiled("ratings", profile.ratings_profile),
+    "profile_wastage": _profiled("wastage", profile.wastage_profile),
+    "invalid_identifiers": _profiled(
+        "customers", lambda df: profile.validate_identifiers(df, "last_name", r"^\d{8}[02468]$")
+    ),
+    "fk_checks": on_star(profile.referential_integrity),
+    "fk_orphans": on_star(_orphan_check),
+    "quarantine_orders": on_star(
+        lambda s: quarantine.reason_counts({"orders": quarantine.clean_orders(s, LAST_YEAR).quarantined})
+    ),
+    "quarantine_lines": on_star(
+        lambda s: quarantine.clean_snapshot(s, LAST_YEAR)
+        .quarantined["order_items"]
+        .select(
+            "source_order_item_id", "source_menu_item_id", "quantity", "line_net_revenue",
+            "quarantine_reason",
+        )
+    ),
+    "clean_lines": on_star(
+        lambda s: quarantine.clean_snapshot(s, LAST_YEAR)
+        .snapshot.order_items.select(
+            "source_order_item_id", "source_menu_item_id", "quantity", "line_net_revenue"
+        )
+    ),
+    "quality_reconciliation": on_star(
+        lambda s: quarantine.quality_report(quarantine.clean_snapshot(s, LAST_YEAR))
+    ),
+    "chronology_rules": on_star(
+        lambda s: quarantine.rule_violations(
+            s.order_items.join(s.orders.select("source_order_id", "order_timestamp"), "source_order_id"),
+            [quarantine.Rule("LINE_BEFORE_ORDER", F.col("created_at") < F.col("order_timestamp"))],
+        )
+    ),
+    "constraint_rules": on_star(
+        lambda s: quarantine.rule_violations(s.orders, quarantine.constraint_rules("orders"))
+    ),
+    "operational_flags": on_star(
+        lambda s: profile.operational_flags(
+            s.order_items.join(
+                s.orders.select("source_order_id", "order_status", "source_customer_id"),
+                "source_order_id",
+            )
+        )
+        .groupBy("flag_not_fulfilled", "flag_guest", "flag_negative_margin")
+        .agg(F.count(F.lit(1)).alias("row_count"))
+    ),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(MARTS)
+    return {**MARTS, **JOINS, **QUALITY}
