@@ -5,7 +5,8 @@ from __future__ import annotations
 from martloom.catalog import mart_sql as m
 from martloom.catalog.domain_sql import with_domain
 from martloom.catalog.quality_sql import quality_oracles
-from martloom.catalog.queries import SPLITS
+from martloom.catalog.queries import CUTOFFS, SCENARIOS, SPLITS
+from martloom.catalog.serving_sql import comparison_oracles, feature_oracles, serving_oracles
 
 _SPLITS = (SPLITS.train_end, SPLITS.validation_end, SPLITS.test_end)
 
@@ -38,4 +39,10 @@ def mart_oracles() -> dict[str, str]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {**mart_oracles(), **quality_oracles()}
+    return {
+        **mart_oracles(),
+        **quality_oracles(),
+        **feature_oracles(_SPLITS, CUTOFFS),
+        **comparison_oracles(_SPLITS),
+        **serving_oracles(_SPLITS, SCENARIOS),
+    }

@@ -8,11 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
-from martloom.config import DemandRules, SplitDates
+from martloom.config import DemandRules, SettlementRules, SplitDates
+from martloom.functions.dates import split_label
 from martloom.functions import dates
 from martloom.functions.numeric import fixed, money_sum
-from martloom.operators import joins, profile, quarantine
-from martloom.plans import anomalies, basket, customers, demand, menu, operations, pricing, waste
+from martloom.functions.contracts import rfm_segment
+from martloom.operators import joins, profile, quarantine, settlement
+from martloom.plans import (
+    advice,
+    anomalies,
+    basket,
+    compare,
+    customers,
+    demand,
+    features,
+    menu,
+    models,
+    operations,
+    pricing,
+    serving,
+    waste,
+)
 from martloom.session import tune
 from martloom.sources.snapshot import Snapshot
 from martloom.sources.star import event_branches, event_orders, star_snapshot
@@ -246,5 +262,261 @@ QUALITY: dict[str, Query] = {
 }
 
 
+def _demand(snap: Snapshot) -> DataFrame:
+    return demand.demand_historical(snap, DemandRules(splits=SPLITS))
+
+
+def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: fixed(c, 6) for c in columns})
+
+
+_DEMAND_STATS = ["rolling_4w_avg_quantity", "rolling_4w_std_quantity", "rolling_4w_avg_revenue"]
+_WASTE_STATS = ["lag_4w_avg_cost_ratio", "lag_4w_avg_quantity_ratio"]
+CUTOFFS = {
+    "1999-06-30": "TRAIN",
+    "1999-12-31": "TRAIN",
+    "2000-06-30": "VALIDATION",
+    "2000-12-31": "TEST",
+}
+
+
+def _settled(snap: Snapshot) -> DataFrame:
+    rules = SettlementRules(tipped_channels=("1-URGENT", "2-HIGH"))
+    return settlement.settle_orders(snap.order_items, snap.orders, rules)
+
+
+FEATURES: dict[str, Query] = {
+    "weekly_demand_features": on_star(
+        lambda s: _rounded(features.weekly_demand_features(_demand(s)), _DEMAND_STATS), "brand"
+    ),
+    "weekly_demand_features_full": on_star(
+        lambda s: _rounded(features.weekly_demand_features_full(s, SPLITS), _DEMAND_STATS), "brand"
+    ),
+    "waste_features": on_star(
+        lambda s: _rounded(features.waste_features(waste.wastage(s)), _WASTE_STATS), "brand"
+    ),
+    "waste_features_full": on_star(
+        lambda s: _rounded(features.waste_features_full(s, SPLITS), _WASTE_STATS), "brand"
+    ),
+    "churn_features": on_star(lambda s: features.churn_features(customers.customer_rfm(s))),
+    "churn_features_at": on_star(lambda s: features.churn_features_at(s, SPLITS.train_end)),
+    "churn_panel_features": on_star(lambda s: features.churn_panel(s.orders, CUTOFFS)),
+    "chronological_split": on_star(
+        lambda s: joins.counted_orders(s.orders)
+        .groupBy(split_label(dates.day("order_timestamp"), SPLITS).alias("split"))
+        .agg(
+            F.count(F.lit(1)).alias("orders"),
+            F.min(dates.day("order_timestamp")).alias("first_day"),
+            F.max(dates.day("order_timestamp")).alias("last_day"),
+        )
+    ),
+    "order_settlement": on_star(_settled),
+}
+
+
+def _demand_forecasts(snap: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Two simple forecasts to compare: last week's quantity and the four-week mean."""
+    weekly = features.weekly_demand_features(_demand(snap))
+
+    def forecast(column: str) -> DataFrame:
+        predicted = fixed(column, 2)
+        actual = F.col("weekly_quantity").cast("double")
+        return weekly.select(
+            *compare.DEMAND_KEYS,
+            actual.alias("actual_quantity"),
+            predicted.alias("predicted_quantity"),
+            fixed(F.abs(actual - predicted), 2).alias("absolute_error"),
+            split_label("week_start_date", SPLITS).alias("split"),
+        )
+
+    return forecast("lag_1w_quantity"), forecast("rolling_4w_avg_quantity")
+
+
+def _risk_forecasts(snap: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Next week's risk from last week's cost ratio and from the four-week mean of it."""
+    weekly = features.waste_features(waste.wastage(snap))
+
+    def forecast(column: str) -> DataFrame:
+        return weekly.select(
+            *compare.DEMAND_KEYS,
+            F.col("next_week_wastage_risk").alias("actual_label"),
+            F.when(fixed(column, 6) > 0.05, 1).otherwise(0).alias("predicted_label"),
+            fixed(F.least(F.lit(1.0), F.col(column)), 4).alias("risk_probability"),
+            split_label("week_start_date", SPLITS).alias("split"),
+        )
+
+    return forecast("lag_1w_cost_ratio"), forecast("lag_4w_avg_cost_ratio")
+
+
+def _segments(snap: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Segments of the whole history and of completed orders up to the training end."""
+    now = customers.customer_rfm(snap).select(
+        F.col("source_customer_id").alias("customer_id"), F.col("rfm_segment").alias("segment_label")
+    )
+    then = features.churn_features_at(snap, SPLITS.train_end).select(
+        "customer_id",
+        F.when(F.col("r_score") == 0, "Inactive").otherwise(rfm_segment()).alias("segment_label"),
+    )
+    return now, then
+
+
+def _overall(snap: Snapshot) -> DataFrame:
+    demand_rows = compare.compare_regression(*_demand_forecasts(snap))
+    risk_rows = compare.compare_classes(
+        *_risk_forecasts(snap), compare.DEMAND_KEYS, "risk_probability"
+    )
+    return compare.overall_agreement(
+        [
+            compare.regression_summary(demand_rows),
+            compare.class_summary(risk_rows, "wastage_risk"),
+            compare.segment_summary(compare.compare_segments(*_segments(snap))),
+        ]
+    )
+
+
+COMPARISON: dict[str, Query] = {
+    "agreement_regression": on_star(
+        lambda s: compare.compare_regression(*_demand_forecasts(s), split=None), "brand"
+    ),
+    "agreement_regression_summary": on_star(
+        lambda s: compare.regression_summary(compare.compare_regression(*_demand_forecasts(s))),
+        "brand",
+    ),
+    "agreement_classes": on_star(
+        lambda s: compare.compare_classes(
+            *_risk_forecasts(s), compare.DEMAND_KEYS, "risk_probability"
+        ),
+        "brand",
+    ),
+    "agreement_classes_summary": on_star(
+        lambda s: compare.class_summary(
+            compare.compare_classes(*_risk_forecasts(s), compare.DEMAND_KEYS, "risk_probability"),
+            "wastage_risk",
+        ),
+        "brand",
+    ),
+    "segment_contingency": on_star(
+        lambda s: compare.segment_contingency(compare.compare_segments(*_segments(s)))
+    ),
+    "overall_agreement": on_star(_overall, "brand"),
+}
+
+
+SCENARIOS = [
+    advice.Scenario("cheaper", -10.0),
+    advice.Scenario("dearer", 5.0, 0.0, 20.0),
+    advice.Scenario("discount", 0.0, 15.0),
+    advice.Scenario("mixed", 8.0, -10.0, 50.0),
+]
+
+
+def _options(snap: Snapshot) -> DataFrame:
+    menu_dimension = snap.menu_items.join(snap.menu_categories, "source_category_id", "left")
+    return serving.filter_options(
+        operations.location_performance(snap), menu_dimension, operations.channel_performance(snap)
+    )
+
+
+def _kpis(snap: Snapshot) -> DataFrame:
+    return serving.executive_summary(
+        operations.location_performance(snap),
+        customers.customer_rfm(snap),
+        anomalies.sales_anomalies(snap.orders, snap.restaurants, fill_days=False),
+    )
+
+
+def _menu_page(snap: Snapshot) -> DataFrame:
+    rows = serving.menu_filter(
+        menu.menu_performance(snap), category="economy", classification="Low Performer", search="in"
+    )
+    order = [F.desc("composite_score"), "source_restaurant_id", "source_menu_item_id"]
+    return serving.page(rows, order, 20, 50).select(
+        "source_restaurant_id", "source_menu_item_id", "item_name", "composite_score",
+        "classification",
+    )
+
+
+def _customer_page(snap: Snapshot) -> DataFrame:
+    people = serving.customer_search(customers.customer_rfm(snap), "At Risk", "customer")
+    return serving.page(people, [F.desc("monetary_value"), "source_customer_id"], 5, 25)
+
+
+def _recommended(snap: Snapshot) -> DataFrame:
+    return advice.recommendations(
+        menu.menu_performance(snap), waste.wastage(snap), customers.customer_rfm(snap)
+    )
+
+
+SERVING: dict[str, Query] = {
+    "filter_options": on_star(_options),
+    "exec_kpis": on_star(_kpis),
+    "menu_page": on_star(_menu_page),
+    "menu_class_counts": on_star(
+        lambda s: serving.value_counts(menu.menu_performance(s), "classification")
+    ),
+    "customer_page": on_star(_customer_page),
+    "segment_counts": on_star(
+        lambda s: serving.value_counts(customers.customer_rfm(s), "rfm_segment")
+    ),
+    "heatmap": on_star(
+        lambda s: serving.hourly_heatmap(operations.peak_analysis(s.orders, s.restaurants))
+    ),
+    "channel_breakdown": on_star(
+        lambda s: serving.channel_breakdown(operations.channel_performance(s))
+    ),
+    "location_ranking": on_star(
+        lambda s: serving.location_ranking(operations.location_performance(s))
+    ),
+    "demand_curve": on_star(lambda s: serving.demand_curve(_demand_forecasts(s)[1]), "brand"),
+    "sensitivity_counts": on_star(
+        lambda s: serving.value_counts(pricing.pricing(s), "sensitivity_class"), "brand"
+    ),
+    "waste_by_reason": on_star(lambda s: serving.waste_by_reason(waste.wastage(s))),
+    "high_risk_items": on_star(lambda s: serving.high_risk_items(waste.wastage(s))),
+    "weekly_waste_trend": on_star(lambda s: serving.weekly_waste(waste.wastage(s))),
+    "risk_summary": on_star(lambda s: serving.risk_summary(_risk_forecasts(s)[1]), "brand"),
+    "top_risk_items": on_star(
+        lambda s: serving.top_risk_items(_risk_forecasts(s)[1], s.menu_items), "brand"
+    ),
+    "promotion_summary": on_star(lambda s: serving.promotion_summary(pricing.promotions(s))),
+    "top_pairs": on_star(lambda s: serving.top_pairs(basket.basket_analysis(s)), "brand"),
+    "sales_anomaly_feed": on_star(
+        lambda s: serving.sales_anomaly_feed(
+            anomalies.sales_anomalies(s.orders, s.restaurants, fill_days=False)
+        )
+    ),
+    "rating_anomaly_feed": on_star(
+        lambda s: serving.rating_anomaly_feed(anomalies.rating_anomalies(s)), "brand"
+    ),
+    "recommendations": on_star(_recommended),
+    "what_if_grid": on_star(
+        lambda s: advice.what_if(menu.menu_performance(s, False), pricing.pricing(s), SCENARIOS),
+        "brand",
+    ),
+}
+
+
+MODELS: dict[str, Query] = {
+    "demand_tournament": on_star(
+        lambda s: models.demand_contest(
+            features.weekly_demand_features(_demand(s)), SPLITS
+        ).predictions,
+        "brand",
+    ),
+    "waste_tournament": on_star(
+        lambda s: models.waste_contest(features.waste_features(waste.wastage(s)), SPLITS).predictions,
+        "brand",
+    ),
+    "churn_tournament": on_star(
+        lambda s: models.churn_contest(features.churn_panel(s.orders, CUTOFFS)).predictions
+    ),
+    "segmentation": on_star(
+        lambda s: models.segment_contest(
+            features.churn_features(customers.customer_rfm(s)), with_mixture=True
+        ).predictions
+    ),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**MARTS, **JOINS, **QUALITY}
+    return {**MARTS, **JOINS, **QUALITY, **FEATURES, **COMPARISON, **SERVING, **MODELS}
