@@ -18,8 +18,11 @@ def mart_oracles() -> dict[str, str]:
         "menu_performance": m.menu_performance(True),
         "menu_performance_chain": m.menu_performance(False),
         "menu_performance_brands": m.menu_performance(True, "brand"),
+        "menu_performance_spread": m.menu_performance(True),
         "customer_rfm": m.customer_rfm(),
+        "customer_rfm_spread": m.customer_rfm(),
         "basket_analysis": m.basket_analysis(),
+        "basket_analysis_spread": m.basket_analysis(),
         "peak_analysis": m.peak_analysis("valid_orders", "d_restaurants", orders),
         "peak_analysis_events": m.peak_analysis("e_orders", "e_branches", events),
         "location_performance": m.location_performance(),

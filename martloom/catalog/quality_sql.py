@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from martloom.catalog.domain_sql import fixed, money, text, whole, with_domain
+from martloom.catalog.mart_sql import channel_performance
 
 R, I = "source_restaurant_id", "source_menu_item_id"
 LAST_YEAR = 2000
@@ -331,6 +332,10 @@ def quality_oracles() -> dict[str, str]:
         "order_lines_join": order_lines_join(),
         "null_split_routing": null_split_routing(),
         "valid_order_filter": valid_order_filter(),
+        "stored_sales": with_domain("sold")
+        + f""" SELECT order_channel, COUNT(*) AS row_count, {whole('SUM(quantity)')} AS units,
+  {money('SUM(line_net_revenue)')} AS net_revenue FROM sold GROUP BY 1""",
+        "stored_mart_scan": f"SELECT {R}, channel, net_revenue FROM ({channel_performance()})",
         "asof_price": asof_price(),
         "promo_match": promo_match(),
         "profile_columns": profile_columns(),

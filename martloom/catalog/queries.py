@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
-from martloom.config import DemandRules, SettlementRules, SplitDates
+from martloom.config import DemandRules, ScaleRules, SettlementRules, SplitDates
 from martloom.functions.dates import split_label
 from martloom.functions import dates
 from martloom.functions.numeric import fixed, money_sum
@@ -29,8 +30,11 @@ from martloom.plans import (
     serving,
     waste,
 )
+from martloom.plans.base import with_stored_sales
 from martloom.session import tune
+from martloom.sources.sinks import read_mart, write_mart
 from martloom.sources.snapshot import Snapshot
+from martloom.sources.staging import staging_root
 from martloom.sources.star import event_branches, event_orders, star_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +55,13 @@ def on_star(build: Callable[[Snapshot], DataFrame], item: str = "part") -> Query
     return run
 
 
-def _menu(by_restaurant: bool) -> Callable[[Snapshot], DataFrame]:
+SPREAD = ScaleRules(one_task_rows=0, small_basket=3)
+"""Forces the plans meant for inputs too large for one task."""
+
+
+def _menu(by_restaurant: bool, scale: ScaleRules = ScaleRules()) -> Callable[[Snapshot], DataFrame]:
     def build(snap: Snapshot) -> DataFrame:
-        mart = menu.menu_performance(snap, by_restaurant)
+        mart = menu.menu_performance(snap, by_restaurant, scale=scale)
         return mart.withColumns(
             {c: F.to_date(c) for c in ("first_order_date", "last_order_date")}
         )
@@ -79,8 +87,13 @@ MARTS: dict[str, Query] = {
     "menu_performance": on_star(_menu(True)),
     "menu_performance_chain": on_star(_menu(False)),
     "menu_performance_brands": on_star(_menu(True), "brand"),
+    "menu_performance_spread": on_star(_menu(True, SPREAD)),
     "customer_rfm": on_star(customers.customer_rfm),
+    "customer_rfm_spread": on_star(lambda s: customers.customer_rfm(s, scale=SPREAD)),
     "basket_analysis": on_star(basket.basket_analysis, "brand"),
+    "basket_analysis_spread": on_star(
+        lambda s: basket.basket_analysis(s, scale=SPREAD), "brand"
+    ),
     "peak_analysis": on_star(lambda s: operations.peak_analysis(s.orders, s.restaurants)),
     "peak_analysis_events": _peak_events,
     "location_performance": on_star(operations.location_performance),
@@ -190,6 +203,14 @@ def _promo_match(snap: Snapshot) -> DataFrame:
     )
 
 
+def _stored_mart(snap: Snapshot) -> DataFrame:
+    """Write a mart, then scan two of its columns."""
+    mart = operations.channel_performance(snap)
+    path = f"{staging_root(mart.sparkSession)}/mart-{uuid.uuid4().hex}.parquet"
+    write_mart(mart, path)
+    return read_mart(mart.sparkSession, path, ["source_restaurant_id", "channel", "net_revenue"])
+
+
 def _profiled(table: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return on_star(lambda s: build(s.tables()[table]))
 
@@ -198,6 +219,8 @@ JOINS: dict[str, Query] = {
     "order_lines_join": on_star(_order_lines),
     "null_split_routing": on_star(_routed),
     "valid_order_filter": on_star(_valid_orders),
+    "stored_sales": on_star(lambda s: _totals(with_stored_sales(s).sold, ["order_channel"])),
+    "stored_mart_scan": on_star(_stored_mart),
     "asof_price": on_star(_as_of, "brand"),
     "promo_match": on_star(_promo_match, "brand"),
 }
@@ -300,6 +323,9 @@ FEATURES: dict[str, Query] = {
     ),
     "churn_features": on_star(lambda s: features.churn_features(customers.customer_rfm(s))),
     "churn_features_at": on_star(lambda s: features.churn_features_at(s, SPLITS.train_end)),
+    "churn_features_at_spread": on_star(
+        lambda s: features.churn_features_at(s, SPLITS.train_end, scale=SPREAD)
+    ),
     "churn_panel_features": on_star(lambda s: features.churn_panel(s.orders, CUTOFFS)),
     "chronological_split": on_star(
         lambda s: joins.counted_orders(s.orders)

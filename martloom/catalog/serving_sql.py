@@ -325,6 +325,7 @@ def feature_oracles(splits: tuple[str, str, str], cutoffs: dict[str, str]) -> di
         "waste_features_full": waste_features_full(splits),
         "churn_features": churn_features(),
         "churn_features_at": churn_features_at(splits[0]),
+        "churn_features_at_spread": churn_features_at(splits[0]),
         "churn_panel_features": churn_panel(cutoffs),
         "chronological_split": with_domain("orders")
         + f""" SELECT {_split('order_date', splits)} AS split, COUNT(*) AS orders,

@@ -18,23 +18,28 @@ def pair_counts(
     """(pairs seen in at least min_count groups, groups per item, number of groups).
 
     `members` holds distinct (group, item) rows; only groups of two or more items count.
-    An item below min_count cannot be part of a reported pair, so it is left out before
-    pairs are formed. Groups of up to `small_basket` items form their pairs inside one
-    row. Larger groups are cut into blocks of items, and a pair of blocks is the join
-    key, so one huge group becomes many tasks of bounded size.
+    Groups of up to `small_basket` items form their pairs inside one row. Larger groups
+    are cut into blocks of items, and a pair of blocks is the join key, so one huge group
+    becomes many tasks of bounded size; there an item below min_count is left out first,
+    as it cannot be part of a reported pair.
     """
-    sizes = members.groupBy(group).agg(F.count(item).alias("n")).filter(F.col("n") >= 2)
-    eligible = members.join(sizes.select(group), group, "left_semi")
-    per_item = eligible.groupBy(item).agg(F.count(F.lit(1)).alias("item_order_count"))
-    frequent = per_item.filter(F.col("item_order_count") >= min_count).select(item)
-    kept = members.join(sizes, group, "inner").join(frequent, item, "left_semi")
-
+    sizes = members.groupBy(group).agg(F.count(item).alias("n"))
+    large_groups = sizes.filter(F.col("n") > scale.small_basket)
     small = (
-        kept.filter(F.col("n") <= scale.small_basket)
+        members.join(large_groups.select(group), group, "left_anti")
         .groupBy(group)
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .filter(F.size("items") >= 2)
     )
+    in_large = members.join(large_groups, group, "inner")
+    per_item = (
+        small.select(F.explode("items").alias(item))
+        .unionByName(in_large.select(item))
+        .groupBy(item)
+        .agg(F.count(F.lit(1)).alias("item_order_count"))
+    )
+    frequent = per_item.filter(F.col("item_order_count") >= min_count).select(item)
+
     tails = F.transform(
         F.sequence(F.lit(1), F.size("items") - 1),
         lambda i: F.transform(
@@ -48,7 +53,7 @@ def pair_counts(
 
     blocks = F.ceil(F.col("n") / F.lit(scale.small_basket)).cast("int")
     large = (
-        kept.filter(F.col("n") > scale.small_basket)
+        in_large.join(frequent, item, "left_semi")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -70,4 +75,4 @@ def pair_counts(
         .agg(F.count(F.lit(1)).alias("co_occurrence_count"))
         .filter(F.col("co_occurrence_count") >= min_count)
     )
-    return pairs, per_item, sizes.agg(F.count(F.lit(1)).alias("groups"))
+    return pairs, per_item, sizes.agg(F.count_if(F.col("n") >= 2).alias("groups"))

@@ -37,8 +37,8 @@ _RANKED = {
 def _sales(snap: Snapshot, keys: list[str], orders: OrderRules) -> DataFrame:
     """Sales, customers, repeat customers and trend from one pass over the lines.
 
-    Lines collapse to one row per order and item first. They leave the header join
-    partitioned by order, so that step needs no shuffle; customers come next, items last.
+    Lines collapse to one row per item and customer, then to one per item. A customer
+    repeats when the smallest and the largest order id differ, which needs no distinct count.
     """
     seconds = F.col("order_timestamp").cast("double")
     middle = (
@@ -46,35 +46,32 @@ def _sales(snap: Snapshot, keys: list[str], orders: OrderRules) -> DataFrame:
         .agg((F.min(seconds) + (F.max(seconds) - F.min(seconds)) / 2.0).alias("middle"))
         .scalar()
     )
-    sums = ["quantity", "net_cents", "margin_cents", "promo_quantity"]
-    per_order = (
+    quantity = F.col("quantity")
+    promoted = F.when(F.col("source_promotion_id").isNotNull(), quantity).otherwise(0)
+    weekend = F.when(is_weekend("order_timestamp"), quantity).otherwise(0)
+    recent = F.when(seconds >= middle, quantity).otherwise(0)
+    sums = {
+        "quantity": quantity,
+        "net_cents": cents("line_net_revenue"),
+        "margin_cents": cents("line_contribution_margin"),
+        "promo_quantity": promoted,
+        "weekend_quantity": weekend,
+        "recent_quantity": recent,
+    }
+    per_customer = (
         sold_of(snap, orders)
-        .withColumns(
-            {
-                "net_cents": cents("line_net_revenue"),
-                "margin_cents": cents("line_contribution_margin"),
-                "promo_quantity": F.when(
-                    F.col("source_promotion_id").isNotNull(), F.col("quantity")
-                ).otherwise(0),
-            }
+        .groupBy(*keys, CUSTOMER)
+        .agg(
+            *[F.sum(value).alias(name) for name, value in sums.items()],
+            F.min("order_timestamp").alias("first_order_date"),
+            F.max("order_timestamp").alias("last_order_date"),
+            (F.min(ORDER) != F.max(ORDER)).alias("repeats"),
         )
-        .groupBy(ORDER, RESTAURANT, ITEM, CUSTOMER, "order_timestamp")
-        .agg(*[F.sum(c).alias(c) for c in sums])
-    )
-    weekend = F.when(is_weekend("order_timestamp"), F.col("quantity")).otherwise(0)
-    recent = F.when(seconds >= middle, F.col("quantity")).otherwise(0)
-    per_customer = per_order.groupBy(*keys, CUSTOMER).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.sum(weekend).alias("weekend_quantity"),
-        F.sum(recent).alias("recent_quantity"),
-        F.min("order_timestamp").alias("first_order_date"),
-        F.max("order_timestamp").alias("last_order_date"),
-        F.count_distinct(ORDER).alias("customer_orders"),
     )
     per_item = per_customer.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in [*sums, "weekend_quantity", "recent_quantity"]],
+        *[F.sum(c).alias(c) for c in sums],
         F.count(CUSTOMER).alias("total_customers"),
-        F.count(F.when(F.col("customer_orders") >= 2, F.col(CUSTOMER))).alias("repeat_customers"),
+        F.count(F.when(F.col("repeats"), F.col(CUSTOMER))).alias("repeat_customers"),
         F.min("first_order_date").alias("first_order_date"),
         F.max("last_order_date").alias("last_order_date"),
     )

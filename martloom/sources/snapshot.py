@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,34 +36,38 @@ def completeness(spark: SparkSession, root: str) -> dict[str, bool]:
     return {name: path_exists(spark, table_path(root, name)) for name in TABLES}
 
 
-@dataclass(frozen=True)
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Snapshot:
-    """Source tables by name. Key columns may be of any type that compares and hashes."""
-
-    customers: DataFrame
-    restaurants: DataFrame
-    menu_categories: DataFrame
-    menu_items: DataFrame
-    pricing_history: DataFrame
-    promotions: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    ratings: DataFrame
-    inventory: DataFrame
-    wastage: DataFrame
-    sold: DataFrame | None = None
-    """Order lines already joined to their counted order headers, if stored."""
+    """Source tables by name, each built when first asked for.
+
+    `snap.orders` and the other table names are attributes. Key columns may be of any
+    type that compares and hashes. `sold`, if given, is the stored join of order lines
+    and counted headers.
+    """
+
+    def __init__(self, sources: Mapping[str, Source], sold: DataFrame | None = None) -> None:
+        unknown = set(sources) - set(TABLES)
+        if unknown:
+            raise KeyError(f"unknown tables: {', '.join(sorted(unknown))}")
+        self._sources = dict(sources)
+        self.sold = sold
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Snapshot:
-        return cls(**{name: load_table(spark, root, name) for name in TABLES})
+        return cls({name: partial(load_table, spark, root, name) for name in TABLES})
 
-    @classmethod
-    def of(cls, tables: Mapping[str, DataFrame]) -> Snapshot:
-        return cls(**tables)
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._sources:
+            raise AttributeError(name)
+        found = self._sources[name]
+        if not isinstance(found, DataFrame):
+            found = self._sources[name] = found()
+        return found
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in TABLES}
+        return {name: getattr(self, name) for name in TABLES if name in self._sources}
 
-    def with_tables(self, **tables: DataFrame) -> Snapshot:
-        return replace(self, **tables)
+    def with_tables(self, sold: DataFrame | None = None, **tables: Source) -> Snapshot:
+        return Snapshot({**self._sources, **tables}, sold if sold is not None else self.sold)
