@@ -325,7 +325,10 @@ def segment_contest(customers: DataFrame, k: int = 4, with_mixture: bool = False
         started = time.monotonic()
         model = c.estimator.fit(prepared)
         seconds = round(time.monotonic() - started, 2)
-        silhouette = evaluator.evaluate(model.transform(prepared))
+        clustered = model.transform(prepared)
+        used = clustered.agg(F.count_distinct("prediction")).first()[0]
+        # one cluster has no silhouette; it is the worst possible outcome
+        silhouette = evaluator.evaluate(clustered) if used > 1 else -1.0
         entries.append(
             Entry(c.name, c.settings, {"silhouette_score": round(silhouette, 6)}, seconds, model)
         )
