@@ -55,7 +55,7 @@ def on_star(build: Callable[[Snapshot], DataFrame], item: str = "part") -> Query
     return run
 
 
-SPREAD = ScaleRules(one_task_rows=0, small_basket=3)
+SPREAD = ScaleRules(one_task_rows=0, small_basket=3, block_items=3)
 """Forces the plans meant for inputs too large for one task."""
 
 

@@ -116,3 +116,4 @@ class ScaleRules:
 
     one_task_rows: int = 200_000
     small_basket: int = 64
+    block_items: int = 1024

@@ -51,7 +51,7 @@ def pair_counts(
         F.col("p.a").alias("item_a_id"), F.col("p.b").alias("item_b_id")
     )
 
-    blocks = F.ceil(F.col("n") / F.lit(scale.small_basket)).cast("int")
+    blocks = F.ceil(F.col("n") / F.lit(scale.block_items)).cast("int")
     large = (
         in_large.join(frequent, item, "left_semi")
         .withColumn("blocks", blocks)

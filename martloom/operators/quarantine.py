@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,17 @@ class Parent:
 
 @dataclass(frozen=True)
 class Outcome:
-    clean: DataFrame
-    quarantined: DataFrame
+    """Every row with its quarantine_reason, NULL where the row is clean."""
+
+    judged: DataFrame
+
+    @property
+    def clean(self) -> DataFrame:
+        return self.judged.filter(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
+
+    @property
+    def quarantined(self) -> DataFrame:
+        return self.judged.filter(F.col("quarantine_reason").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -74,14 +84,13 @@ def split(df: DataFrame, checks: list[Rule | Parent], unique: Uniqueness | None
     """
     columns = df.columns
     tagged = _with_defect(df, checks)
-    reason = F.col("_defect").alias("quarantine_reason")
+    defect = F.col("_defect").alias("quarantine_reason")
     if unique is None:
-        bad = tagged.filter(F.col("_defect").isNotNull()).select(*columns, reason)
-        return Outcome(tagged.filter(F.col("_defect").isNull()).select(*columns), bad)
+        return Outcome(tagged.select(*columns, defect))
 
     key = unique.key
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    single = tagged.join(repeated, key, "left_anti")
+    single = tagged.join(repeated, key, "left_anti").select(*columns, defect)
     copies = (
         tagged.join(repeated, key, "left_semi")
         .groupBy(*columns, "_defect")
@@ -91,26 +100,20 @@ def split(df: DataFrame, checks: list[Rule | Parent], unique: Uniqueness | None
     first = copies.groupBy(key).agg(
         F.min(F.when(F.col("_defect").isNull(), F.col("_place"))).alias("_first")
     )
-    judged = copies.join(first, key, "inner")
-    is_first = F.col("_place") == F.col("_first")
-    after = F.col("_place") >= F.col("_first")
-    spare = F.col("_copies") - F.when(is_first, 1).otherwise(0)
-    surplus = (
-        judged.withColumn("_spare", spare)
-        .filter(F.col("_spare") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_spare"))))
+    kept = (F.col("_place") == F.col("_first")) & (F.col("_copy") == 1)
+    late = F.col("_place") >= F.col("_first")
+    several = (
+        copies.join(first, key, "inner")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(
             *columns,
-            F.when(after, F.lit(unique.reason))
+            F.when(kept, F.lit(None))
+            .when(late, F.lit(unique.reason))
             .otherwise(F.col("_defect"))
             .alias("quarantine_reason"),
         )
     )
-    clean = single.filter(F.col("_defect").isNull()).select(*columns)
-    bad = single.filter(F.col("_defect").isNotNull()).select(*columns, reason)
-    return Outcome(
-        clean.unionByName(judged.filter(is_first).select(*columns)), bad.unionByName(surplus)
-    )
+    return Outcome(single.unionByName(several))
 
 
 def stamp(quarantined: DataFrame) -> DataFrame:
@@ -161,27 +164,42 @@ def clean_ratings(ratings: DataFrame) -> Outcome:
 
 @dataclass(frozen=True)
 class Cleaned:
-    snapshot: Snapshot
-    quarantined: dict[str, DataFrame]
-
-
-def clean_snapshot(snap: Snapshot, last_year: int = 2025) -> Cleaned:
-    """Quarantine orders, then their lines, then ratings; other tables pass through."""
-    orders = clean_orders(snap, last_year)
-    items = clean_order_items(snap, orders.clean)
-    ratings = clean_ratings(snap.ratings)
-    return Cleaned(
-        snap.with_tables(orders=orders.clean, order_items=items.clean, ratings=ratings.clean),
-        {
-            "orders": orders.quarantined,
-            "order_items": items.quarantined,
-            "ratings": ratings.quarantined,
-        },
-    )
+    """The tables that were judged, and the snapshot they belong to."""
+
+    raw: Snapshot
+    outcomes: dict[str, Outcome]
+
+    @property
+    def snapshot(self) -> Snapshot:
+        return self.raw.with_tables(**{n: o.clean for n, o in self.outcomes.items()})
+
+    @property
+    def quarantined(self) -> dict[str, DataFrame]:
+        return {n: o.quarantined for n, o in self.outcomes.items()}
+
+
+def clean_snapshot(
+    snap: Snapshot,
+    last_year: int = 2025,
+    store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> Cleaned:
+    """Quarantine orders, then their lines, then ratings; other tables pass through.
+
+    `store` may write each judged table and return the stored one, so that the clean and
+    the quarantined rows are both read from one pass.
+    """
+
+    def kept(name: str, outcome: Outcome) -> Outcome:
+        return Outcome(store(outcome.judged, name))
+
+    orders = kept("orders", clean_orders(snap, last_year))
+    items = kept("order_items", clean_order_items(snap, orders.clean))
+    ratings = kept("ratings", clean_ratings(snap.ratings))
+    return Cleaned(snap, {"orders": orders, "order_items": items, "ratings": ratings})
 
 
 def reason_counts(quarantined: dict[str, DataFrame]) -> DataFrame:
-    """Quarantined rows per table and reason."""
+    """Rows per table and reason."""
     parts = [
         df.groupBy("quarantine_reason")
         .agg(F.count(F.lit(1)).alias("row_count"))
@@ -195,20 +213,28 @@ def reason_counts(quarantined: dict[str, DataFrame]) -> DataFrame:
 
 
 def quality_report(cleaned: Cleaned) -> DataFrame:
-    """Per table and in total: raw = clean + quarantined, and the clean percentage."""
-    kept = [
-        df.agg(F.count(F.lit(1)).alias("clean_rows")).select(
-            F.lit(name).alias("table_name"), "clean_rows", F.lit(0).cast("long").alias("bad_rows")
-        )
-        for name, df in cleaned.snapshot.tables().items()
-    ]
-    counts = reason_counts(cleaned.quarantined).select(
-        "table_name", F.lit(0).cast("long").alias("clean_rows"), F.col("row_count").alias("bad_rows")
+    """Per table and in total: raw = clean + quarantined, and the clean percentage.
+
+    Each judged table is counted in one pass over its rows and reasons.
+    """
+    no_reason = F.lit(None).cast("string").alias("quarantine_reason")
+    judged = {
+        name: cleaned.outcomes[name].judged.select("quarantine_reason")
+        if name in cleaned.outcomes
+        else df.select(no_reason)
+        for name, df in cleaned.raw.tables().items()
+    }
+    counts = reason_counts(judged)
+    # an empty table still has its row in the report
+    listed = counts.sparkSession.createDataFrame(
+        [(name, None, 0) for name in judged],
+        "table_name string, quarantine_reason string, row_count long",
     )
-    for part in kept:
-        counts = counts.unionByName(part)
+    counts = counts.unionByName(listed)
+    is_clean = F.col("quarantine_reason").isNull()
     per_table = counts.rollup("table_name").agg(
-        F.sum("clean_rows").alias("clean_rows"), F.sum("bad_rows").alias("quarantined_rows")
+        F.sum(F.when(is_clean, F.col("row_count")).otherwise(0)).alias("clean_rows"),
+        F.sum(F.when(is_clean, 0).otherwise(F.col("row_count"))).alias("quarantined_rows"),
     )
     raw = F.col("clean_rows") + F.col("quarantined_rows")
     share = fixed(ratio("clean_rows", raw) * 100.0, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from martloom.config import OrderRules, RatingRules, SalesRules
@@ -14,7 +14,7 @@ from martloom.plans.base import ITEM, ORDER, RESTAURANT, sold_of
 from martloom.sources.snapshot import Snapshot
 
 
-def _std_over(column: str, frame) -> F.Column:
+def _std_over(column: str, frame: WindowSpec) -> Column:
     value = cents_decimal(column)
     return exact_std(
         F.sum(value).over(frame), F.sum(value * value).over(frame), F.count(column).over(frame)
@@ -46,11 +46,14 @@ def rating_anomalies(
         .groupBy(RESTAURANT, ITEM, week_start("order_timestamp").alias("week_start"))
         .agg(F.sum("quantity").alias("total_volume_sold"))
     )
-    item = Window.partitionBy(ITEM)
-    mean = F.sum(cents_decimal("mean_rating")).over(item).cast("double") / 100.0 / F.count(
-        "mean_rating"
-    ).over(item)
-    std = F.coalesce(_std_over("mean_rating", item), F.lit(rules.lone_week_std))
+    value = cents_decimal("mean_rating")
+    weeks = F.count("mean_rating")
+    history = weekly.groupBy(ITEM).agg(
+        (F.sum(value).cast("double") / 100.0 / weeks).alias("item_mean"),
+        F.coalesce(
+            exact_std(F.sum(value), F.sum(value * value), weeks), F.lit(rules.lone_week_std)
+        ).alias("item_std"),
+    )
     scale = F.when(F.col("item_std") > 0, F.col("item_std")).otherwise(1.0)
     low = F.col("z_score") < rules.z_low
     poor = (F.col("mean_rating") <= rules.poor_mean) & (
@@ -60,7 +63,7 @@ def rating_anomalies(
     mart = (
         weekly.join(volume, keys, "left")
         .withColumn("total_volume_sold", F.coalesce("total_volume_sold", F.lit(0)))
-        .withColumns({"item_mean": mean, "item_std": std})
+        .join(history, ITEM, "inner")
         .withColumns(
             {
                 "z_score": fixed((F.col("mean_rating") - F.col("item_mean")) / scale, 2),

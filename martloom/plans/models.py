@@ -207,6 +207,12 @@ def classifiers(label: str, boosting_rounds: int) -> list[Candidate]:
     ]
 
 
+def _require_two_classes(prepared: DataFrame, label: str) -> None:
+    low, high = prepared.filter(F.col("split") == "TRAIN").agg(F.min(label), F.max(label)).first()
+    if low == high:
+        raise ValueError(f"the training window holds one class of {label} only: {low}")
+
+
 def demand_contest(features: DataFrame, splits: SplitDates = SplitDates()) -> Verdict:
     """Lowest validation RMSE wins, ties by MAE. Negative forecasts become 0."""
     label = "weekly_quantity"
@@ -245,6 +251,7 @@ def waste_contest(features: DataFrame, splits: SplitDates = SplitDates()) -> Ver
     label = "next_week_wastage_risk"
     labelled = features.withColumn("split", split_label("week_start_date", splits))
     prepared = prepare(labelled, WASTE_LAG_FEATURES, ["category_id", "restaurant_id"])
+    _require_two_classes(prepared, label)
     v = tournament(
         classifiers(label, 25),
         prepared,
@@ -266,6 +273,7 @@ def churn_contest(panel: DataFrame) -> Verdict:
     """On the cutoff panel; highest validation ROC-AUC wins, ties by F1."""
     label = "churn_label"
     prepared = prepare(panel, CHURN_FEATURES, [])
+    _require_two_classes(prepared, label)
     v = tournament(
         classifiers(label, 30),
         prepared,

@@ -1,4 +1,4 @@
-"""Building and writing all marts of a snapshot."""
+"""Cleaning a snapshot, and building and writing all of its marts."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from martloom.operators.quarantine import clean_snapshot, quality_report, stamp
 from martloom.plans import anomalies, basket, customers, demand, menu, operations, pricing, waste
 from martloom.plans.base import with_stored_sales
 from martloom.sources.sinks import write_mart
-from martloom.sources.snapshot import Snapshot
+from martloom.sources.snapshot import Snapshot, table_path
+from martloom.sources.staging import stage
 
 MARTS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "mart_menu_performance": menu.menu_performance,
@@ -29,6 +31,22 @@ MARTS: dict[str, Callable[[Snapshot], DataFrame]] = {
 }
 
 
+def run_cleaning(
+    snap: Snapshot, clean_dir: str, quarantine_dir: str, last_year: int = 2025
+) -> DataFrame:
+    """Write the clean snapshot and the quarantine tables; returns the quality report.
+
+    Each judged table is stored once; its clean and quarantined rows and the report's
+    counts are then scans of the stored table.
+    """
+    cleaned = clean_snapshot(snap, last_year, stage)
+    for name, df in cleaned.snapshot.tables().items():
+        df.write.mode("overwrite").parquet(table_path(clean_dir, name))
+    for name, df in cleaned.quarantined.items():
+        stamp(df).write.mode("overwrite").parquet(table_path(quarantine_dir, f"{name}_quarantine"))
+    return quality_report(cleaned)
+
+
 @dataclass(frozen=True)
 class MartRun:
     rows: int

@@ -83,9 +83,9 @@ def test_churn_panel_and_contest(spark):
     rng = random.Random(6)
     orders = []
     for customer in range(60):
-        step = 10 if customer % 2 else 90
-        day = rng.randint(0, 20)
-        while day < 420:
+        step = 10 if customer % 2 else 130
+        day = rng.randint(0, 100)
+        while day < 500:
             orders.append(domain.order(len(orders), 1, customer + 1, dt.datetime(2025, 1, 1) + dt.timedelta(days=day)))
             day += step + rng.randint(0, 5)
     df = domain.table(spark, "orders", orders)
@@ -99,6 +99,8 @@ def test_churn_panel_and_contest(spark):
         assert (r["frequency"], r["churn_label"]) == (len(past), 0 if ahead else 1)
     verdict = models.churn_contest(panel)
     assert verdict.champion.validation["roc_auc"] > 0.6
+    with pytest.raises(ValueError, match="one class"):
+        models.churn_contest(panel.filter("churn_label = 0"))
     assert {r["split"] for r in verdict.predictions.select("split").distinct().collect()} == set(cuts.values())
 
 

@@ -17,7 +17,7 @@ from martloom.operators.pairs import pair_counts
 from martloom.operators.ranking import ntile_of, percent_ranks, quantile_bin_of, row_positions
 from martloom.operators.timeseries import calendar_spine, if_full, next_value_if, trailing
 
-SPREAD = ScaleRules(one_task_rows=0, small_basket=3)
+SPREAD = ScaleRules(one_task_rows=0, small_basket=3, block_items=3)
 
 
 @pytest.mark.parametrize("scale", [ScaleRules(), SPREAD])

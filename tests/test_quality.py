@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import domain
 from martloom.operators import profile, quarantine
+from martloom.plans.runner import run_cleaning
 from martloom.sources.schemas import TABLES, quarantine_schema
+from martloom.sources.snapshot import Snapshot
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +77,17 @@ def test_report(dirty):
     assert whole["raw_rows"] == whole["clean_rows"] + whole["quarantined_rows"]
 
 
+def test_cleaning_run_writes_both_sides(spark, dirty, tmp_path):
+    clean, bad = str(tmp_path / "clean"), str(tmp_path / "bad")
+    report = {r["table_name"]: r for r in run_cleaning(dirty, clean, bad).collect()}
+    assert report["order_items"]["quarantined_rows"] == 5
+    snap = Snapshot.load(spark, clean)
+    assert (snap.orders.count(), snap.order_items.count(), snap.customers.count()) == (6, 8, 4)
+    stored = spark.read.parquet(f"{bad}/orders_quarantine.parquet")
+    assert stored.columns == quarantine_schema("orders").fieldNames()
+    assert stored.count() == 4
+
+
 def test_profiles(dirty):
     orders = measured(profile.orders_profile(dirty.orders))
     assert orders == {
