@@ -1,7 +1,9 @@
 """Time the twelve marts and a few heavy operators; prints one JSON line.
 
-Each query runs once to warm up and then BENCH_REPEATS times; the median is reported.
-"All twelve marts" also includes writing them, as the published figure does.
+"queries" holds every query on its own, written to Parquet. "value" is one run of all
+twelve marts, each written and counted, with the join of lines and order headers stored
+once and its time included. Everything runs once to warm up and then BENCH_REPEATS
+times; medians are reported.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import tempfile
 import time
 
 from martloom.catalog.queries import all_queries
+from martloom.plans.runner import run_marts
 from martloom.session import local_session
+from martloom.sources.star import star_snapshot
 
 MARTS = [
     "menu_performance_brands",
@@ -53,19 +57,24 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     catalog = all_queries()
     scratch = tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp")
-    seconds: dict[str, float] = {}
-    for name in only or [*MARTS, *OTHERS]:
+
+    def timed(work) -> float:
         runs = []
-        for i in range(repeats + 1):
+        for _ in range(repeats + 1):
             started = time.perf_counter()
-            catalog[name](spark, sf_dir).write.mode("overwrite").parquet(f"{scratch}/{name}")
+            work()
             runs.append(time.perf_counter() - started)
-        seconds[name] = round(statistics.median(runs[1:]), 3)
-    total = round(sum(s for n, s in seconds.items() if n in MARTS), 3)
+        return round(statistics.median(runs[1:]), 3)
+
+    def write(name: str) -> None:
+        catalog[name](spark, sf_dir).write.mode("overwrite").parquet(f"{scratch}/{name}")
+
+    seconds = {name: timed(lambda: write(name)) for name in only or [*MARTS, *OTHERS]}
+    total = timed(lambda: run_marts(star_snapshot(spark, sf_dir, "brand"), f"{scratch}/marts"))
     print(
         json.dumps(
             {
-                "metric": "twelve_marts_warm_median_seconds",
+                "metric": "all_twelve_marts_written",
                 "value": total,
                 "unit": "sec",
                 "queries": seconds,

@@ -23,7 +23,12 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df once; later readers scan the files and survive lost executors."""
+    """Write df once; later readers scan the files and survive lost executors.
+
+    The table lives until the application ends.
+    """
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -56,18 +56,19 @@ def test_quantile_bins_of_positions(spark):
     ]
 
 
-@pytest.mark.parametrize("scale", [ScaleRules(), SPREAD])
-def test_pairs_equal_brute_force(spark, scale):
+@pytest.mark.parametrize("threshold", [1, 3, 6])
+@pytest.mark.parametrize("scale", [ScaleRules(), SPREAD, ScaleRules(small_basket=5, block_items=7)])
+def test_pairs_equal_brute_force(spark, scale, threshold):
     rng = random.Random(3)
     groups = {g: rng.sample(range(30), rng.randint(1, 6)) for g in range(60)}
     groups[99] = list(range(30))
     groups[98] = list(range(5, 30))
     members = [(g, i) for g, items in groups.items() for i in items]
     df = spark.createDataFrame(members, "g int, item int")
-    pairs, per_item, total = pair_counts(df, "g", "item", 3, scale)
+    pairs, per_item, total = pair_counts(df, "g", "item", threshold, scale)
     kept = {g: items for g, items in groups.items() if len(items) >= 2}
     counted = Counter(p for items in kept.values() for p in combinations(sorted(items), 2))
-    want = {p: n for p, n in counted.items() if n >= 3}
+    want = {p: n for p, n in counted.items() if n >= threshold}
     assert {(a, b): n for a, b, n in map(tuple, pairs.collect())} == want
     singles = Counter(i for items in kept.values() for i in items)
     assert dict(map(tuple, per_item.collect())) == dict(singles)
