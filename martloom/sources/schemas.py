@@ -6,7 +6,7 @@ contract that incoming snapshots follow.
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 _DDL: dict[str, str] = {
     "customers": """
@@ -141,7 +141,7 @@ def table_schema(name: str) -> StructType:
     """Schema of one source table; needs a running session to parse the DDL."""
     if name not in _DDL:
         raise KeyError(f"unknown table {name!r}; known tables: {', '.join(TABLES)}")
-    return _parse_datatype_string(_DDL[name])
+    return StructType.fromDDL(_DDL[name])
 
 
 def all_schemas() -> dict[str, StructType]:
@@ -150,7 +150,7 @@ def all_schemas() -> dict[str, StructType]:
 
 def quarantine_schema(name: str) -> StructType:
     extra = [
-        StructField("quarantine_reason", _parse_datatype_string("string")),
-        StructField("quarantined_at", _parse_datatype_string("timestamp")),
+        StructField("quarantine_reason", StringType()),
+        StructField("quarantined_at", TimestampType()),
     ]
     return StructType(table_schema(name).fields + extra)
