@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from martloom.sources.snapshot import path_exists
 
@@ -13,14 +12,17 @@ CSV_ROW_LIMIT = 50_000
 def write_mart(
     df: DataFrame, path: str, partition_by: list[str] | None = None
 ) -> int:
-    """Overwrite a Parquet table and return its row count, in one pass over the plan."""
-    seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = counted.write.mode("overwrite").option("compression", "snappy")
+    """Overwrite a Parquet table and return its row count.
+
+    The count reads the written files' footers, so the plan runs once. An observed metric
+    is not used: once a session holds one, MLlib models with a training summary no longer
+    serialize in it.
+    """
+    writer = df.write.mode("overwrite").option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return int(seen.get["rows"])
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def read_mart(
