@@ -5,20 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from martloom.llm import quality
-from martloom.llm.common import table
+from martloom.llm import automaton, grammar, packing, quality
+from martloom.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary files are; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    grammar.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file(), path)
+    read = grammar.read_documents(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.code_digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op5_packing": packing_query,
+        "op7_token_files": token_files,
         "op9_quality_rules": quality_rules,
+        "op10_bpe": bpe_codes,
     }
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.sources.staging import stage
+from martloom.sources.staging import stage, staging_root
 
-__all__ = ["SPACE", "distinct_names", "stage", "table", "words_of"]
+__all__ = ["SPACE", "distinct_names", "scratch", "stage", "table", "words_of"]
 
 # the white space that separates words, as a Java and RE2 character class
 SPACE = r"[\x20\x09-\x0D]"
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in shared storage."""
+    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
