@@ -49,6 +49,9 @@ def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
+    # the pipeline's module uses this one
+    import corpus_pipeline
+
     return {
         "op2_jaccard_join": jaccard_query,
         "op3_suffix_dedup": suffix_query,
@@ -56,6 +59,7 @@ def llm_queries() -> dict[str, Query]:
         "op7_token_files": token_files,
         "op9_quality_rules": quality_rules,
         "op10_bpe": bpe_codes,
+        "pipeline": corpus_pipeline.run,
     }
 
 
