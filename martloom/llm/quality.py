@@ -216,7 +216,10 @@ def _verdict(features: DataFrame, stratum: str, cutoffs: DataFrame, rules: Quali
     for name, score in _scores().items():
         over = over | F.coalesce(score > F.col(f"{name}_cutoff"), F.lit(False))
     failed = _base_failed(rules)
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~over})
+    # one comparison that needs both sides of the join: a filter on it cannot move below
+    # the counts, where every use of a word list would split the text again
+    kept = F.greatest(failed.cast("int"), over.cast("int")) == 0
+    return joined.withColumns({"base_failed": failed, "kept": kept})
 
 
 def _labelled(features: DataFrame, labels: DataFrame, doc_id: str, stratum: str, rules: QualityRules) -> DataFrame:
@@ -258,7 +261,7 @@ def keep_good(
     """The rows of docs that the rules keep, with all their columns."""
     bare = docs.select(doc_id, stratum, text)
     known = bare.join(_good(labels, doc_id).select("label_id_"), F.col(doc_id) == F.col("label_id_"), "left_semi")
-    features = base_counts(known, text).drop(text)
+    features = stage(base_counts(known, text).drop(text), "quality")
     cutoffs = stage(certified_cutoffs(_labelled(features, labels, doc_id, stratum, rules), rules), "cutoffs")
     whole = docs.select(
         F.col(doc_id).alias("doc_id_"), F.col(stratum).alias("lang_"), F.col(text).alias("text_"), F.struct("*").alias("row_")
