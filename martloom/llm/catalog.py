@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import automaton, grammar, jaccard_join, packing, quality, suffix_dedup
+from martloom.llm import automaton, grammar, jaccard_join, packing, quality, suffix_dedup, vector_search
 from martloom.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
 
@@ -55,6 +59,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op2_jaccard_join": jaccard_query,
         "op3_suffix_dedup": suffix_query,
+        "op4_vector_search": vector_query,
         "op5_packing": packing_query,
         "op7_token_files": token_files,
         "op9_quality_rules": quality_rules,
@@ -63,5 +68,23 @@ def llm_queries() -> dict[str, Query]:
     }
 
 
+VECTOR_SQL = """
+WITH whole AS (
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_vector_search": VECTOR_SQL}
