@@ -18,13 +18,12 @@ table gives files without shards; a document longer than a shard fills one of it
 from __future__ import annotations
 
 import struct
-import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +33,18 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 _HEAD = struct.Struct("<4sIIIIQ")
 _MAGIC = b"RPG1"
-_BUCKETS = 18
+_SLOTS = 18
 _NONE = np.iinfo(np.int32).max
 
 
-def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs with `least` occurrences or more: values, ranks, places to look.
+def _frequent(pairs: np.ndarray, slot: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `most` pairs that occur `least` times or more, the frequent first, and where to look.
 
-    Pairs are first counted in hashed buckets, which only overestimates. The exact count
-    sorts what lies in buckets that can hold one of the `most` best.
+    Pairs are first counted in hashed slots, which only overestimates. The exact count
+    sorts what lies in slots that can hold one of the best.
     """
-    slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-    held = np.bincount(slot[free], minlength=1 << _BUCKETS)
+    held = np.bincount(slot, minlength=1 << _SLOTS)
+    held -= np.bincount(slot[~free], minlength=1 << _SLOTS)
     bound = max(least, int(np.partition(held, -most)[-most]))
     places = np.flatnonzero((held >= bound)[slot] & free)
     ordered = np.sort(pairs[places])
@@ -53,19 +52,16 @@ def _frequent(pairs: np.ndarray, free: np.ndarray, least: int, most: int) -> tup
     counts = np.diff(np.append(first, len(ordered)))
     enough = counts >= least
     values, counts = ordered[first[enough]], counts[enough]
-    order = np.lexsort((values, -counts))[:most]
-    chosen = np.sort(values[order])
-    rank = np.empty(len(chosen), np.int32)
-    rank[np.searchsorted(chosen, values[order])] = np.arange(len(chosen))
-    return chosen, rank, places
+    return values[np.lexsort((values, -counts))[:most]], places
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 5, most: int = 16_000) -> tuple:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 3, most: int = 16_000) -> tuple:
     """(rules, symbols, starts): rules as an array of pairs, rule r being symbol base + r.
 
     ends holds the exclusive end of each document in ids; starts, where each begins among
-    the symbols. Each round makes at most a third of the rules, so that later rounds can
-    build on them.
+    the symbols. Each round makes an equal part of the rules, so that later rounds can
+    build on them. Of two pairs in one slot the more frequent one waits for no one and the
+    other for the next round.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
@@ -73,28 +69,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, round
     rules: list[np.ndarray] = []
     made = 0
     for _ in range(rounds):
-        room = min(most - made, max(1, most // 3))
+        room = min(most - made, -(-most // rounds))
         if len(seq) < 2 or room <= 0:
             break
         pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        chosen, rank, places = _frequent(pairs, ~last[:-1], least, room)
+        slot = _slots(pairs)
+        chosen, places = _frequent(pairs, slot, ~last[:-1], least, room)
         if not len(chosen):
             break
-        at = np.minimum(np.searchsorted(chosen, pairs[places]), len(chosen) - 1)
-        hit = chosen[at] == pairs[places]
-        places, at = places[hit], at[hit]
+        rank_of = np.full(1 << _SLOTS, -1, np.int32)
+        rank_of[_slots(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
+        rank = rank_of[slot[places]]
+        hit = (rank >= 0) & (chosen[rank] == pairs[places])
+        places, rank = places[hit], rank[hit]
         order = np.full(len(pairs), _NONE, np.int32)
-        order[places] = rank[at]
+        order[places] = rank
         take = _apart(order)[places]
-        places, at = places[take], at[take]
-        used = np.bincount(at, minlength=len(chosen)) >= 2
-        places, at = places[used[at]], at[used[at]]
+        places, rank = places[take], rank[take]
+        used = np.bincount(rank, minlength=len(chosen)) >= 2
+        kept = used[rank]
+        places, rank = places[kept], rank[kept]
         if not len(places):
             break
         number = np.cumsum(used) - 1
         fresh = chosen[used]
         rules.append(np.stack([fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        seq[places] = base + made + number[at]
+        seq[places] = base + made + number[rank]
         last[places] = last[places + 1]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
@@ -105,6 +105,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, round
     return pairs, seq, starts
 
 
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+
+
 def _apart(order: np.ndarray) -> np.ndarray:
     """Places whose pair goes before both overlapping ones; of a run of one pair every second."""
     left = np.concatenate([[_NONE], order[:-1]])
@@ -121,10 +125,10 @@ def _apart(order: np.ndarray) -> np.ndarray:
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for; a rule only names earlier rules."""
-    lengths = np.ones(len(rules), np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[r] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return lengths
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+    return np.array(lengths, np.int64)
 
 
 def _expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -168,6 +172,12 @@ class Shard:
         stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.symbols)
         return _expand(self.symbols[self.starts[i] : stop], self.rules, self.base)
 
+    def documents(self) -> list[np.ndarray]:
+        """All documents; the whole shard is expanded at once."""
+        every = _expand(self.symbols, self.rules, self.base)
+        first = np.concatenate([[0], self._ends])[self.starts]
+        return np.split(every, first[1:])
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard."""
         if stop <= start or not len(self._ends):
@@ -203,23 +213,54 @@ def write_token_files(
 ) -> None:
     """Write the table of shards (task, shard, n_ids, doc_ids, doc_starts, payload) to path."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     many = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(many, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    end = array("I", [end_id]).tobytes()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    edges = _edges(rows.select("doc_id"), many)
+    coded = rows.mapInArrow(_encode(tokenizer, end_id, edges), f"doc_id {kind}, tie long, task int, width int, ids binary")
+    ordered = coded.repartitionById(len(edges) + 1, "task").sortWithinPartitions("task", "doc_id", "tie")
     schema = f"task int, shard int, n_ids long, doc_ids array<{kind}>, doc_starts array<bigint>, payload binary"
+    base = library_ids(tokenizer).size
+    ordered.mapInArrow(_shards(schema, base, shard_ids), schema).write.parquet(path)
+
+
+def _edges(ids: DataFrame, many: int) -> list:
+    """The least id of each of `many` ranges but the first; reads the ids alone."""
+    ranges = ids.where("doc_id is not null").repartitionByRange(many, "doc_id")
+    least = ranges.groupBy(F.spark_partition_id().alias("task")).agg(F.min("doc_id").alias("least"))
+    return sorted(r["least"] for r in least.collect())[1:]
+
+
+def _encode(tokenizer: str, end_id: int, edges: list):
+    """Rows with their range as task and their ids, two bytes each where all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_ids(tokenizer)
-        base = encoder.size
-        task, shard = TaskContext.get().partitionId(), 0
+        end = array("I", [end_id]).tobytes()
+        for batch in batches:
+            tasks, widths, coded = [], [], []
+            for owner, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = np.frombuffer(encoder.packed(value.as_py()) + end, "<u4")
+                width = 2 if ids.max() < 1 << 16 else 4
+                tasks.append(0 if owner is None else bisect_right(edges, owner))
+                widths.append(width)
+                coded.append(ids.astype(f"<u{width}").tobytes())
+            arrays = [batch.column("doc_id"), batch.column("tie"), pa.array(tasks, pa.int32()), pa.array(widths, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(coded, pa.binary())], ["doc_id", "tie", "task", "width", "ids"])
+
+    return run
+
+
+def _shards(schema: str, base: int, shard_ids: int):
+    """Shards of a range's documents, in their order; a range lies in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = shard = held = 0
         owners: list = []
-        parts: list[bytes] = []
-        held = 0
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            payload = shard_bytes(np.frombuffer(b"".join(parts), "<u4"), ends, base)
+            ends = np.cumsum([len(p) for p in parts])
+            payload = shard_bytes(np.concatenate(parts), ends, base)
             values = [[task], [shard], [int(ends[-1])], [owners], [[0, *ends[:-1].tolist()]], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
             arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
@@ -227,18 +268,21 @@ def write_token_files(
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for owner, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                packed = encoder.packed(value.as_py()) + end
-                if parts and held + len(packed) // 4 > shard_ids:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "task", "width", "ids"))
+            for owner, own_task, width, packed in zip(*columns, strict=True):
+                ids = np.frombuffer(packed, f"<u{width}").astype(np.uint32)
+                if parts and (held + len(ids) > shard_ids or own_task != task):
                     yield flush()
-                    owners, parts, held, shard = [], [], 0, shard + 1
-                owners.append(owner.as_py())
-                parts.append(packed)
-                held += len(packed) // 4
+                    shard = shard + 1 if own_task == task else 0
+                    owners, parts, held = [], [], 0
+                task = own_task
+                owners.append(owner)
+                parts.append(ids)
+                held += len(ids)
         if parts:
             yield flush()
 
-    ordered.select("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
+    return run
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -263,14 +307,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(batch.column("payload")[row].as_py())
                 first = batch.column("first")[row].as_py()
                 starts = [first + s.as_py() for s in batch.column("doc_starts")[row].values]
-                ids = [shard.document(i).astype("<u4").tobytes() for i in range(len(starts))]
+                ids = [x.astype("<u4").tobytes() for x in shard.documents()]
                 counts = [len(x) // 4 for x in ids]
                 arrays = [batch.column("doc_ids")[row].values, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())]
                 arrays.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
-
-
-def checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
