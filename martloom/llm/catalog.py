@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import automaton, chat, grammar, jaccard_join, packing, quality, suffix_dedup, vector_search
+from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, packing, quality, suffix_dedup, vector_search
 from martloom.llm.common import scratch, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     grammar.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file(), path)
@@ -75,6 +79,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_suffix_dedup": suffix_query,
         "op4_vector_search": vector_query,
         "op5_packing": packing_query,
+        "op6_html_mincut": html_query,
         "op7_token_files": token_files,
         "op8_chat_format": chat_query,
         "op9_quality_rules": quality_rules,
