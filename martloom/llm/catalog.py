@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, packing, quality, suffix_dedup, vector_search
+from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, licenses, packing, quality, suffix_dedup, vector_search
 from martloom.llm.common import scratch, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def llm_queries() -> dict[str, Query]:
     import corpus_pipeline
 
     return {
+        "op1_license_scan": license_query,
         "op2_jaccard_join": jaccard_query,
         "op3_suffix_dedup": suffix_query,
         "op4_vector_search": vector_query,
@@ -129,5 +135,63 @@ FROM joined
 """
 
 
+def license_sql() -> str:
+    weights, other = licenses.word_weights()
+    words = licenses.template_words()
+    vocabulary = ", ".join(f"('{w}', {v})" for w, v in weights.items())
+    templates = ", ".join(
+        f"({-i}, '{name}', {sum(weights[w] for w in ws)}, [{', '.join(repr(w) for w in ws)}])"
+        for i, ((name, _), ws) in enumerate(zip(licenses.TEMPLATES, words, strict=True))
+    )
+    return rf"""
+WITH vocabulary(word, weight) AS (VALUES {vocabulary}),
+templates(t, name, size, words) AS (VALUES {templates}),
+files AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body,
+    concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
+      coalesce(CAST(doc_id // 1000 AS VARCHAR), 'unknown')) AS dir,
+    coalesce(CAST(doc_id AS VARCHAR), 'unknown') AS name
+  FROM documents
+), units AS (
+  SELECT id, false AS whole, unnest(string_split(body, chr(10))) AS unit FROM files
+  UNION ALL
+  SELECT id, false, unnest(p) FROM (SELECT id, regexp_split_to_array(body, '
+\s*
+') AS p FROM files) WHERE len(p) > 1
+  UNION ALL
+  SELECT id, true, body FROM files
+), bags AS (
+  SELECT row_number() OVER () AS u, id, whole,
+    list_distinct([w FOR w IN regexp_split_to_array(lower(unit), '[^\p{{L}}\p{{N}}]+') IF w <> '']) AS words
+  FROM units
+), hits AS (
+  SELECT u, word, weight FROM (SELECT u, unnest(words) AS word FROM bags) JOIN vocabulary USING (word)
+), inside AS (
+  SELECT u, sum(weight) AS inside, count(*) AS n FROM hits GROUP BY u
+), common AS (
+  SELECT u, t, sum(weight) AS common FROM hits JOIN (SELECT t, unnest(words) AS word FROM templates) USING (word) GROUP BY u, t
+), scored AS (
+  SELECT id, whole, t,
+    round(CAST(common AS DOUBLE) / sqrt(CAST(inside + (len(bags.words) - n) * {other} AS DOUBLE) * CAST(size AS DOUBLE)), 6) AS cosine
+  FROM common JOIN inside USING (u) JOIN bags USING (u) JOIN templates USING (t)
+), best AS (
+  SELECT id, whole, max({{'cosine': cosine, 't': t}}) AS best FROM scored WHERE cosine >= {licenses.LEAST} GROUP BY id, whole
+), licensed AS (
+  SELECT dir AS above, max(best) AS given FROM best JOIN files USING (id) WHERE whole GROUP BY dir
+), near AS (
+  SELECT dir, max({{'depth': len(above) - len(replace(above, '/', '')) + CAST(above <> '' AS INTEGER), 'above': above, 'given': given}}) AS near
+  FROM (SELECT DISTINCT dir FROM files) JOIN licensed ON dir = above OR starts_with(dir, above || '/') OR above = ''
+  GROUP BY dir
+)
+SELECT doc_id, dir || '/' || files.name AS path, templates.name AS license, coalesce(own.best, near.given).cosine AS cosine,
+  CASE WHEN own.best IS NOT NULL THEN 'own' WHEN near.near IS NOT NULL THEN 'directory' END AS origin,
+  CASE WHEN own.best IS NULL THEN near.above END AS license_dir
+FROM files
+LEFT JOIN (SELECT id, best FROM best WHERE NOT whole) own USING (id)
+LEFT JOIN (SELECT dir, near, near.above AS above, near.given AS given FROM near) near USING (dir)
+LEFT JOIN templates ON templates.t = coalesce(own.best, near.given).t
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op4_vector_search": VECTOR_SQL, "op8_chat_format": CHAT_SQL}
+    return {"op1_license_scan": license_sql(), "op4_vector_search": VECTOR_SQL, "op8_chat_format": CHAT_SQL}
