@@ -46,15 +46,21 @@ class TokenAutomaton:
         self.born: dict[str, int] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.taken: dict[str, dict[str, int]] = {}
+        self.dead: set[str] = set()
         for step, (u, v) in enumerate(merges):
             self._gadget(step, u, v)
+        # no token has more base symbols than characters
         self.longest = max((len(t) for t in vocab), default=1)
         self._arcs: dict[tuple[str, str], bool] = {}
 
     def _gadget(self, step: int, u: str, v: str) -> None:
         word = u + v
-        if word in self.halves:
+        if word in self.halves or word in self.dead:
             raise ValueError(f"two merges make {word!r}")
+        if u in self.dead or v in self.dead or self._lacks(u, v):
+            # v cannot follow u any more: the merge never applies
+            self.dead.add(word)
+            return
         self.halves[word] = (u, v)
         self.born[word] = step
         self.taken.setdefault(u, {})[v] = step
@@ -104,7 +110,7 @@ class TokenAutomaton:
             stop = ends[end]
             for start in range(max(0, end - self.longest), end):
                 token = text[ends[start] : stop]
-                if token in ids and (start == 0 or self.follows(states[start], token)):
+                if token in ids and token not in self.dead and (start == 0 or self.follows(states[start], token)):
                     states[end], came[end] = token, start
                     break
             else:
