@@ -4,8 +4,9 @@ A document is the set of its five-word shingles. Equal sets become one node firs
 has `TOKENS` min-hash tokens; two sets share a token with the probability of their Jaccard
 similarity. A run starts with all nodes in one bucket; a bucket with more than `bucket`
 nodes is split on sampled tokens, 1 / similarity of them on average, so a pair at the
-threshold is expected to stay together once per level. Small buckets, and those of the
-last level in blocks, are compared by sketches; runs are repeated until a pair at the
+threshold is expected to stay together once per level. A bucket that keeps more than half
+of the one it came from is a group of near copies, which splitting does not part: it is
+compared as it is. Small buckets at once, large ones in blocks, are compared by sketches; runs are repeated until a pair at the
 threshold is missed with probability 1 - recall at most. What the sketches link forms
 candidate components, inside which all pairs are decided exactly, in blocks, on whole
 shingle sets.
@@ -57,7 +58,7 @@ class JoinRules:
     bucket: int = 256
     depth: int = 6
     agree: int = 38
-    block: int = 512
+    block: int = 1024
 
     @property
     def similarity(self) -> float:
@@ -134,7 +135,10 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paths(level: int, runs: int):
-    """Rows (path, node) one level down; the first level starts every run."""
+    """Rows (path, node, before) one level down; the first level starts every run.
+
+    before is the size of the bucket that was split, 0 where that was all nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +146,7 @@ def _paths(level: int, runs: int):
             if not n:
                 continue
             tokens = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
+            before = np.zeros(n, np.int64) if level == 1 else batch.column("held").to_numpy()
             if level == 1:
                 starts = [np.full(n, r, np.uint64) for r in range(1, runs + 1)]
             else:
@@ -156,7 +161,8 @@ def _paths(level: int, runs: int):
                     at = place[rows]
                     key = _mixed(path[rows] * _MIX[5] + at * _MIX[6] + tokens[rows, at.astype(np.int64)], 2)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), batch.column("node").take(pa.array(rows))], ["path", "node"]
+                        [pa.array(key.view(np.int64)), batch.column("node").take(pa.array(rows)), pa.array(before[rows])],
+                        ["path", "node", "before"],
                     )
 
     return run
@@ -331,20 +337,20 @@ def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
 def candidate_edges(nodes: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """Candidate links (u, v) among nodes (node, tokens, sketch): a spanning forest per bucket."""
     tokens = nodes.select("node", "tokens")
-    rows = tokens.mapInArrow(_paths(1, rules.runs()), "path long, node binary")
+    schema = "path long, node binary, before long"
+    rows = tokens.mapInArrow(_paths(1, rules.runs()), schema)
     ready = []
     for level in range(1, rules.depth + 1):
         counts = rows.groupBy(F.col("path").alias("path_")).agg(F.count("*").alias("held")).where("held > 1")
-        met = stage(rows.join(counts, F.col("path") == F.col("path_")).select("path", "node", "held"), "paths")
-        large = met.where(F.col("held") > rules.bucket)
+        met = stage(rows.join(counts, F.col("path") == F.col("path_")).drop("path_"), "paths")
+        settled = (F.col("held") <= rules.bucket) | ((F.col("before") > 0) & (2 * F.col("held") > F.col("before")))
+        large = met.where(~settled)
         if level == rules.depth or large.isEmpty():
             ready.append(met)
             break
-        ready.append(met.where(F.col("held") <= rules.bucket))
+        ready.append(met.where(settled))
         with_tokens = large.join(tokens.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"))
-        rows = with_tokens.select("path", "node", "tokens").mapInArrow(
-            _paths(level + 1, rules.runs()), "path long, node binary"
-        )
+        rows = with_tokens.select("path", "node", "held", "tokens").mapInArrow(_paths(level + 1, rules.runs()), schema)
     met = ready[0]
     for more in ready[1:]:
         met = met.unionByName(more)
