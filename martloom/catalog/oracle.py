@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from martloom.catalog import mart_sql as m
+from martloom.catalog.checks import check_oracles
 from martloom.catalog.domain_sql import with_domain
 from martloom.catalog.quality_sql import quality_oracles
 from martloom.catalog.queries import CUTOFFS, SCENARIOS, SPLITS
@@ -43,6 +44,7 @@ def mart_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     return {
+        **check_oracles(),
         **mart_oracles(),
         **quality_oracles(),
         **feature_oracles(_SPLITS, CUTOFFS),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
+from martloom.catalog.checks import checks
 from martloom.config import DemandRules, ScaleRules, SettlementRules, SplitDates
 from martloom.functions.dates import split_label
 from martloom.functions import dates
@@ -446,7 +447,7 @@ def _options(snap: Snapshot) -> DataFrame:
 def _kpis(snap: Snapshot) -> DataFrame:
     return serving.executive_summary(
         operations.location_performance(snap),
-        customers.customer_rfm(snap),
+        snap.customers,
         anomalies.sales_anomalies(snap.orders, snap.restaurants, fill_days=False),
     )
 
@@ -544,5 +545,8 @@ MODELS: dict[str, Query] = {
 }
 
 
+CHECKS: dict[str, Query] = {name: on_star(build, item) for name, (build, item) in checks().items()}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**MARTS, **JOINS, **QUALITY, **FEATURES, **COMPARISON, **SERVING, **MODELS}
+    return {**CHECKS, **MARTS, **JOINS, **QUALITY, **FEATURES, **COMPARISON, **SERVING, **MODELS}

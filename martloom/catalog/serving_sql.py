@@ -202,9 +202,11 @@ s AS (
   SELECT source_order_id, SUM(quantity * unit_price_at_sale) AS sub, SUM(line_discount) AS disc
   FROM d_items GROUP BY 1),
 b AS (
-  SELECT s.source_order_id, order_status, order_channel, sub, disc,
-    greatest(CAST(0 AS DECIMAL(30,2)), sub - disc) AS base
-  FROM s JOIN d_orders o ON s.source_order_id = o.source_order_id),
+  SELECT *, greatest(CAST(0 AS DECIMAL(30,2)), sub - disc) AS base
+  FROM (
+    SELECT o.source_order_id, order_status, order_channel,
+      CAST(coalesce(sub, 0) AS DECIMAL(30,2)) AS sub, CAST(coalesce(disc, 0) AS DECIMAL(30,2)) AS disc
+    FROM d_orders o LEFT JOIN s ON s.source_order_id = o.source_order_id)),
 t AS (
   SELECT *, CASE WHEN order_status = 'Completed' THEN {share('0.0825')} ELSE 0 END AS tax,
     CASE WHEN order_status = 'Completed' AND order_channel IN ('1-URGENT', '2-HIGH')
@@ -449,6 +451,7 @@ def _recommendations(menu: str, waste: str, rfm: str) -> str:
 (SELECT 'REC-MENU-' || {I} AS id, 'Menu Optimization' AS domain, item_name || ' (' || {I} || ')' AS target,
   printf('%d units sold at a contribution margin of $%.2f', total_quantity, contribution_margin) AS observation,
   printf('Revenue $%.2f, unit cost $%.2f, margin $%.2f', gross_revenue, current_base_cost, contribution_margin) AS evidence,
+  'Demand is there, but each sale loses money' AS interpretation,
   'Raise the price by 10-15% or lower the food cost' AS recommendation, 'Critical' AS priority,
   printf('+$%.2f margin', abs(contribution_margin)) AS expected_impact
 FROM {menu} WHERE flag_high_selling_loss_making ORDER BY contribution_margin, {I}, {R} LIMIT 5)
@@ -456,6 +459,7 @@ UNION ALL
 (SELECT 'REC-WASTE-' || {I}, 'Operational Wastage', item_name || ' (' || {I} || ')',
   printf('$%.2f wasted in high-risk weeks', c),
   printf('Waste cost $%.2f, mean cost ratio %.1f%%', c, pct),
+  'More is prepared than is sold in these weeks',
   'Size daily batches by the demand forecast', 'High',
   printf('$%.2f saved at 30%% less waste', {fixed('c * CAST(0.30 AS DOUBLE)', 2)})
 FROM (
@@ -467,6 +471,7 @@ UNION ALL
 (SELECT 'REC-CHURN-' || {C}, 'Customer Retention', customer_name || ' (' || {C} || ')',
   printf('No order for %d days', recency_days),
   printf('%d orders, $%.2f spent, %d days inactive', frequency, monetary_value, recency_days),
+  'A good customer has stopped coming',
   'Send a win-back offer on the preferred channel', 'Medium',
   printf('$%.2f of past spend at stake', monetary_value)
 FROM {rfm} WHERE rfm_segment = 'At Risk' ORDER BY monetary_value DESC, {C} LIMIT 5)"""

@@ -31,6 +31,11 @@ def money_sum(value: Column | str) -> Column:
     return from_cents(F.sum(cents(value)))
 
 
+def weight_sum(value: Column | str) -> Column:
+    """Total of weights and volumes as exact decimals: small parts are kept until the end."""
+    return F.sum(as_col(value).cast("decimal(20,6)")).cast("double")
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """num / den as double, NULL where den is 0 or NULL."""
     return as_col(num).cast("double") / F.nullif(as_col(den).cast("double"), F.lit(0.0))

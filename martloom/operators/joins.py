@@ -187,7 +187,7 @@ def as_of(
         F.col("held").alias("closed_value"),
         F.explode(
             F.sequence(_month(F.col("valid_from")), _month(F.col("valid_to")), F.expr("interval 1 month"))
-        ).alias("month"),
+        ).alias("_as_of_month"),
     )
     open_ended = cut.filter(F.col("valid_to") == forever).select(
         key, F.col("valid_from").alias("open_from"), F.col("held").alias("open_value")
@@ -198,13 +198,13 @@ def as_of(
     per_key = latest.join(open_ended, key, "left")
     when = F.col(at)
     joined = (
-        facts.withColumn("month", _month(when))
+        facts.withColumn("_as_of_month", _month(when))
         .join(per_key, key, "left")
         .alias("f")
         .join(
             closed.alias("v"),
             (F.col(f"f.{key}") == F.col(f"v.{key}"))
-            & (F.col("f.month") == F.col("v.month"))
+            & (F.col("f._as_of_month") == F.col("v._as_of_month"))
             & (F.col("v.valid_from") <= F.col(f"f.{at}"))
             & (F.col("v.valid_to") > F.col(f"f.{at}")),
             "left",
@@ -225,56 +225,64 @@ def match_promotion(facts: DataFrame, promotions: DataFrame, *, date: str) -> Da
     """The first promotion (by id) active on the day for the line's item or channel.
 
     The OR is split into two equi-joins against one row per (item, day) and per
-    (channel, day), so no fact row ever meets more than one candidate per side.
+    (channel, day), so no fact row ever meets more than one candidate per side. A
+    promotion is spread over days of the facts' own calendar only, so an open end costs
+    nothing; one that ends before it starts matches no day.
     Adds source_promotion_id and line_discount; facts need source_menu_item_id,
     order_channel, quantity and unit_price.
     """
     offer = F.struct(
         F.col("source_promotion_id"), F.col("discount_type"), F.col("discount_value")
     )
-    daily = promotions.select(
+    sold = facts.agg(F.struct(F.min(day(date)).alias("first"), F.max(day(date)).alias("last"))).scalar()
+    begins = F.greatest(F.to_date("start_date"), sold["first"])
+    ends = F.least(F.to_date("end_date"), sold["last"])
+    active = promotions.filter(F.col("start_date") <= F.col("end_date")).withColumns(
+        {"_begins": begins, "_ends": ends}
+    )
+    daily = active.filter("_begins <= _ends").select(
         "source_menu_item_id",
         "applicable_channel",
-        offer.alias("offer"),
-        F.explode(F.sequence("start_date", "end_date")).alias("offer_day"),
+        offer.alias("_offer"),
+        F.explode(F.sequence("_begins", "_ends")).alias("_offer_day"),
     )
 
     def first_offer(column: str, name: str) -> DataFrame:
         return (
             daily.filter(F.col(column).isNotNull())
-            .groupBy(column, "offer_day")
-            .agg(F.min_by("offer", F.col("offer.source_promotion_id")).alias(name))
+            .groupBy(column, "_offer_day")
+            .agg(F.min_by("_offer", F.col("_offer.source_promotion_id")).alias(name))
         )
 
-    by_item = first_offer("source_menu_item_id", "item_offer")
-    by_channel = first_offer("applicable_channel", "channel_offer").withColumnRenamed(
+    by_item = first_offer("source_menu_item_id", "_item_offer")
+    by_channel = first_offer("applicable_channel", "_channel_offer").withColumnRenamed(
         "applicable_channel", "order_channel"
     )
-    dated = facts.withColumn("offer_day", day(date))
-    joined = dated.join(by_item, ["source_menu_item_id", "offer_day"], "left").join(
-        by_channel, ["order_channel", "offer_day"], "left"
+    dated = facts.withColumn("_offer_day", day(date))
+    joined = dated.join(by_item, ["source_menu_item_id", "_offer_day"], "left").join(
+        by_channel, ["order_channel", "_offer_day"], "left"
     )
-    item_id = F.col("item_offer.source_promotion_id")
-    channel_id = F.col("channel_offer.source_promotion_id")
+    item_id = F.col("_item_offer.source_promotion_id")
+    channel_id = F.col("_channel_offer.source_promotion_id")
     best = F.when(
-        channel_id.isNull() | (item_id <= channel_id), F.col("item_offer")
-    ).otherwise(F.col("channel_offer"))
+        channel_id.isNull() | (item_id <= channel_id), F.col("_item_offer")
+    ).otherwise(F.col("_channel_offer"))
     gross = (F.col("quantity").cast("decimal(10,0)")) * F.col("unit_price").cast("decimal(18,4)")
-    value = F.col("offer.discount_value").cast("decimal(10,4)")
+    value = F.col("_offer.discount_value").cast("decimal(10,4)")
     discount = (
         F.when(
-            F.col("offer.discount_type") == "Fixed Amount",
+            F.col("_offer.discount_type") == "Fixed Amount",
             F.least(value, gross).cast("double"),
         )
         .when(
-            F.col("offer.discount_type") == "Percentage",
+            F.col("_offer.discount_type") == "Percentage",
             F.bround(gross * value * F.lit("0.01").cast("decimal(3,2)"), 2).cast("double"),
         )
         .otherwise(F.lit(0.0))
     )
-    return joined.withColumn("offer", best).select(
+    return joined.withColumn("_offer", best).select(
         *[F.col(c) for c in facts.columns],
-        F.col("offer.source_promotion_id").alias("source_promotion_id"),
+        F.col("_offer.source_promotion_id").alias("source_promotion_id"),
         discount.alias("line_discount"),
     )
 

@@ -23,12 +23,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Parent:
-    """A parent table whose key a column must name; NULL names nothing and passes."""
+    """A parent table whose key a column must name; NULL passes only where it is optional."""
 
     reason: str
     column: str
     table: DataFrame
     key: str
+    optional: bool = False
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,9 @@ def _with_defect(df: DataFrame, checks: list[Rule | Parent]) -> DataFrame:
             mark = f"_parent{i}"
             known = check.table.select(F.col(check.key).alias(check.column)).distinct()
             out = out.join(known.withColumn(mark, F.lit(True)), check.column, "left")
-            failed = F.col(check.column).isNotNull() & F.col(mark).isNull()
+            failed = F.col(mark).isNull()
+            if check.optional:
+                failed = failed & F.col(check.column).isNotNull()
         else:
             failed = check.violated
         chain.append(F.when(failed, F.lit(check.reason)))
@@ -89,21 +92,24 @@ def split(df: DataFrame, checks: list[Rule | Parent], unique: Uniqueness | None
         return Outcome(tagged.select(*columns, defect))
 
     key = unique.key
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    single = tagged.join(repeated, key, "left_anti").select(*columns, defect)
+    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = repeated.filter("_n > 1").select("_key")
+    # rows without a key are copies of each other, like any others with one key
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    single = tagged.join(repeated, same, "left_anti").select(*columns, defect)
     copies = (
-        tagged.join(repeated, key, "left_semi")
+        tagged.join(repeated, same, "left_semi")
         .groupBy(*columns, "_defect")
         .agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_place", F.struct(*unique.order_by, *columns))
     )
-    first = copies.groupBy(key).agg(
+    first = copies.groupBy(F.col(key).alias("_key")).agg(
         F.min(F.when(F.col("_defect").isNull(), F.col("_place"))).alias("_first")
     )
     kept = (F.col("_place") == F.col("_first")) & (F.col("_copy") == 1)
     late = F.col("_place") >= F.col("_first")
     several = (
-        copies.join(first, key, "inner")
+        copies.join(first, same, "inner")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(
             *columns,
@@ -133,7 +139,11 @@ def clean_orders(snap: Snapshot, last_year: int = 2025) -> Outcome:
                 "source_restaurant_id",
             ),
             Parent(
-                "ORPHANED_CUSTOMER_ID", "source_customer_id", snap.customers, "source_customer_id"
+                "ORPHANED_CUSTOMER_ID",
+                "source_customer_id",
+                snap.customers,
+                "source_customer_id",
+                optional=True,
             ),
         ],
         Uniqueness("source_order_id", "DUPLICATE_ORDER_ID", ["order_timestamp"]),

@@ -54,7 +54,8 @@ def percent_ranks(
     """Add percent_rank of each named column over all rows; `columns` maps output to input.
 
     Equal values share a rank, so only the distinct values are sorted, each with the
-    number of rows that hold it. `key` identifies a row.
+    number of rows that hold it. NULLs come first and share a rank; a single row has rank
+    0. `key` identifies a row.
     """
     base = stage(df, "rank-input")
     n = base.count()
@@ -78,7 +79,7 @@ def percent_ranks(
         - F.col("metric") * F.lit(n)
     )
     ranks = staged.join(F.broadcast(offsets), "part").select(
-        "metric", "value", (below / F.lit(float(n - 1))).alias("share")
+        "metric", "value", (below / F.lit(float(max(n - 1, 1)))).alias("share")
     )
     ranked = cells.alias("c").join(
         ranks.alias("r"),
@@ -101,21 +102,21 @@ def row_positions(
 ) -> tuple[DataFrame, int]:
     """Add 1-based global positions and return the row count.
 
-    `orders` maps an output name to (column, ascending). Ties break on the key, which
-    must be unique, so the positions are the same in every run.
+    `orders` maps an output name to (column, ascending). Values compare as doubles; NULLs
+    come first when ascending and last when descending. Ties break on the key, which must
+    be unique, so the positions are the same in every run and at every size.
     """
     base = stage(df, "position-input")
     n = base.count()
     if n <= scale.one_task_rows:
-        out = base.withColumns(
-            {
-                name: F.row_number().over(
-                    Window.orderBy(F.col(c).asc() if up else F.col(c).desc(), F.col(key))
-                )
-                for name, (c, up) in orders.items()
-            }
-        )
-        return out, n
+
+        def place(name: str, up: bool) -> Column:
+            value = F.col(name).cast("double")
+            return F.row_number().over(
+                Window.orderBy(value.asc_nulls_first() if up else value.desc_nulls_last(), key)
+            )
+
+        return base.withColumns({name: place(c, up) for name, (c, up) in orders.items()}), n
     signed = base.select(
         key,
         *[
@@ -124,7 +125,10 @@ def row_positions(
         ],
     )
     cells = _long_form(signed, list(orders), [key])
-    staged, offsets = _placed(cells.orderBy("metric", "value", key), F.lit(1))
+    # descending values are negated, so their NULLs have to be sent to the end
+    falling = [i for i, (_, up) in enumerate(orders.values()) if not up]
+    last = F.col("value").isNull() & F.col("metric").isin(*falling)
+    staged, offsets = _placed(cells.orderBy("metric", last, "value", key), F.lit(1))
     position = F.col("offset") + F.col("row") + 1 - F.col("metric") * F.lit(n)
     wide = (
         staged.join(F.broadcast(offsets), "part")

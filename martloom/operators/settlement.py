@@ -23,7 +23,7 @@ def settle_orders(
     rules: SettlementRules = SettlementRules(),
     order_rules: OrderRules = OrderRules(),
 ) -> DataFrame:
-    """Subtotal, discount, tax, tip and total per order.
+    """Subtotal, discount, tax, tip and total of every order; 0 for one without lines.
 
     Completed orders pay tax; completed orders on a tipped channel also tip. The base of
     both is what remains after the discount, never below zero.
@@ -35,7 +35,9 @@ def settle_orders(
     completed = F.col("order_status") == order_rules.completed_status
     tipped = completed & F.col("order_channel").isin(*rules.tipped_channels)
     base = F.greatest(F.lit(0), F.col("subtotal") - F.col("discount"))
-    settled = sums.join(orders.select(ORDER, "order_status", "order_channel"), ORDER).withColumns(
+    headers = orders.select(ORDER, "order_status", "order_channel")
+    found = headers.join(sums, ORDER, "left").fillna(0, ["subtotal", "discount"])
+    settled = found.withColumns(
         {
             "tax": F.when(completed, _share(base, rules.tax_rate)).otherwise(0),
             "tip": F.when(tipped, _share(base, rules.tip_rate)).otherwise(0),

@@ -24,6 +24,7 @@ def _advice(df: DataFrame, domain: str, priority: str, fields: dict[str, Column]
         fields["target"].alias("target"),
         fields["observation"].alias("observation"),
         fields["evidence"].alias("evidence"),
+        fields["interpretation"].alias("interpretation"),
         fields["recommendation"].alias("recommendation"),
         F.lit(priority).alias("priority"),
         fields["impact"].alias("expected_impact"),
@@ -59,6 +60,7 @@ def menu_advice(menu: DataFrame, limit: int = PER_DOMAIN) -> DataFrame:
                 "current_base_cost",
                 "contribution_margin",
             ),
+            "interpretation": F.lit("Demand is there, but each sale loses money"),
             "recommendation": F.lit("Raise the price by 10-15% or lower the food cost"),
             "impact": F.format_string("+$%.2f margin", F.abs("contribution_margin")),
         },
@@ -91,6 +93,7 @@ def waste_advice(waste: DataFrame, limit: int = PER_DOMAIN) -> DataFrame:
             "evidence": F.format_string(
                 "Waste cost $%.2f, mean cost ratio %.1f%%", "waste_cost", "mean_pct"
             ),
+            "interpretation": F.lit("More is prepared than is sold in these weeks"),
             "recommendation": F.lit("Size daily batches by the demand forecast"),
             "impact": F.format_string("$%.2f saved at 30%% less waste", saving),
         },
@@ -118,6 +121,7 @@ def retention_advice(rfm: DataFrame, limit: int = PER_DOMAIN) -> DataFrame:
                 "monetary_value",
                 "recency_days",
             ),
+            "interpretation": F.lit("A good customer has stopped coming"),
             "recommendation": F.lit("Send a win-back offer on the preferred channel"),
             "impact": F.format_string("$%.2f of past spend at stake", "monetary_value"),
         },

@@ -36,7 +36,7 @@ def compare_regression(
     left, right = f"{names[0]}_prediction", f"{names[1]}_prediction"
     joined = _windowed(a, split).select(
         *keys, "actual_quantity", F.col("predicted_quantity").alias(left), "split"
-    ).join(b.select(*keys, F.col("predicted_quantity").alias(right)), keys, "inner")
+    ).join(_windowed(b, split).select(*keys, F.col("predicted_quantity").alias(right)), keys, "inner")
     x, y, actual = F.col(left), F.col(right), F.col("actual_quantity")
     scale = (F.abs(x) + F.abs(y)) / 2.0 + 1e-9
     return joined.withColumn("numerical_difference", fixed(F.abs(x - y), 4)).withColumns(
@@ -88,7 +88,7 @@ def compare_classes(
         F.col(probability).alias(f"{one}_{probability}"),
         "split",
     )
-    right = b.select(
+    right = _windowed(b, split).select(
         *keys,
         F.col("predicted_label").alias(f"{two}_predicted_label"),
         F.col(probability).alias(f"{two}_{probability}"),
@@ -143,6 +143,12 @@ def segment_summary(compared: DataFrame, task: str = "customer_segmentation") ->
     ).withColumn("task", F.lit(task))
 
 
+def with_champions(summary: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Per task summaries with the algorithm that won the task, NULL where none is stored."""
+    winners = metadata.filter("is_champion").select(F.col("task").alias("_task"), F.col("algorithm").alias("champion"))
+    return summary.join(winners, F.col("task") == F.col("_task"), "left").drop("_task")
+
+
 def overall_agreement(summaries: list[DataFrame]) -> DataFrame:
     """The unweighted mean of the tasks' agreement percentages."""
     columns = ["task", "agreement_pct", "total_records_compared"]

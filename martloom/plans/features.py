@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from martloom.config import ChurnRules, OrderRules, ScaleRules, SplitDates, WasteRules
 from martloom.functions.dates import day, iso_week, split_label, week_start
-from martloom.functions.numeric import cents, fixed, from_cents, money_sum, ratio, safe_ratio
+from martloom.functions.numeric import cents, fixed, from_cents, money_sum, ratio, safe_ratio, weight_sum
 from martloom.operators.joins import counted_orders, split_on_null
 from martloom.operators.ranking import quantile_bin_of, row_positions
 from martloom.operators.timeseries import if_full, series, trailing
@@ -202,7 +202,7 @@ def waste_features_full(
         .withColumnsRenamed(named)
         .groupBy(*keys)
         .agg(
-            money_sum("quantity_lost").alias("waste_quantity"),
+            weight_sum("quantity_lost").alias("waste_quantity"),
             money_sum("cost_loss_amount").alias("waste_cost"),
         )
     )

@@ -15,6 +15,7 @@ from martloom.functions.numeric import (
     from_cents,
     money_sum,
     safe_ratio,
+    weight_sum,
 )
 from martloom.operators.joins import attach, counted_orders, split_on_null
 from martloom.operators.ranking import percent_ranks
@@ -98,7 +99,7 @@ def _item_stats(
     dish_waste, _ = split_on_null(snap.wastage, ITEM)
     dish_ratings, _ = split_on_null(snap.ratings, ITEM)
     waste = dish_waste.groupBy(*keys).agg(
-        money_sum("quantity_lost").alias("waste_quantity"),
+        weight_sum("quantity_lost").alias("waste_quantity"),
         money_sum("cost_loss_amount").alias("waste_cost"),
     )
     ratings = dish_ratings.groupBy(*keys).agg(

@@ -9,12 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator,
-    ClusteringEvaluator,
-    MulticlassClassificationEvaluator,
-)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,11 +18,12 @@ from pyspark.sql import functions as F
 
 from martloom.config import SplitDates
 from martloom.functions.dates import split_label
-from martloom.functions.numeric import fixed, ratio
+from martloom.functions.numeric import finite, fixed, ratio
 from martloom.plans.features import CHURN_FEATURES, DEMAND_FEATURES, WASTE_LAG_FEATURES
 from martloom.sources.staging import stage
 
 SEED = 42
+# fixed values: segment names, best first
 SEGMENTS = ("Champions", "Loyal", "At Risk", "Lost")
 
 
@@ -113,19 +110,39 @@ def tournament(
     )
 
 
-def prepare(features: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
-    """Index categories (fit on TRAIN, unseen values kept), assemble and store."""
-    indexed = [f"{c}_index" for c in categories]
-    stages: list[Estimator] = [
-        StringIndexer(inputCol=c, outputCol=i, handleInvalid="keep")
-        for c, i in zip(categories, indexed)
-    ]
-    stages.append(
-        VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features", handleInvalid="skip")
+PRIOR_ROWS = 20.0
+"""How many rows of the overall mean are added to every category's own."""
+
+
+def _category_means(typed: DataFrame, train: DataFrame, category: str, label: str, overall: float) -> DataFrame:
+    """Add the category's mean label in TRAIN, drawn to the overall one; unseen ones get that."""
+    own = train.groupBy(F.col(category).alias("_category")).agg(
+        ((F.sum(F.col(label).cast("double")) + PRIOR_ROWS * overall) / (F.count(label) + PRIOR_ROWS)).alias("_mean")
     )
-    typed = features.withColumns({c: F.col(c).cast("string") for c in categories})
-    model = Pipeline(stages=stages).fit(typed.filter(F.col("split") == "TRAIN"))
-    return stage(model.transform(typed).drop(*indexed), "features")
+    joined = typed.join(own, F.col(category).eqNullSafe(F.col("_category")), "left")
+    mean = F.coalesce("_mean", F.lit(overall))
+    return joined.withColumn(f"{category}_mean", mean).drop("_category", "_mean")
+
+
+def prepare(features: DataFrame, numeric: list[str], categories: list[str], label: str) -> DataFrame:
+    """Encode categories, fill gaps, assemble and store; every row is kept.
+
+    A category becomes the mean label of its TRAIN rows, so any number of categories is one
+    column. A missing number becomes its TRAIN mean, or 0 where TRAIN has none.
+    """
+    train = features.filter(F.col("split") == "TRAIN")
+    means = train.agg(
+        F.avg(F.col(label).cast("double")).alias("_label"),
+        *[F.avg(finite(F.col(c).cast("double"))).alias(c) for c in numeric],
+    ).first()
+    typed = features.withColumns(
+        {c: F.coalesce(finite(F.col(c).cast("double")), F.lit(float(means[c] or 0.0))) for c in numeric}
+    )
+    for category in categories:
+        typed = _category_means(typed, train, category, label, float(means["_label"] or 0.0))
+    encoded = [f"{c}_mean" for c in categories]
+    assembler = VectorAssembler(inputCols=[*numeric, *encoded], outputCol="features", handleInvalid="error")
+    return stage(assembler.transform(typed).drop(*encoded), "features")
 
 
 def regression_scores(label: str) -> Scorer:
@@ -145,24 +162,38 @@ def regression_scores(label: str) -> Scorer:
 
 
 def classification_scores(label: str) -> Scorer:
+    """ROC-AUC, and F1, precision, recall and accuracy weighted by class from one confusion matrix."""
+
     def score(df: DataFrame) -> dict[str, float]:
+        scored = df.select(label, "rawPrediction", "prediction")
         auc = BinaryClassificationEvaluator(
             labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
-        ).evaluate(df)
-        out = {"roc_auc": round(auc, 6)}
-        for name, metric in (
-            ("f1", "f1"),
-            ("precision", "weightedPrecision"),
-            ("recall", "weightedRecall"),
-            ("accuracy", "accuracy"),
-        ):
-            value = MulticlassClassificationEvaluator(labelCol=label, metricName=metric).evaluate(df)
-            out[name] = round(value, 6)
-        return out
+        ).evaluate(scored)
+        cells = {
+            (float(r[0]), float(r[1])): r[2]
+            for r in scored.groupBy(label, "prediction").agg(F.count(F.lit(1))).collect()
+        }
+        return {"roc_auc": round(auc, 6), **weighted_scores(cells)}
 
     return score
 
 
+def weighted_scores(cells: dict[tuple[float, float], int]) -> dict[str, float]:
+    """Scores from counts per (label, prediction)."""
+    total = sum(cells.values())
+    out = {"f1": 0.0, "precision": 0.0, "recall": 0.0}
+    for c in {label for label, _ in cells}:
+        hit = cells.get((c, c), 0)
+        held = sum(n for (label, _), n in cells.items() if label == c)
+        called = sum(n for (_, predicted), n in cells.items() if predicted == c)
+        precision, recall = hit / called if called else 0.0, hit / held
+        f1 = 2 * precision * recall / (precision + recall) if hit else 0.0
+        for name, value in (("f1", f1), ("precision", precision), ("recall", recall)):
+            out[name] += value * held / total
+    out["accuracy"] = sum(n for (label, predicted), n in cells.items() if label == predicted) / max(total, 1)
+    return {name: round(value, 6) for name, value in out.items()}
+
+
 def regressors(label: str) -> list[Candidate]:
     # fixed values: the candidates' settings
     common = {"featuresCol": "features", "labelCol": label}
@@ -219,7 +250,7 @@ def demand_contest(features: DataFrame, splits: SplitDates = SplitDates()) -> Ve
     labelled = features.withColumn("split", split_label("week_start_date", splits)).withColumn(
         label, F.col(label).cast("double")
     )
-    prepared = prepare(labelled, DEMAND_FEATURES, ["category_id", "restaurant_id"])
+    prepared = prepare(labelled, DEMAND_FEATURES, ["category_id", "restaurant_id"], label)
     v = tournament(
         regressors(label), prepared, regression_scores(label), metric="rmse", tie="mae", larger=False
     )
@@ -250,7 +281,7 @@ def waste_contest(features: DataFrame, splits: SplitDates = SplitDates()) -> Ver
     """Next week's risk from lagged ratios; highest validation ROC-AUC wins, ties by F1."""
     label = "next_week_wastage_risk"
     labelled = features.withColumn("split", split_label("week_start_date", splits))
-    prepared = prepare(labelled, WASTE_LAG_FEATURES, ["category_id", "restaurant_id"])
+    prepared = prepare(labelled, WASTE_LAG_FEATURES, ["category_id", "restaurant_id"], label)
     _require_two_classes(prepared, label)
     v = tournament(
         classifiers(label, 25),
@@ -272,7 +303,7 @@ def waste_contest(features: DataFrame, splits: SplitDates = SplitDates()) -> Ver
 def churn_contest(panel: DataFrame) -> Verdict:
     """On the cutoff panel; highest validation ROC-AUC wins, ties by F1."""
     label = "churn_label"
-    prepared = prepare(panel, CHURN_FEATURES, [])
+    prepared = prepare(panel, CHURN_FEATURES, [], label)
     _require_two_classes(prepared, label)
     v = tournament(
         classifiers(label, 30),
@@ -310,10 +341,13 @@ def label_clusters(clustered: DataFrame) -> DataFrame:
 def segment_contest(customers: DataFrame, k: int = 4, with_mixture: bool = False) -> Verdict:
     """Scaled recency, frequency and money; highest silhouette wins."""
     columns = ["recency_days", "frequency", "monetary_total"]
-    typed = customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in columns])
+    known = customers.agg(*[F.avg(finite(F.col(c).cast("double"))).alias(c) for c in columns]).first()
+    # a missing number becomes the mean: every customer gets a segment
+    filled = [F.coalesce(finite(F.col(c).cast("double")), F.lit(float(known[c] or 0.0))).alias(c) for c in columns]
+    typed = customers.select("customer_id", *filled)
     scale = Pipeline(
         stages=[
-            VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"),
+            VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error"),
             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
         ]
     )

@@ -62,19 +62,24 @@ def promotions(
 ) -> DataFrame:
     """Redemptions, discount and margin per promotion and branch, with the trap flag."""
     key = "source_promotion_id"
+    redeemed = sold_of(snap, orders).filter(F.col(key).isNotNull())
+    # one distinct count per aggregate: two in one would triple the rows
+    guests = redeemed.groupBy(F.col(key).alias("_key"), F.col(RESTAURANT).alias("_at")).agg(
+        F.count_distinct(CUSTOMER).alias("unique_customers")
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(RESTAURANT).eqNullSafe(F.col("_at"))
     stats = (
-        sold_of(snap, orders)
-        .filter(F.col(key).isNotNull())
-        .groupBy(key, RESTAURANT)
+        redeemed.groupBy(key, RESTAURANT)
         .agg(
             F.count("source_order_item_id").alias("redemption_count"),
             F.sum("quantity").alias("units_sold"),
             F.count_distinct(ORDER).alias("unique_orders"),
-            F.count_distinct(CUSTOMER).alias("unique_customers"),
             money_sum("line_discount").alias("total_discount"),
             money_sum("line_net_revenue").alias("net_revenue"),
             money_sum("line_contribution_margin").alias("contribution_margin"),
         )
+        .join(guests, same)
+        .drop("_key", "_at")
         .withColumns(
             {
                 "margin_percentage": floored_ratio("contribution_margin", "net_revenue"),

@@ -37,9 +37,9 @@ def filter_options(location: DataFrame, menu: DataFrame, channel: DataFrame) ->
     )
 
 
-def executive_summary(location: DataFrame, rfm: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row of headline figures."""
-    people = rfm.agg(F.count(F.lit(1))).scalar()
+def executive_summary(location: DataFrame, customers: DataFrame, sales: DataFrame) -> DataFrame:
+    """One row of headline figures; customers are only counted."""
+    people = customers.agg(F.count(F.lit(1))).scalar()
     unusual = sales.agg(
         F.count_if(F.col("is_spike_anomaly") | F.col("is_drop_anomaly"))
     ).scalar()

@@ -36,10 +36,10 @@ _COLUMNS = [
 def _weekly_waste(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Weekly quantity and cost; the primary reason is the costliest, then the first by name."""
     per_reason = rows.groupBy(*keys, "week_start", "wastage_reason").agg(
-        F.sum(cents("quantity_lost")).alias("q"), F.sum(cents("cost_loss_amount")).alias("c")
+        F.sum(F.col("quantity_lost").cast("decimal(20,6)")).alias("q"), F.sum(cents("cost_loss_amount")).alias("c")
     )
     return per_reason.groupBy(*keys, "week_start").agg(
-        from_cents(F.sum("q")).alias("waste_quantity"),
+        F.sum("q").cast("double").alias("waste_quantity"),
         from_cents(F.sum("c")).alias("waste_cost"),
         F.min_by("wastage_reason", F.struct(-F.col("c"), F.col("wastage_reason"))).alias(
             "primary_reason"

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from martloom.sources.snapshot import path_exists
 
-CSV_ROW_LIMIT = 50_000
-
-
 def write_mart(
     df: DataFrame, path: str, partition_by: list[str] | None = None
 ) -> int:
@@ -25,13 +22,30 @@ def write_mart(
     return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
+def _first_rows(df: DataFrame, order: list[Column | str] | None, limit: int | None) -> DataFrame:
+    """The first rows by an order; a limit without one would return any rows."""
+    if limit is None:
+        return df
+    if not order:
+        raise ValueError("a limit needs an order")
+    return df.orderBy(*order).limit(limit)
+
+
 def read_mart(
-    spark: SparkSession, path: str, columns: list[str] | None = None, limit: int | None = None
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    limit: int | None = None,
+    order: list[Column | str] | None = None,
 ) -> DataFrame:
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*[c for c in columns if c in df.columns])
-    return df if limit is None else df.limit(limit)
+    """A stored mart: named columns only, in their order; unknown names are an error."""
+    df = _first_rows(spark.read.parquet(path), order, limit)
+    if not columns:
+        return df
+    unknown = [c for c in columns if c not in df.columns]
+    if unknown:
+        raise KeyError(f"no such columns: {', '.join(unknown)}")
+    return df.select(*columns)
 
 
 def mart_metadata(spark: SparkSession, path: str) -> dict[str, object]:
@@ -49,10 +63,11 @@ def available_marts(spark: SparkSession, root: str, names: list[str]) -> dict[st
     return {name: path_exists(spark, f"{root.rstrip('/')}/{name}.parquet") for name in names}
 
 
-def export_csv(df: DataFrame, path: str, limit: int = CSV_ROW_LIMIT) -> None:
-    """The report export: at most 50,000 rows, header first."""
-    rows = min(limit, CSV_ROW_LIMIT)
-    df.limit(rows).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(
+    df: DataFrame, path: str, limit: int | None = None, order: list[Column | str] | None = None
+) -> None:
+    """All rows as CSV, header first; on request only the first ones by an order."""
+    _first_rows(df, order, limit).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_run_metadata(df: DataFrame, path: str) -> None:

@@ -41,5 +41,5 @@ def test_query_matches_oracle(spark, small_dir, oracle, name):
 def test_entry_runs(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0
-    assert set(entry_module.queries()) == set(QUERIES)
-    assert set(entry_module.oracle_sql()) == set(ORACLES)
+    assert set(entry_module.queries()) >= set(QUERIES)
+    assert set(entry_module.oracle_sql()) >= set(ORACLES)
