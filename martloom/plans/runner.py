@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -15,7 +16,7 @@ from martloom.plans import anomalies, basket, customers, demand, menu, operation
 from martloom.plans.base import with_stored_sales
 from martloom.sources.sinks import write_mart
 from martloom.sources.snapshot import Snapshot, table_path
-from martloom.sources.staging import stage
+from martloom.sources.staging import stage, staging_scope
 
 MARTS: dict[str, Callable[[Snapshot], DataFrame]] = {
     "mart_menu_performance": menu.menu_performance,
@@ -68,6 +69,18 @@ def run_marts(
     The join of lines and headers, which nine marts need, is stored once. A few marts run
     at once, so that the tail of one mart's stages does not leave the executors idle.
     """
+    spark = snap.orders.sparkSession
+    with staging_scope(spark):
+        return _run_marts(snap, out, marts, store_sales, at_once)
+
+
+def _run_marts(
+    snap: Snapshot,
+    out: str,
+    marts: dict[str, Callable[[Snapshot], DataFrame]],
+    store_sales: bool,
+    at_once: int,
+) -> dict[str, MartRun]:
     ready = with_stored_sales(snap) if store_sales else snap
 
     @inheritable_thread_target(snap.orders.sparkSession)
@@ -77,5 +90,7 @@ def run_marts(
         rows = write_mart(df, table_path(out, name))
         return MartRun(rows, round(time.monotonic() - started, 2), df.columns)
 
+    # every thread sees the scope that deletes what is staged
+    contexts = [copy_context() for _ in marts]
     with ThreadPoolExecutor(at_once) as pool:
-        return dict(zip(marts, pool.map(write, marts)))
+        return dict(zip(marts, pool.map(lambda c, name: c.run(write, name), contexts, marts)))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.numeric import cents, fixed, from_cents, money_sum, ratio, safe_ratio
 from martloom.plans.base import CUSTOMER, ITEM, RESTAURANT
+from martloom.sources.sinks import read_mart
+from martloom.sources.snapshot import table_path
 
 
 def _sum(*columns: str) -> list[Column]:
@@ -37,6 +39,11 @@ def filter_options(location: DataFrame, menu: DataFrame, channel: DataFrame) ->
     )
 
 
+def stored_mart(spark: SparkSession, root: str, name: str, columns: list[str]) -> DataFrame:
+    """The needed columns of a mart that the runner has written."""
+    return read_mart(spark, table_path(root, name), columns)
+
+
 def executive_summary(location: DataFrame, customers: DataFrame, sales: DataFrame) -> DataFrame:
     """One row of headline figures; customers are only counted."""
     people = customers.agg(F.count(F.lit(1))).scalar()

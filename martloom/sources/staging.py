@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_open_scope: ContextVar[list[str] | None] = ContextVar("open_scope", default=None)
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -22,13 +26,41 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the block ends.
+
+    Results that read staged tables must be written before. Scopes may be nested; each
+    deletes its own tables.
+    """
+    staged: list[str] = []
+    token = _open_scope.set(staged)
+    try:
+        yield
+    finally:
+        _open_scope.reset(token)
+        for path in staged:
+            found, system = _hadoop_path(spark, path)
+            system.delete(found, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once; later readers scan the files and survive lost executors.
 
-    The table lives until the application ends.
+    The table lives until the enclosing `staging_scope` ends, or else the application.
     """
-    path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    scope = _open_scope.get()
+    if scope is None:
+        found, system = _hadoop_path(spark, path)
+        system.deleteOnExit(found)
+    else:
+        scope.append(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -22,11 +22,13 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     "cost, revenue, waste, sold, expected",
     [
-        (2.0, 100.0, 1.0, 20.0, (0.02, 0.05, False, 0)),
-        (6.0, 100.0, 1.0, 20.0, (0.06, 0.05, False, 1)),
-        (3.0, 100.0, 3.0, 20.0, (0.03, 0.15, False, 1)),
-        (10.0, 0.0, 2.0, 10.0, (None, 0.2, False, 1)),
-        (15.0, 0.0, 5.0, 0.0, (None, None, True, 1)),
+        (7.5, 150.0, 2.5, 50.0, (0.05, 0.05, False, 0)),  # at the cost limit, not above
+        (4.0, 64.0, 1.0, 40.0, (0.0625, 0.025, False, 1)),
+        (1.0, 80.0, 5.0, 50.0, (0.0125, 0.1, False, 0)),  # at the quantity limit
+        (1.0, 80.0, 6.0, 48.0, (0.0125, 0.125, False, 1)),
+        (9.0, 0.0, 1.0, 50.0, (None, 0.02, False, 0)),
+        (0.5, 0.0, 2.0, 0.0, (None, None, True, 1)),
+        (0.0, 0.0, 0.0, 0.0, (None, None, False, 0)),
     ],
 )
 def test_waste_risk(spark, cost, revenue, waste, sold, expected):
@@ -47,18 +49,22 @@ def scores(spark, d, p, cu, w, t, pi):
 
 
 def test_composite_score(spark):
-    df = scores(spark, 80, 90, 85, 70, 60, 75)
-    assert df.select(c.composite_score()).first()[0] == 79.25
+    df = scores(spark, 40, 64, 20, 90, 30, 10)
+    expected = 0.25 * 40 + 0.25 * 64 + 0.15 * 20 + 0.15 * 90 + 0.10 * 30 + 0.10 * 10
+    assert df.select(c.composite_score()).first()[0] == expected
 
 
 @pytest.mark.parametrize(
     "d, p, cu, w, pi, expected",
     [
-        (80, 85, 70, 80, 70, "Profit Driver"),
-        (85, 50, 60, 80, 80, "Volume Driver"),
-        (40, 80, 85, 75, 80, "Hidden Opportunity"),
-        (20, 15, 25, 10, 20, "Low Performer"),
-        (80, 85, 70, 10, 70, "Low Performer"),
+        (75, 75, 0, 25, 25, "Profit Driver"),  # every gate at its threshold
+        (75, 75, 0, 25, 24.9, "Low Performer"),
+        (75, 75, 0, 24.9, 25, "Low Performer"),
+        (75, 74.9, 99, 0, 0, "Volume Driver"),
+        (74.9, 75, 0, 25, 0, "Hidden Opportunity"),
+        (0, 74.9, 75, 25, 0, "Hidden Opportunity"),
+        (0, 75, 75, 24.9, 99, "Low Performer"),
+        (74.9, 74.9, 74.9, 99, 99, "Low Performer"),
     ],
 )
 def test_menu_class(spark, d, p, cu, w, pi, expected):
@@ -68,11 +74,13 @@ def test_menu_class(spark, d, p, cu, w, pi, expected):
 @pytest.mark.parametrize(
     "q0, q1, p0, p1, value, label",
     [
-        (100, 80, 10.0, 11.0, -2.0, "High"),
-        (100, 90, 10.0, 11.0, -1.0, "Moderate"),
-        (100, 96, 10.0, 11.0, -0.4, "Low"),
-        (100, 90, 10.0, 10.0, None, "Low"),
-        (0, 90, 10.0, 11.0, None, "Low"),
+        (40, 28, 8.0, 9.6, -1.5, "High"),  # at the upper limit
+        (200, 170, 5.0, 6.0, -0.75, "Moderate"),  # at the lower limit
+        (64, 72, 16.0, 12.0, -0.5, "Low"),
+        (50, 60, 4.0, 5.0, 0.8, "Moderate"),
+        (30, 12, 7.0, 7.0, None, "Low"),
+        (30, 12, 0.0, 7.0, None, "Low"),
+        (0, 12, 7.0, 8.0, None, "Low"),
     ],
 )
 def test_elasticity(spark, q0, q1, p0, p1, value, label):
@@ -84,18 +92,19 @@ def test_elasticity(spark, q0, q1, p0, p1, value, label):
 
 
 def test_promotion_trap_by_change(spark):
-    df = spark.createDataFrame([(0.25, -0.15), (0.25, 0.10)], "v double, m double")
-    flags = [r[0] for r in df.select(c.promotion_trap_by_change("v", "m")).collect()]
-    assert flags == [True, False]
+    changes = [(0.4, -0.01), (0.4, 0.0), (0.0, -0.3), (-0.1, -0.3), (0.02, 0.5)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(changes)], "i int, v double, m double")
+    flags = [r[0] for r in df.orderBy("i").select(c.promotion_trap_by_change("v", "m")).collect()]
+    assert flags == [v > 0 and m < 0 for v, m in changes]
 
 
 def test_line_formulas(spark):
-    df = spark.createDataFrame([(2, 18.0, 18.0, 6.5)], "q int, p double, d double, c double")
+    df = spark.createDataFrame([(3, 7.35, 2.2, 4.1)], "q int, p double, d double, c double")
     row = df.withColumn("net", c.line_net_revenue("q", "p", "d")).select(
         "net", c.line_contribution_margin("net", "q", "c").alias("margin"),
-        c.order_total("p", "d", F.lit(1.25), F.lit(0.5)).alias("total"),
+        c.order_total("p", "d", F.lit(0.65), F.lit(1.1)).alias("total"),
     ).first()
-    assert tuple(row) == (18.0, 5.0, 1.75)
+    assert tuple(row) == (19.85, 7.55, 6.9)
 
 
 def test_rounding_goes_by_decimal_text(spark):
@@ -148,7 +157,7 @@ def test_settlement(spark):
         "source_order_id int, quantity int, unit_price_at_sale double, line_discount double",
     )
     orders = spark.createDataFrame(
-        [(1, "Completed", "Dine-in"), (2, "Voided", "Dine-in"), (3, "Completed", "Takeaway")],
+        [(1, "Completed", "Dine-in"), (2, "Voided", "Dine-in"), (3, "Completed", "Takeaway"), (4, "Completed", "Dine-in")],
         "source_order_id int, order_status string, order_channel string",
     )
     rows = {r["source_order_id"]: r for r in settle_orders(items, orders).collect()}
@@ -157,3 +166,10 @@ def test_settlement(spark):
     assert (first["tax_amount"], first["tip_amount"], first["total_amount"]) == (2.02, 3.68, 30.2)
     assert (rows[2]["tax_amount"], rows[2]["tip_amount"]) == (0.0, 0.0)
     assert rows[3]["tax_amount"] == 0.0
+    # an order without lines is settled too
+    assert (rows[4]["subtotal_amount"], rows[4]["tip_amount"], rows[4]["total_amount"]) == (0.0, 0.0, 0.0)
+
+
+def test_small_weights_add_up(spark):
+    rows = spark.createDataFrame([(0.004,)] * 10, "v double")
+    assert rows.select(numeric.weight_sum("v")).first()[0] == 0.04

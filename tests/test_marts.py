@@ -28,7 +28,7 @@ def test_menu_performance(snap):
     got = by(menu.menu_performance(snap), "source_restaurant_id", "source_menu_item_id")
     assert len(got) == 4
     soup = got["REST-0001", "DISH-0001"]
-    assert (soup["total_quantity"], soup["gross_revenue"], soup["contribution_margin"]) == (4, 51.0, 25.0)
+    assert (soup["total_quantity"], soup["gross_revenue"], soup["contribution_margin"]) == (4, 64.7, 32.7)
     assert (soup["total_customers"], soup["repeat_customers"]) == (1, 1)
     assert (soup["waste_quantity"], soup["waste_cost"], soup["rating_count"]) == (0.75, 7.25, 2)
     assert soup["avg_rating"] == 3.5
@@ -112,7 +112,7 @@ def test_pricing(snap):
     got = by(pricing.pricing(snap), "source_pricing_history_id")
     change = got["PRC-000002",]
     assert (change["pre_quantity"], change["post_quantity"]) == (2, 2)
-    assert (change["pre_price"], change["post_price"]) == (18.0, 18.0)
+    assert (change["pre_price"], change["post_price"]) == (21.0, 21.0)
     assert (change["elasticity"], change["sensitivity_class"]) == (None, "Low")
     assert change["promotion_overlap"]
     quiet = got["PRC-000003",]
@@ -144,13 +144,15 @@ def sales_orders(spark, days, amount):
     return domain.table(spark, "orders", rows)
 
 
-def test_sales_spike_on_day_eleven(spark, snap):
-    orders = sales_orders(spark, range(1, 12), lambda d: 1000.0 if d == 11 else 100.0)
+def test_one_sales_spike(spark, snap):
+    amounts = {d: 80.0 + 20.0 * (d % 2) for d in range(1, 17)} | {14: 640.0}
+    orders = sales_orders(spark, amounts, amounts.__getitem__)
     rows = anomalies.sales_anomalies(orders, snap.restaurants).orderBy("order_date").collect()
-    assert (rows[0]["rolling_mean_revenue"], rows[0]["z_score_revenue"]) == (None, 0.0)
-    assert rows[0]["anomaly_type"] == "Normal"
-    assert (rows[10]["rolling_mean_revenue"], rows[10]["anomaly_type"]) == (100.0, "Revenue Spike")
-    assert sum(r["is_spike_anomaly"] for r in rows) == 1
+    first, spike = rows[0], rows[13]
+    assert (first["rolling_mean_revenue"], first["z_score_revenue"], first["anomaly_type"]) == (None, 0.0, "Normal")
+    before = [amounts[d] for d in range(1, 14)]
+    assert spike["rolling_mean_revenue"] == round(sum(before) / len(before), 2)
+    assert [r["anomaly_type"] for r in rows if r["is_spike_anomaly"]] == ["Revenue Spike"]
 
 
 def test_days_without_orders(spark, snap):
@@ -191,10 +193,16 @@ def test_snapshot_round_trip_and_runner(spark, snap, tmp_path):
     path = f"{out}/mart_customer_rfm.parquet"
     meta = sinks.mart_metadata(spark, path)
     assert (meta["rows"], "rfm_segment" in meta["column_names"]) == (4, True)
-    scan = sinks.read_mart(spark, path, ["source_customer_id", "nonsense"], 2)
-    assert (scan.columns, scan.count()) == (["source_customer_id"], 2)
-    sinks.export_csv(scan, str(tmp_path / "csv"), 1)
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+    scan = sinks.read_mart(spark, path, ["source_customer_id"], 2, ["source_customer_id"])
+    assert [r[0] for r in scan.collect()] == ["CUST-00000001", "CUST-00000002"]
+    with pytest.raises(KeyError):
+        sinks.read_mart(spark, path, ["nonsense"])
+    with pytest.raises(ValueError, match="order"):
+        sinks.export_csv(scan, str(tmp_path / "csv"), 1)
+    everything = sinks.read_mart(spark, path)
+    for limit, rows in ((None, 4), (1, 1)):
+        sinks.export_csv(everything, str(tmp_path / "csv"), limit, ["source_customer_id"])
+        assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == rows
 
 
 def test_missing_table(spark, tmp_path):

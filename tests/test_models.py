@@ -222,7 +222,33 @@ def test_what_if(spark, marts):
     same = rows["DISH-0001", "same"]
     assert (same["base_volume"], same["revenue_delta"], same["margin_delta"]) == (4, 0.0, 0.0)
     up = rows["DISH-0001", "up"]
-    assert (up["elasticity_applied"], up["estimated_price"], up["estimated_volume"]) == (-0.85, 19.8, 3)
+    assert (up["elasticity_applied"], up["estimated_price"], up["estimated_volume"]) == (-0.85, 23.1, 3)
     assert up["volume_delta_pct"] == -8.5
-    assert up["estimated_contribution_margin"] == round((19.8 - 6.5) * 3 + 6.5 * 4 * 0.05 * 0.5, 2)
+    assert up["estimated_contribution_margin"] == round((23.1 - 8.0) * 3 + 8.0 * 4 * 0.05 * 0.5, 2)
     assert rows["DISH-0001", "free"]["estimated_volume"] == 0
+
+
+def test_many_categories_and_gaps_keep_every_row(spark):
+    """More categories than a tree has bins, and rows with missing numbers."""
+    rows = [
+        (dt.date(2025, 1, 6) + dt.timedelta(days=7 * (i % 52)), i % 7, f"r{i % 400}", f"c{i % 150}" if i % 9 else None, float(i % 13) if i % 5 else None, i % 11)
+        for i in range(2_000)
+    ]
+    schema = "week_start_date date, menu_item_id int, restaurant_id string, category_id string, n double, y int"
+    df = spark.createDataFrame(rows, schema).withColumn("split", F.when(F.month("week_start_date") <= 8, "TRAIN").otherwise("VALIDATION"))
+    prepared = models.prepare(df, ["n"], ["category_id", "restaurant_id"], "y")
+    assert prepared.count() == len(rows)
+    entry_ = models.regressors("y")[1].estimator.fit(prepared.filter("split = 'TRAIN'"))
+    assert entry_.transform(prepared).filter("prediction is not null").count() == len(rows)
+
+
+def test_weighted_scores_equal_the_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    cells = {(0.0, 0.0): 50, (0.0, 1.0): 7, (1.0, 0.0): 4, (1.0, 1.0): 9}
+    rows = [(label, predicted) for (label, predicted), n in cells.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    found = models.weighted_scores(cells)
+    for name, metric in (("f1", "f1"), ("precision", "weightedPrecision"), ("recall", "weightedRecall"), ("accuracy", "accuracy")):
+        want = MulticlassClassificationEvaluator(metricName=metric).evaluate(df)
+        assert abs(found[name] - want) < 1e-6

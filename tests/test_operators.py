@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martloom.config import ScaleRules
-from martloom.operators import joins, quarantine
+from martloom.operators import joins, quarantine, ranking
 from martloom.operators.pairs import pair_counts
 from martloom.operators.ranking import ntile_of, percent_ranks, quantile_bin_of, row_positions
 from martloom.operators.timeseries import calendar_spine, if_full, next_value_if, trailing
@@ -217,15 +217,60 @@ def test_split_equals_a_row_loop(spark):
 def test_split_with_parents(spark):
     df = spark.createDataFrame([(1, 10, 1), (2, 11, 5), (3, None, 1), (4, 10, 0)], "id int, parent int, n int")
     parents = spark.createDataFrame([(10,), (10,)], "pk int")
-    out = quarantine.split(
-        df,
-        [quarantine.Rule("ZERO", F.col("n") <= 0), quarantine.Parent("ORPHAN", "parent", parents, "pk")],
-    )
-    assert sorted(r["id"] for r in out.clean.collect()) == [1, 3]
-    assert {r["id"]: r["quarantine_reason"] for r in out.quarantined.collect()} == {2: "ORPHAN", 4: "ZERO"}
+    for optional, clean in ((True, [1, 3]), (False, [1])):
+        parent = quarantine.Parent("ORPHAN", "parent", parents, "pk", optional)
+        out = quarantine.split(df, [quarantine.Rule("ZERO", F.col("n") <= 0), parent])
+        assert sorted(r["id"] for r in out.clean.collect()) == clean
+        bad = {r["id"]: r["quarantine_reason"] for r in out.quarantined.collect()}
+        assert bad == {2: "ORPHAN", 4: "ZERO"} | ({} if optional else {3: "ORPHAN"})
     assert "quarantined_at" in quarantine.stamp(out.quarantined).columns
 
 
+def test_rows_without_a_key_are_copies(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (7, 1)], "id int, n int")
+    out = quarantine.split(df, [], quarantine.Uniqueness("id", "DUPLICATE", ["n"]))
+    assert sorted(map(tuple, out.clean.collect()), key=str) == [(7, 1), (None, 1)]
+    assert [(r["n"], r["quarantine_reason"]) for r in out.quarantined.collect()] == [(2, "DUPLICATE")]
+
+
+@pytest.mark.parametrize("values", [[None], [3.0], [5.0, None, 9.0], [None, None, 2.0, 2.0, None, -1.0]])
+def test_rank_paths_agree_on_nulls(spark, values):
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+
+    def ranks(rows_in_one_task):
+        scale = ScaleRules(one_task_rows=rows_in_one_task)
+        placed, n = ranking.row_positions(df, {"up": ("v", True), "down": ("v", False)}, "k", scale)
+        assert n == len(values)
+        return sorted(map(tuple, ranking.percent_ranks(placed, {"share": "v"}, ["k"], scale).select("k", "up", "down", "share").collect()))
+
+    assert ranks(0) == ranks(100)
+
+
+def test_as_of_and_promotions_leave_columns_alone(spark):
+    facts = spark.createDataFrame(
+        [(1, dt.datetime(2020, 5, 3), 7, "mine", 1, 9.0, "a")],
+        "source_menu_item_id int, t timestamp, month int, offer string, quantity int, unit_price double, order_channel string",
+    )
+    versions = spark.createDataFrame(
+        [(1, 1, 4.0, dt.datetime(2020, 1, 1), None)], "source_menu_item_id int, id int, price double, start timestamp, stop timestamp"
+    )
+    found = joins.as_of(
+        facts, versions, key="source_menu_item_id", at="t", start="start", end="stop", order_id="id", values={"p": "price"}
+    ).first()
+    assert (found["month"], found["offer"], found["p"]) == (7, "mine", 4.0)
+    day = dt.date
+    offers = spark.createDataFrame(
+        [
+            (1, 1, None, "Percentage", 10.0, day(2020, 5, 5), day(2020, 5, 1)),
+            (2, 1, None, "Percentage", 20.0, day(2020, 5, 1), day(9999, 12, 31)),
+        ],
+        "source_promotion_id int, source_menu_item_id int, applicable_channel string, discount_type string, "
+        "discount_value double, start_date date, end_date date",
+    )
+    matched = joins.match_promotion(facts, offers, date="t").first()
+    assert (matched["source_promotion_id"], matched["offer"], matched["month"]) == (2, "mine", 7)
+
+
 def test_hot_key_join_is_split(spark):
     """A key with most of the rows is joined by several tasks."""
     settings = {

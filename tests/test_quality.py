@@ -169,3 +169,19 @@ def test_operational_flags(dirty):
     assert rows["ITEM-00000004"]["flag_not_fulfilled"]
     assert rows["ITEM-00000003"]["flag_guest"]
     assert rows["ITEM-00000005"]["flag_negative_margin"]
+
+
+def test_staged_tables_go_with_their_scope(spark, tmp_path):
+    import os
+
+    from martloom.sources.staging import stage, staging_root, staging_scope
+
+    root = staging_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with staging_scope(spark):
+        outer = stage(spark.range(5), "outer")
+        with staging_scope(spark):
+            assert stage(spark.range(3), "inner").count() == 3
+        assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"outer"}
+        assert outer.count() == 5
+    assert set(os.listdir(root)) == before
