@@ -35,11 +35,18 @@ def next_value_if(column: str, time: str, keys: list[str], step_days: int, defau
     return F.coalesce(F.when(adjacent, F.lead(column).over(w)), F.lit(default))
 
 
-def calendar_spine(df: DataFrame, keys: list[str], date: str, zeros: list[str]) -> DataFrame:
+def calendar_spine(
+    df: DataFrame, keys: list[str], date: str, zeros: list[str], until: dt.date | None = None
+) -> DataFrame:
     """One row per key and day, from the key's first day to the last day seen anywhere.
 
-    Days without a row get 0 in the named columns.
+    Days without a row get 0 in the named columns. `until` ends the calendar earlier, so
+    that a corrupt late date does not fill centuries; rows after it stay as they are.
     """
+    if until is not None:
+        df, late = df.filter(F.col(date) <= F.lit(until)), df.filter(F.col(date) > F.lit(until))
+        filled = calendar_spine(df, keys, date, zeros)
+        return filled.unionByName(late.select(*filled.columns))
     last = df.agg(F.max(date)).scalar()
     spine = (
         df.groupBy(*keys)

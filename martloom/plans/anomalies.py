@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -96,11 +98,13 @@ def sales_anomalies(
     rules: SalesRules = SalesRules(),
     order_rules: OrderRules = OrderRules(),
     fill_days: bool = True,
+    until: dt.date | None = None,
 ) -> DataFrame:
     """Daily revenue against the days before it.
 
     With fill_days a day without orders is a row with zero sales and the trailing frame
-    counts calendar days; without it the frame counts days that had orders.
+    counts calendar days; without it the frame counts days that had orders. No day after
+    `until` is filled.
     """
     daily = (
         counted_orders(orders, order_rules)
@@ -111,7 +115,7 @@ def sales_anomalies(
         )
     )
     if fill_days:
-        daily = calendar_spine(daily, [RESTAURANT], "order_date", ["daily_orders", "daily_revenue"])
+        daily = calendar_spine(daily, [RESTAURANT], "order_date", ["daily_orders", "daily_revenue"], until)
     frame = trailing([RESTAURANT], "order_date", rules.days)
     revenue = F.sum(cents_decimal("daily_revenue")).over(frame).cast("double") / 100.0
     known = F.col("rolling_mean_revenue").isNotNull()

@@ -226,6 +226,15 @@ def test_split_with_parents(spark):
     assert "quarantined_at" in quarantine.stamp(out.quarantined).columns
 
 
+def test_calendar_ends_where_told(spark):
+    day = dt.date
+    rows = [("a", day(2025, 1, 1), 4), ("a", day(2025, 1, 4), 5), ("b", day(2025, 1, 3), 6), ("b", day(9999, 1, 1), 7)]
+    df = spark.createDataFrame(rows, "k string, d date, n int")
+    found = calendar_spine(df, ["k"], "d", ["n"], until=day(2025, 1, 31)).collect()
+    assert len(found) == 4 + 2 + 1
+    assert sum(r["n"] for r in found) == 22
+
+
 def test_rows_without_a_key_are_copies(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (7, 1)], "id int, n int")
     out = quarantine.split(df, [], quarantine.Uniqueness("id", "DUPLICATE", ["n"]))
