@@ -82,9 +82,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, round
         rank = rank_of[slot[places]]
         hit = (rank >= 0) & (chosen[rank] == pairs[places])
         places, rank = places[hit], rank[hit]
-        order = np.full(len(pairs), _NONE, np.int32)
-        order[places] = rank
-        take = _apart(order)[places]
+        take = _apart(places, rank)
         places, rank = places[take], rank[take]
         used = np.bincount(rank, minlength=len(chosen)) >= 2
         kept = used[rank]
@@ -109,17 +107,19 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
 
 
-def _apart(order: np.ndarray) -> np.ndarray:
+def _apart(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Places whose pair goes before both overlapping ones; of a run of one pair every second."""
-    left = np.concatenate([[_NONE], order[:-1]])
-    right = np.concatenate([order[1:], [_NONE]])
-    live = order < _NONE
-    take = live & (order < left) & (order <= right)
-    same = live & (order == left)
+    beside = np.diff(places) == 1
+    left = np.full(len(rank), _NONE, np.int32)
+    right = left.copy()
+    left[1:][beside] = rank[:-1][beside]
+    right[:-1][beside] = rank[1:][beside]
+    take = (rank < left) & (rank <= right)
+    same = rank == left
     if same.any():
-        place = np.arange(len(order))
-        first = np.maximum.accumulate(np.where(same, 0, place))
-        take |= same & ((place - first) % 2 == 0) & (order <= right) & take[first]
+        at = np.arange(len(rank), dtype=np.int32)
+        first = np.maximum.accumulate(np.where(same, 0, at))
+        take |= same & ((at - first) % 2 == 0) & (rank <= right) & take[first]
     return take
 
 
@@ -173,8 +173,15 @@ class Shard:
         return _expand(self.symbols[self.starts[i] : stop], self.rules, self.base)
 
     def documents(self) -> list[np.ndarray]:
-        """All documents; the whole shard is expanded at once."""
-        every = _expand(self.symbols, self.rules, self.base)
+        """All documents; the whole shard is expanded at once, from a table of all expansions."""
+        rules = _expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)
+        table = np.concatenate([np.arange(self.base, dtype=np.uint32), rules])
+        width = np.concatenate([np.ones(self.base, np.int32), self.lengths.astype(np.int32)])
+        begin = (np.cumsum(width) - width).astype(np.int32)
+        symbols = self.symbols.astype(np.int32)
+        before = np.concatenate([[0], self._ends[:-1]])
+        shift = np.repeat(begin[symbols] - before, width[symbols])
+        every = table[shift + np.arange(len(shift))]
         first = np.concatenate([[0], self._ends])[self.starts]
         return np.split(every, first[1:])
 
