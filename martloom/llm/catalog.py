@@ -135,6 +135,84 @@ FROM joined
 """
 
 
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS body FROM documents
+), w AS (
+  SELECT *, [x FOR x IN regexp_split_to_array(body, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
+    [x FOR x IN string_split(body, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM d
+), windows AS (
+  SELECT id, i, array_to_string(words[i : i + 4], ' ') AS words
+  FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM w)
+), twice AS (
+  SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, words) > 1
+), covered AS (
+  SELECT id, CAST(sum(least(5, after - i)) AS BIGINT) AS n
+  FROM (SELECT id, i, lead(i, 1, i + 5) OVER (PARTITION BY id ORDER BY i) AS after FROM twice) GROUP BY id
+), base AS (
+  SELECT w.id, doc_id, lang, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN covered ON w.id = covered.id
+), features AS (
+  SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words AS base_failed,
+    least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbol,
+    least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS line,
+    least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeat
+  FROM base
+), good AS (
+  SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), labelled AS (
+  SELECT lang, good, CAST('0x' || md5('holdout-' || CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % 2 AS half,
+    unnest(['symbol', 'line', 'repeat']) AS score, unnest([symbol, line, repeat]) AS value
+  FROM features JOIN good USING (doc_id) WHERE NOT base_failed
+), counts AS (
+  SELECT lang, score, value, count(*) FILTER (half = 0 AND good = 1) AS g0, count(*) FILTER (half = 0 AND good = 0) AS b0,
+    count(*) FILTER (half = 1 AND good = 1) AS g1
+  FROM labelled GROUP BY ALL
+), ladder AS (
+  SELECT lang, score, value, coalesce(sum(b0) OVER above, 0) - {good_weight} * coalesce(sum(g0) OVER above, 0) AS gain,
+    CAST(coalesce(sum(g1) OVER above, 0) AS BIGINT) AS k, CAST(sum(g1) OVER (PARTITION BY lang, score) AS BIGINT) AS n,
+    lag(value) OVER (PARTITION BY lang, score ORDER BY value DESC) AS next_value
+  FROM counts
+  WINDOW above AS (PARTITION BY lang, score ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), proposed AS (
+  SELECT *, max({{'gain': gain, 'value': value}}) OVER (PARTITION BY lang, score) AS best FROM ladder
+), tested AS (
+  SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum([
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})) FOR j IN range(0, k + 1)]) END
+    > {delta} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM counts)) * 3) AS fails
+  FROM proposed WHERE best.gain > 0 AND value >= best.value
+), passed AS (
+  SELECT * FROM tested QUALIFY sum(CAST(fails AS INTEGER)) OVER (PARTITION BY lang, score ORDER BY value DESC) = 0
+), cutoffs AS (
+  SELECT lang, score, (value + coalesce(next_value - 1, value)) // 2 AS cutoff
+  FROM passed QUALIFY row_number() OVER (PARTITION BY lang, score ORDER BY value) = 1
+), limits AS (
+  SELECT lang, max(cutoff) FILTER (score = 'symbol') AS s, max(cutoff) FILTER (score = 'line') AS l,
+    max(cutoff) FILTER (score = 'repeat') AS r
+  FROM cutoffs GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(symbol > s, false) AND NOT coalesce(line > l, false) AND NOT coalesce(repeat > r, false) AS kept
+FROM features LEFT JOIN limits ON features.lang IS NOT DISTINCT FROM limits.lang
+"""
+
+
+def quality_sql() -> str:
+    rules = quality.QualityRules()
+    return QUALITY_SQL.format(
+        min_words=rules.min_words,
+        max_repeat=rules.max_repeat_percent,
+        good_weight=rules.good_weight,
+        p=repr(rules.risk / len(quality.SCORES)),
+        delta=repr(rules.delta),
+    )
+
+
 def license_sql() -> str:
     weights, other = licenses.word_weights()
     words = licenses.template_words()
@@ -194,4 +272,4 @@ LEFT JOIN templates ON templates.t = coalesce(own.best, near.given).t
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op4_vector_search": VECTOR_SQL, "op8_chat_format": CHAT_SQL}
+    return {"op1_license_scan": license_sql(), "op4_vector_search": VECTOR_SQL, "op8_chat_format": CHAT_SQL, "op9_quality_rules": quality_sql()}
