@@ -2,11 +2,13 @@
 
 Documents are ordered by id over the whole table and cut into shards of about
 `shard_ids` token ids. In each shard the most frequent neighbouring ids are replaced by
-nonterminals, again and again, until no pair is frequent enough: a round takes many pairs at
-once, the more frequent one where two overlap. Pairs never reach over the end of a
-document, so every document starts at a symbol of its own. A shard stores the rules, the
-length each one expands to, where its documents start, and the remaining symbols; a range
-of ids is found by adding up expansion lengths, without decoding what stands before it.
+nonterminals, again and again, until no pair occurs twice without overlap; neither rounds
+nor rules are limited. A round takes many pairs at once, the more frequent one where two
+overlap. Pairs never reach over the end of a document, so every document starts at a symbol
+of its own. A shard stores the rules, the length each one expands to, where its documents
+start, and the remaining symbols, with 16 bits a number and as many more as the largest
+needs; a range of ids is found by adding up expansion lengths, without decoding what stands
+before it.
 
 The files are a Parquet table with one row per shard, whose `payload` is the binary shard.
 
@@ -32,103 +34,141 @@ from martloom.llm.presplit import library_ids
 END_ID = 1
 SHARD_IDS = 1 << 20
 _HEAD = struct.Struct("<4sIIIIQ")
-_MAGIC = b"RPG1"
-_SLOTS = 18
-_NONE = np.iinfo(np.int32).max
-
-
-def _frequent(pairs: np.ndarray, slot: np.ndarray, free: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` pairs that occur `least` times or more, the frequent first, and where to look.
-
-    Pairs are first counted in hashed slots, which only overestimates. The exact count
-    sorts what lies in slots that can hold one of the best.
-    """
-    held = np.bincount(slot, minlength=1 << _SLOTS)
-    held -= np.bincount(slot[~free], minlength=1 << _SLOTS)
-    bound = max(least, int(np.partition(held, -most)[-most]))
-    places = np.flatnonzero((held >= bound)[slot] & free)
-    ordered = np.sort(pairs[places])
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
-    counts = np.diff(np.append(first, len(ordered)))
-    enough = counts >= least
-    values, counts = ordered[first[enough]], counts[enough]
-    return values[np.lexsort((values, -counts))[:most]], places
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 3, most: int = 16_000) -> tuple:
+_MAGIC = b"RPG2"
+
+
+def _grouped(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): places sorted by their pair, and where each pair begins in that order."""
+    wide = max(int(left.max()), int(right.max())).bit_length()
+    low = len(left).bit_length()
+    if 2 * wide + low <= 64:  # a plain sort that carries the places is several times faster than argsort
+        pairs = (left.astype(np.uint64) << np.uint64(wide + low)) | (right.astype(np.uint64) << np.uint64(low))
+        pairs |= np.arange(len(left), dtype=np.uint64)
+        pairs.sort()
+        order = (pairs & np.uint64((1 << low) - 1)).astype(np.int64)
+        pairs >>= np.uint64(low)
+    else:
+        pairs = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+    return order, np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple:
     """(rules, symbols, starts): rules as an array of pairs, rule r being symbol base + r.
 
     ends holds the exclusive end of each document in ids; starts, where each begins among
-    the symbols. Each round makes an equal part of the rules, so that later rounds can
-    build on them. Of two pairs in one slot the more frequent one waits for no one and the
-    other for the next round.
+    the symbols. Ends when no pair occurs twice without overlap. The most frequent pair of
+    a round is always taken wherever it occurs, so every round makes a rule. A pair that
+    occurs once never gets more frequent, as later rules only make pairs with new symbols;
+    so a round looks only at places whose pair still repeats or has just changed.
     """
+    n = len(ids)
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
+    # symbols of a document are chained by position; n stands for none
+    after = np.arange(1, n + 1)
+    after[ends - 1] = n
+    before = np.arange(-1, n)
+    before[np.concatenate([[0], ends[:-1]])] = n
+    kept = np.ones(n, bool)
+    active = np.append(after < n, False)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        room = min(most - made, -(-most // rounds))
-        if len(seq) < 2 or room <= 0:
-            break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = _slots(pairs)
-        chosen, places = _frequent(pairs, slot, ~last[:-1], least, room)
-        if not len(chosen):
-            break
-        rank_of = np.full(1 << _SLOTS, -1, np.int32)
-        rank_of[_slots(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1, dtype=np.int32)
-        rank = rank_of[slot[places]]
-        hit = (rank >= 0) & (chosen[rank] == pairs[places])
-        places, rank = places[hit], rank[hit]
-        take = _apart(places, rank)
-        places, rank = places[take], rank[take]
-        used = np.bincount(rank, minlength=len(chosen)) >= 2
-        kept = used[rank]
-        places, rank = places[kept], rank[kept]
-        if not len(places):
-            break
-        number = np.cumsum(used) - 1
-        fresh = chosen[used]
-        rules.append(np.stack([fresh >> np.uint64(32), fresh & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        seq[places] = base + made + number[rank]
-        last[places] = last[places + 1]
-        keep = np.ones(len(seq), bool)
-        keep[places + 1] = False
-        seq, last = seq[keep], last[keep]
+    while len(places := np.flatnonzero(active)):
+        left, right = seq[places], seq[after[places]]
+        order, first = _grouped(left, right)
+        counts = np.diff(np.append(first, len(places)))
+        group = np.empty(len(places), np.int32)
+        group[order] = np.repeat(np.arange(len(first), dtype=np.int32), counts)
+        odd = _odd_of_runs(group, after[places[:-1]] == places[1:])
+        if odd is not None:
+            counts -= np.bincount(group[odd], minlength=len(first))
+        repeats = counts >= 2
+        live = repeats[group]
+        active[places[~live]] = False
+        if odd is not None:
+            live &= ~odd
+        places, group = places[live], group[live]
+        take = _apart(_precedence(counts)[group], after[places[:-1]] == places[1:])
+        places, group = places[take], group[take]
+        used = np.bincount(group, minlength=len(first)) >= 2
+        places, group = places[used[group]], group[used[group]]
+        fresh = order[first[used]]
+        rules.append(np.stack([left[fresh], right[fresh]], 1))
+        seq[places] = (base + made - 1 + np.cumsum(used))[group]
         made += len(fresh)
+        second = after[places]
+        kept[second] = active[second] = False
+        after[places] = third = after[second]
+        before[third] = places
+        active[before[places]] = True
+        active[places] = third < n
+        active[n] = False
     pairs = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).astype(np.uint32) if len(seq) else np.empty(0, np.uint32)
-    return pairs, seq, starts
-
-
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-
-
-def _apart(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Places whose pair goes before both overlapping ones; of a run of one pair every second."""
-    beside = np.diff(places) == 1
-    left = np.full(len(rank), _NONE, np.int32)
-    right = left.copy()
-    left[1:][beside] = rank[:-1][beside]
-    right[:-1][beside] = rank[1:][beside]
-    take = (rank < left) & (rank <= right)
-    same = rank == left
-    if same.any():
-        at = np.arange(len(rank), dtype=np.int32)
-        first = np.maximum.accumulate(np.where(same, 0, at))
-        take |= same & ((at - first) % 2 == 0) & (rank <= right) & take[first]
+    first = np.concatenate([[0], ends[:-1]])  # a first symbol is never the second of a pair
+    return pairs, seq[kept], (np.cumsum(kept)[first] - 1).astype(np.uint32)
+
+
+def _precedence(counts: np.ndarray) -> np.ndarray:
+    """Distinct numbers, less for more frequent pairs; equally frequent ones are mixed.
+
+    Mixed, as a long passage of pairs in ascending order would else give one rule a round.
+    """
+    bits = len(counts).bit_length()
+    mixed = (np.arange(len(counts)) * (int(0.6180339887 * (1 << bits)) | 1)) & ((1 << bits) - 1)
+    return ((counts.max(initial=0) - counts) << bits) | mixed
+
+
+def _odd_of_runs(group: np.ndarray, beside: np.ndarray) -> np.ndarray | None:
+    """Every second place of a run of one pair (a run of one symbol), or None if there are no runs."""
+    same = np.concatenate([[False], beside & (group[1:] == group[:-1])])
+    if not same.any():
+        return None
+    at = np.arange(len(group))
+    return (at - np.maximum.accumulate(np.where(same, 0, at))) % 2 == 1
+
+
+def _apart(rank: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Places whose pair goes before both overlapping ones."""
+    take = np.ones(len(rank), bool)
+    take[1:] &= ~beside | (rank[1:] < rank[:-1])
+    take[:-1] &= ~beside | (rank[:-1] < rank[1:])
     return take
 
 
+def _levels(rules: np.ndarray, base: int) -> Iterator[slice]:
+    """Stretches of rules that name earlier stretches only, in order."""
+    named = np.maximum.accumulate(rules.max(1).astype(np.int64)) - base if len(rules) else np.empty(0, np.int64)
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(named, start))
+        yield slice(start, stop)
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for; a rule only names earlier rules."""
-    lengths: list[int] = []
-    for a, b in rules.tolist():
-        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
-    return np.array(lengths, np.int64)
+    lengths = np.ones(base + len(rules), np.int64)
+    for level in _levels(rules, base):
+        lengths[base + level.start : base + level.stop] = lengths[rules[level]].sum(1)
+    return lengths[base:]
+
+
+def _packed(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of up to `bits` bits: their low 16 bits, then a plane for each higher one."""
+    planes = [np.packbits((values >> b).astype(np.uint8) & 1).tobytes() for b in range(16, bits)]
+    return values.astype("<u2").tobytes() + b"".join(planes)
+
+
+def _unpacked(payload: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, int]:
+    """The packed numbers at a place, and the place behind them."""
+    values = np.frombuffer(payload, "<u2", count, at).astype(np.uint32)
+    at += 2 * count
+    size = -(-count // 8)
+    for b in range(16, bits):
+        values |= np.unpackbits(np.frombuffer(payload, np.uint8, size, at), count=count).astype(np.uint32) << np.uint32(b)
+        at += size
+    return values, at
 
 
 def _expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -148,21 +188,15 @@ class Shard:
     """A shard read back: documents or any range of ids, without decoding the rest."""
 
     def __init__(self, payload: bytes) -> None:
-        magic, self.base, n_rules, n_docs, width, n_symbols = _HEAD.unpack_from(payload)
+        magic, self.base, n_rules, n_docs, bits, n_symbols = _HEAD.unpack_from(payload)
         if magic != _MAGIC:
             raise ValueError("not a grammar shard")
-        at = _HEAD.size
-
-        def part(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            found = np.frombuffer(payload, kind, count, at)
-            at += found.nbytes
-            return found
-
-        self.rules = part("<u4", 2 * n_rules).reshape(-1, 2)
-        self.lengths = part("<u4", n_rules)
-        self.starts = part("<u4", n_docs)
-        self.symbols = part(f"<u{width}", n_symbols)
+        wide = (self.base + n_rules).bit_length()
+        rules, at = _unpacked(payload, _HEAD.size, 2 * n_rules, wide)
+        self.rules = rules.reshape(-1, 2)
+        self.lengths, at = _unpacked(payload, at, n_rules, bits)
+        self.starts = np.frombuffer(payload, "<u4", n_docs, at)
+        self.symbols, at = _unpacked(payload, at + self.starts.nbytes, n_symbols, wide)
         each = np.ones(n_symbols, np.int64)
         big = self.symbols >= self.base
         each[big] = self.lengths[self.symbols[big].astype(np.int64) - self.base]
@@ -174,13 +208,18 @@ class Shard:
 
     def documents(self) -> list[np.ndarray]:
         """All documents; the whole shard is expanded at once, from a table of all expansions."""
-        rules = _expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)
-        table = np.concatenate([np.arange(self.base, dtype=np.uint32), rules])
-        width = np.concatenate([np.ones(self.base, np.int32), self.lengths.astype(np.int32)])
-        begin = (np.cumsum(width) - width).astype(np.int32)
-        symbols = self.symbols.astype(np.int32)
+        width = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+        end = np.cumsum(width)
+        begin = end - width
+        table = np.empty(int(end[-1]), np.uint32)
+        table[: self.base] = np.arange(self.base)
+        for level in _levels(self.rules, self.base):
+            parts = self.rules[level].ravel()
+            first, stop = begin[self.base + level.start], end[self.base + level.stop - 1]
+            put = np.cumsum(width[parts]) - width[parts]
+            table[first:stop] = table[np.repeat(begin[parts] - put, width[parts]) + np.arange(stop - first)]
         before = np.concatenate([[0], self._ends[:-1]])
-        shift = np.repeat(begin[symbols] - before, width[symbols])
+        shift = np.repeat(begin[self.symbols] - before, width[self.symbols])
         every = table[shift + np.arange(len(shift))]
         first = np.concatenate([[0], self._ends])[self.starts]
         return np.split(every, first[1:])
@@ -197,15 +236,10 @@ class Shard:
 
 def shard_bytes(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
     rules, symbols, starts = compress(ids, ends, base)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    parts = (
-        rules.astype("<u4"),
-        expansion_lengths(rules, base).astype("<u4"),
-        starts.astype("<u4"),
-        symbols.astype(f"<u{width}"),
-    )
-    head = _HEAD.pack(_MAGIC, base, len(rules), len(starts), width, len(symbols))
-    return head + b"".join(p.tobytes() for p in parts)
+    lengths = expansion_lengths(rules, base)
+    bits, wide = int(lengths.max(initial=0)).bit_length(), (base + len(rules)).bit_length()
+    head = _HEAD.pack(_MAGIC, base, len(rules), len(starts), bits, len(symbols))
+    return b"".join([head, _packed(rules.ravel(), wide), _packed(lengths, bits), starts.astype("<u4").tobytes(), _packed(symbols, wide)])
 
 
 def write_token_files(

@@ -169,6 +169,40 @@ def test_grammar_shards_on_random_ids():
     assert len(grammar.shard_bytes(many, np.array([len(many)]), 400)) < 2 * len(many)
 
 
+def repeating_pairs(symbols, starts):
+    """Pairs that occur twice in documents without overlap."""
+    counts = {}
+    for part in np.split(symbols, starts[1:]):
+        taken = {}
+        for i, pair in enumerate(zip(part.tolist(), part[1:].tolist(), strict=False)):
+            if taken.get(pair, -2) < i - 1:
+                taken[pair] = i
+                counts[pair] = counts.get(pair, 0) + 1
+    return {p for p, c in counts.items() if c > 1}
+
+
+def test_grammars_end_when_no_pair_repeats():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(3, 40_000, 3_000)
+    cases = [np.tile(passage, 4), np.tile(np.arange(3, 30_003), 2), np.full(100_000, 7), rng.integers(3, 60, 20_000)]
+    cases.append(np.repeat(rng.integers(3, 9, 3_000), rng.integers(1, 6, 3_000)))
+    for ids in cases:
+        ids = ids.astype(np.uint32)
+        ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 3), len(ids)))
+        rules, symbols, starts = grammar.compress(ids, ends, 40_400)
+        assert not repeating_pairs(symbols, starts)
+        shard = grammar.Shard(grammar.shard_bytes(ids, ends, 40_400))
+        assert all((a == b).all() for a, b in zip(shard.documents(), np.split(ids, ends[:-1]), strict=True))
+        for start, stop in rng.integers(0, len(ids) + 1, (20, 2)):
+            assert (shard.ids(start, stop) == ids[start:stop]).all()
+    copies = np.tile(passage, 4).astype(np.uint32)
+    rules, symbols, _ = grammar.compress(copies, np.arange(3_000, 12_001, 3_000), 40_400)
+    assert len(symbols) == 4 and grammar.expansion_lengths(rules, 40_400).max() == 3_000
+    # more symbols than 16 bits hold
+    ids = np.tile(np.arange(3, 40_003), 2).astype(np.uint32)
+    assert len(grammar.compress(ids, np.array([40_000, 80_000]), 40_400)[0]) > (1 << 16) - 40_400
+
+
 def test_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     assert packing.pack(empty, tokenizer_file()).count() == 0
