@@ -11,7 +11,8 @@ graph.
 Scripts, styles, form controls and other elements without readable text are no blocks.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it
-goes (an unclosed paragraph ends at the next block); repeated rows are extracted each; an
+goes (an unclosed paragraph ends at the next block, a head at the first text or element that
+may not stand in it, another element without readable text at the end of one around it); repeated rows are extracted each; an
 empty table gives none; long pages are read whole. Extra columns are left out.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 # fixed values: what the tags of HTML mean
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template noscript svg math iframe object canvas audio video select textarea button title head".split())
+_IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -101,13 +103,14 @@ class BlockReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self._at = _Node("", None, 0, False, "")
-        self._silent: list[str] = []
+        self._silent: list[str] = []  # an element without readable text and what is open in it
         self._links = 0
         self._open: Block | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._end_head(tag)
         if self._silent:
-            if tag == self._silent[-1]:
+            if tag not in _VOID:
                 self._silent.append(tag)
             return
         if tag in _SILENT:
@@ -132,21 +135,22 @@ class BlockReader(HTMLParser):
         self._push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
-            if tag not in _SILENT:
-                return
+        self._end_head(tag)
+        if self._silent:
+            return
+        self.handle_starttag(tag, attrs)
+        if tag in _SILENT:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self._silent:
-            if tag == self._silent[-1]:
-                self._silent.pop()
-            elif tag in ("head", "body", "html") and "head" in self._silent:
-                self._silent.clear()
-            return
+            if tag in self._silent:
+                while self._silent.pop() != tag:
+                    pass
+                return
+            if tag not in ("body", "html") and not self._is_open(tag):
+                return
+            self._silent.clear()
         if tag == "a":
             self._links = max(0, self._links - 1)
         if tag not in _INLINE:
@@ -159,7 +163,20 @@ class BlockReader(HTMLParser):
         if node.parent is not None:
             self._at = node.parent
 
+    def _end_head(self, tag: str) -> None:
+        """End a head whose end tag is left out, before a start tag that may not stand in it."""
+        if self._silent and self._silent[0] == "head" and (tag == "body" or len(self._silent) == 1 and tag not in _IN_HEAD):
+            self._silent.clear()
+
+    def _is_open(self, tag: str) -> bool:
+        node = self._at
+        while node.parent is not None and node.tag != tag:
+            node = node.parent
+        return node.parent is not None
+
     def handle_data(self, data: str) -> None:
+        if self._silent == ["head"] and data and not data.isspace():
+            self._silent.clear()
         if not self._silent:
             self._text(data, self._links > 0)
 

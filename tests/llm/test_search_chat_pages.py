@@ -167,6 +167,27 @@ def test_pages_with_odd_input(spark):
     assert html_mincut.extract(pages.where("false")).count() == 0
 
 
+def test_unclosed_elements_without_text():
+    words = "Some words of an article, one after another."
+    top = "<html><head><title>T</title>"
+    for html in (
+        f"{top}<body><p>{words}",
+        f"{top}<meta charset=x><link rel=y><style>p{{}}</style><p>{words}</p>",
+        f"{top}<body><article><p>{words}</article></body></html>",
+        f"{top}{words}",
+        f"<head><title>T<body><p>{words}</p>",
+        f"<head><noscript><img></noscript><script/><body><p>{words}</p>",
+        f"<head></head><body><div><button>Go</div><p>{words}</p>",
+        f"<div><noscript><p>Please allow scripts, this page needs them.</div><p>{words}</p>",
+        f"<ul><li><select><option>a<option>b</ul><p>{words}</p>",
+        f"<div><svg><g><path/><text>Drawn.</div><p>{words}</p>",
+        f"<div><object><param></x></div><p>{words}</p>",
+        f"<div><svg><g><svg></svg><text>Drawn.</text></g></svg></div><p>{words}</p>",
+        f"<div><template><div><p>A part that is no text, it never was.</div></template></div><p>{words}</p>",
+    ):
+        assert html_mincut.main_text(html) == words, html
+
+
 FILES = "key long, path string, text string, dir string"
 
 
