@@ -251,16 +251,18 @@ def log_odds(block: Block, text: str) -> float:
 
 
 def _shared(a: _Node, b: _Node) -> float:
-    """Share of the shallower block's ancestors, itself included, that both have; 32 looked at."""
+    """Share of the shallower block's ancestors, itself included, that both have.
+
+    Between neighbouring blocks the steps are the elements that end and begin there, so a
+    page's neighbours take no more steps than it has elements.
+    """
     least = min(a.depth, b.depth)
-    for _ in range(32):
-        if a is b:
-            break
-        if a.depth >= b.depth and a.parent is not None:
+    while a is not b:
+        if a.depth >= b.depth:
             a = a.parent
-        elif b.parent is not None:
+        else:
             b = b.parent
-    return a.depth / max(least, 1) if a is b else 0.0
+    return a.depth / max(least, 1)
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:

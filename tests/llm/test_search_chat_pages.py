@@ -188,6 +188,16 @@ def test_unclosed_elements_without_text():
         assert html_mincut.main_text(html) == words, html
 
 
+def test_deep_neighbours_share_their_ancestors():
+    reader = html_mincut.BlockReader()
+    reader.feed("<div>" * 100 + "<section>" * 40 + "<p>One." + "</section>" * 40 + "<main>" * 30 + "<p>Two.")
+    reader.close()
+    a, b = reader.blocks
+    assert (a.node.depth, b.node.depth) == (141, 131)
+    assert html_mincut._shared(a.node, b.node) == html_mincut._shared(b.node, a.node) == 100 / 131
+    assert [e[:2] for e in html_mincut.edges_of(reader.blocks)] == [(0, 1)]
+
+
 FILES = "key long, path string, text string, dir string"
 
 
