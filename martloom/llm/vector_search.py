@@ -12,8 +12,10 @@ what is sent to every task has a fixed size.
 
 Defined cases: a null vector, one with a null or non-finite component, and one without an id
 take no part; queries meet vectors of their own length only; equal vectors are one row of
-the file with their k + 1 least ids, the only ones of them that can be among k results; equal scores go
-to the smaller id; repeated rows count each; numbers beyond 64 bits are cut to their range;
+the file with their k + 1 least ids, k rows of each at most, the only ones that can be among
+k results besides a query's own rows; vectors that only a query's own id has take no place
+in its bounds; an id with several vectors asks with the shortest, of these the least; equal
+scores go to the smaller id; repeated rows count each; numbers beyond 64 bits are cut to their range;
 an empty table gives no rows. Extra columns are left out.
 """
 
@@ -103,13 +105,22 @@ class Grid:
 
 
 def build_file(whole: DataFrame, k: int) -> tuple[DataFrame, Grid]:
-    """The staged approximation file (key, dims, cells, exact, ids), and its grid."""
+    """The staged approximation file (key, dims, cells, exact, ids, only), and its grid.
+
+    only is the id of a vector that no other id has.
+    """
     order = Window.partitionBy("key").orderBy("vec_id")
+    copies = Window.partitionBy("key", "vec_id").orderBy("dims")
     keyed = whole.withColumn("key", F.md5(F.array_join("exact", ",").cast("binary")))
-    nearest = keyed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    few = keyed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k)
+    nearest = few.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= k + 1)
+    alone = F.when(F.min("vec_id") == F.max("vec_id"), F.min("vec_id"))
     distinct = stage(
         nearest.groupBy("key").agg(
-            F.any_value("dims").alias("dims"), F.any_value("exact").alias("exact"), F.sort_array(F.collect_list("vec_id")).alias("ids")
+            F.any_value("dims").alias("dims"),
+            F.any_value("exact").alias("exact"),
+            F.sort_array(F.collect_list("vec_id")).alias("ids"),
+            alone.alias("only"),
         ),
         "vectors",
     )
@@ -123,18 +134,20 @@ def build_file(whole: DataFrame, k: int) -> tuple[DataFrame, Grid]:
                 part = batch.take(pa.array(rows))
                 cells = grid.cells(_matrix(part.column("exact"), dims))
                 packed = pa.array([c.tobytes() for c in cells], pa.binary())
-                arrays = [part.column("key"), part.column("dims"), packed, part.column("exact"), part.column("ids")]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "dims", "cells", "exact", "ids"])
+                arrays = [part.column("key"), part.column("dims"), packed, part.column("exact"), part.column("ids"), part.column("only")]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "dims", "cells", "exact", "ids", "only"])
 
-    schema = "key string, dims int, cells binary, exact array<bigint>, ids array<bigint>"
-    return stage(distinct.select("key", "dims", "exact", "ids").mapInArrow(quantise, schema), "approximations"), grid
+    schema = "key string, dims int, cells binary, exact array<bigint>, ids array<bigint>, only long"
+    return stage(distinct.select("key", "dims", "exact", "ids", "only").mapInArrow(quantise, schema), "approximations"), grid
 
 
 def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: Grid, k: int):
     """Vectors that a task cannot rule out: (query_id, key, lower, upper).
 
     Rows are kept as long as their upper bound reaches the kth best lower bound so far.
+    Vectors of the query's own id alone are left out.
     """
+    place = {d: {int(i): n for n, i in enumerate(ids)} for d, (ids, _) in queries.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = {d: np.full(len(ids), -np.inf) for d, (ids, _) in queries.items()}
@@ -149,11 +162,17 @@ def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: Grid, k: int)
                     part = batch.take(pa.array(rows[at : at + 2048]))
                     cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(-1, dims)
                     middle = vectors.astype(np.float64) @ grid.centres(cells).T
+                    owners = enumerate(part.column("only").to_pylist())
+                    own = [(place[dims][i], n) for n, i in owners if i in place[dims]]
+                    if own:
+                        middle[tuple(np.array(own).T)] = -np.inf
                     joined = np.concatenate([best[dims], middle - slack[:, None]], 1)
                     best[dims] = -np.partition(-joined, k - 1, 1)[:, :k]
                     limit[dims] = best[dims].min(1)
                     q, v = np.nonzero(middle + slack[:, None] >= limit[dims][:, None])
                     centre = middle[q, v]
+                    others = np.isfinite(centre)
+                    q, v, centre = q[others], v[others], centre[others]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(ids[q]),
@@ -203,13 +222,11 @@ def _search_block(file: DataFrame, grid: Grid, block: list, k: int) -> DataFrame
     for dims in {r["dims"] for r in block}:
         own = [r for r in block if r["dims"] == dims]
         queries[dims] = (np.array([r["vec_id"] for r in own]), np.array([r["exact"] for r in own], np.int64))
-    # one vector more than asked for: the query's own is left out at the end
-    more = k + 1
-    scanned = file.select("key", "dims", "cells").mapInArrow(
-        _scan(queries, grid, more), "query_id long, key string, lower double, upper double"
+    scanned = file.select("key", "dims", "cells", "only").mapInArrow(
+        _scan(queries, grid, k), "query_id long, key string, lower double, upper double"
     )
     scanned = stage(scanned, "bounds")
-    limits = _kth(scanned, "lower", more, "limit")
+    limits = _kth(scanned, "lower", k, "limit")
     open_ = scanned.join(limits, F.col("query_id") == F.col("query")).where("upper >= limit")
     order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "key")
     ranked = stage(open_.select("query_id", "key", "upper", F.row_number().over(order).alias("nth")), "ranked")
@@ -219,9 +236,9 @@ def _search_block(file: DataFrame, grid: Grid, block: list, k: int) -> DataFrame
         joined = rows.join(exact, F.col("key") == F.col("key_")).select("query_id", "dims", "exact", "ids", "upper")
         return joined.mapInArrow(_scores(queries), "query_id long, ids array<bigint>, score long, upper double")
 
-    first = stage(read(ranked.where(F.col("nth") <= READ_FIRST * more)), "scores")
-    certain = _kth(first, "score", more, "sure")
-    rest = ranked.where(F.col("nth") > READ_FIRST * more).join(certain, F.col("query_id") == F.col("query"), "left")
+    first = stage(read(ranked.where(F.col("nth") <= READ_FIRST * k)), "scores")
+    certain = _kth(first, "score", k, "sure")
+    rest = ranked.where(F.col("nth") > READ_FIRST * k).join(certain, F.col("query_id") == F.col("query"), "left")
     second = read(rest.where("sure is null or upper >= sure"))
     hits = first.unionByName(second).select("query_id", F.explode("ids").alias("vec_id"), "score")
     return hits.where("vec_id <> query_id")
@@ -242,7 +259,8 @@ def top_k(
     """
     whole = whole_vectors(vectors, scale, vec_id, embedding)
     file, grid = build_file(whole, k)
-    asked = stage(whole.where(is_query).dropDuplicates(["vec_id"]), "queries")
+    least = whole.where(is_query).where("dims > 0").groupBy("vec_id").agg(F.min(F.struct("dims", "exact")).alias("least"))
+    asked = stage(least.select("vec_id", "least.dims", "least.exact"), "queries")
     blocks = -(-asked.count() // block)
     found = None
     for i in range(blocks):

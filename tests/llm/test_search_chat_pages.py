@@ -41,6 +41,23 @@ def test_top_k_equals_all_pairs(spark, block):
     assert sorted(map(tuple, found.collect())) == expected
 
 
+def test_rows_of_the_query_take_no_place(spark):
+    rng = random.Random(8)
+    far = [[float32(rng.gauss(0, 0.1)) for _ in range(4)] for _ in range(80)]
+    rows = [(1_000 + i, v) for i, v in enumerate(far)]
+    rows += [(0, [1.0] * 4)] * 9 + [(i, [1.0] * 4) for i in range(1, 20)] + [(5, [1.0] * 4)] * 3  # repeated rows
+    rows += [(20, [2.0 + i, 1.0, 0.5, 0.25]) for i in range(30)]  # an id with many vectors
+    rows += [(40, [-1.0] * 4)] * 30 + [(60, [-1.0] * 4)]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], VECTORS)
+    found = sorted(map(tuple, vector_search.top_k(df, F.col("vec_id").isin(0, 20, 40, 60, 1_000), k=10).collect()))
+    expected = []
+    for q in (0, 20, 40, 60, 1_000):
+        own = [math.floor(1024 * x) for x in min(v for i, v in rows if i == q)]
+        scored = sorted((-sum(a * math.floor(1024 * b) for a, b in zip(own, v, strict=True)), i) for i, v in rows if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:10])]
+    assert found == expected
+
+
 def test_large_components_are_exact(spark):
     rng = random.Random(6)
     rows = [(i, [float32(rng.uniform(-1, 1) * 10.0**9) for _ in range(3)]) for i in range(60)]
