@@ -67,14 +67,23 @@ class JoinRules:
     def runs(self) -> int:
         """Runs after which a pair at the threshold has met with the target recall.
 
-        A split keeps the pair with the given similarity for each sampled token; meet is
-        the probability that some path of full depth keeps it.
+        All runs sample the same min-hash tokens, of which a pair shares a binomial number. A
+        split keeps the pair with the share of these for each sampled token; meet is the
+        probability that some path of full depth keeps it.
         """
-        s, extra, meet = self.similarity, 1 / self.similarity % 1, 1.0
+        if self.recall >= 1:
+            raise ValueError("no number of runs has a recall of 1")
+        s, extra = self.similarity, 1 / self.similarity % 1
+        shared = np.arange(TOKENS + 1)
+        chance = np.array([math.comb(TOKENS, k) * s**k * (1 - s) ** (TOKENS - k) for k in shared.tolist()])
+        meet = np.ones(TOKENS + 1)
         for _ in range(self.depth):
-            lost = 1 - s * meet
+            lost = 1 - shared / TOKENS * meet
             meet = 1 - lost ** int(1 / s) * (1 - extra + extra * lost)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
+        runs = 1
+        while chance @ (1 - meet) ** runs > 1 - self.recall:
+            runs += 1
+        return runs
 
 
 def _mixed(x: np.ndarray, i: int) -> np.ndarray:

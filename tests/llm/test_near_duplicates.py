@@ -96,6 +96,23 @@ def test_runs_reach_the_recall():
         assert missed / 3_000 <= (1 - recall) * 1.3 + 0.001
 
 
+def test_runs_reach_the_recall_over_one_set_of_tokens():
+    rules = jaccard_join.JoinRules()
+    rng = random.Random(2)
+
+    def meets(share, level=0):
+        if level == rules.depth:
+            return True
+        tries = 2 if rng.random() < 0.25 else 1
+        return any(rng.random() < share and meets(share, level + 1) for _ in range(tries))
+
+    missed = 0
+    for _ in range(10_000):
+        share = sum(rng.random() < 0.8 for _ in range(jaccard_join.TOKENS)) / jaccard_join.TOKENS
+        missed += not any(meets(share) for _ in range(rules.runs()))
+    assert missed / 10_000 <= 0.002
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (300, 41)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
