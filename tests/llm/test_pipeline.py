@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 from test_near_duplicates import brute_links
-from test_quality import counts
+from test_quality_rules import counts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
