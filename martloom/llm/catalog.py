@@ -7,19 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, licenses, packing, quality, suffix_dedup, vector_search
-from martloom.llm.common import scratch, stage, table
+from martloom.llm.common import scratch, stage, table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    """Where the installed vocabulary files are; every executor has the same package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
     return found.withColumnRenamed("key", "doc_id")
@@ -76,9 +70,6 @@ def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    # the pipeline's module uses this one
-    import corpus_pipeline
-
     return {
         "op1_license_scan": license_query,
         "op2_jaccard_join": jaccard_query,

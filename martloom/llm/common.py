@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martloom.sources.staging import stage, staging_root
 
-__all__ = ["SPACE", "distinct_names", "scratch", "stage", "table", "words_of"]
+__all__ = ["SPACE", "distinct_names", "scratch", "stage", "table", "tokenizer_file", "words_of"]
 
 # the white space that separates words, as a Java and RE2 character class
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary files are; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder's path in shared storage."""
     return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"

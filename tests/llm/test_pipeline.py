@@ -10,7 +10,7 @@ from test_quality_rules import counts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from martloom.llm.catalog import tokenizer_file
+from martloom.llm.common import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, n_chars long, tag string, kept string, node int, row string"
 LABELS = "doc_id long, quality int, toxic int"

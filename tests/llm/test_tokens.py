@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from martloom.llm import automaton, grammar, packing
-from martloom.llm.catalog import tokenizer_file
+from martloom.llm.common import tokenizer_file
 from martloom.llm.presplit import library_ids
 
 DOCS = "doc_id long, text string, ids string, start int"
