@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from martloom.llm import jaccard_join, packing, quality, suffix_dedup
-from martloom.llm.catalog import tokenizer_file
-from martloom.llm.common import stage, table
+from martloom.llm.common import stage, table, tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
