@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import tempfile
 import time
 
@@ -61,7 +62,7 @@ def stored_pages(spark, snap, root: str) -> dict:
         return serving.executive_summary(location, snap.customers, sales).collect()
 
     def channels():
-        columns = ["channel", "source_restaurant_id", "total_orders", "gross_revenue", "net_revenue", "contribution_margin"]
+        columns = ["channel", "source_restaurant_id", "total_orders", "gross_amount", "net_revenue", "contribution_margin"]
         return mart("channel_performance", *columns).groupBy("channel").count().collect()
 
     def segments():
@@ -80,22 +81,29 @@ def main() -> None:
     catalog = all_queries()
     scratch = tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp")
 
-    def timed(work) -> float:
+    def timed(name: str, work) -> float | None:
+        """The median of the runs; a failure costs this figure alone."""
         runs = []
         for _ in range(repeats + 1):
             started = time.perf_counter()
-            work()
+            try:
+                work()
+            except Exception as err:  # reported, and shown as null in the result
+                print(f"{name}: {type(err).__name__}: {str(err)[:400]}", file=sys.stderr, flush=True)
+                return None
             runs.append(time.perf_counter() - started)
-        return round(statistics.median(runs[1:]), 3)
+        median = round(statistics.median(runs[1:]), 3)
+        print(f"{name}: {median}", file=sys.stderr, flush=True)
+        return median
 
     def write(name: str) -> None:
         catalog[name](spark, sf_dir).write.mode("overwrite").parquet(f"{scratch}/{name}")
 
-    seconds = {name: timed(lambda: write(name)) for name in only or [*MARTS, *OTHERS]}
+    seconds = {name: timed(name, lambda: write(name)) for name in only or [*MARTS, *OTHERS]}
     snap = star_snapshot(spark, sf_dir, "brand")
-    total = timed(lambda: run_marts(snap, f"{scratch}/marts"))
+    total = timed("all marts", lambda: run_marts(snap, f"{scratch}/marts"))
     if not only:
-        seconds |= {name: timed(page) for name, page in stored_pages(spark, snap, f"{scratch}/marts").items()}
+        seconds |= {name: timed(name, page) for name, page in stored_pages(spark, snap, f"{scratch}/marts").items()}
     print(
         json.dumps(
             {
