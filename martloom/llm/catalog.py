@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, licenses, packing, quality, suffix_dedup, vector_search
+from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, licenses, manifest, packing, quality, suffix_dedup, vector_search
 from martloom.llm.common import scratch, stage, table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.code_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_license_scan": license_query,
@@ -81,6 +85,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_chat_format": chat_query,
         "op9_quality_rules": quality_rules,
         "op10_bpe": bpe_codes,
+        "op12_merkle_manifest": manifest_query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -262,5 +267,66 @@ LEFT JOIN templates ON templates.t = coalesce(own.best, near.given).t
 """
 
 
+MANIFEST_SQL = r"""
+WITH RECURSIVE plain AS (
+  SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text,
+    list_reduce([4294967295] || [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+      lambda crc, b: list_reduce([xor(crc, b)] || [0, 1, 2, 3, 4, 5, 6, 7],
+        lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents
+), forms AS (
+  SELECT *, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)],
+    lambda v: coalesce(CAST(strlen(v) AS VARCHAR) || ':' || v, '-')) AS f
+  FROM plain
+), leaves AS (
+  SELECT id, doc_id, lang, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) END AS changed
+  FROM forms
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM tree WHERE n = 1
+), crown AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY level, pos // 2
+), steps AS (
+  SELECT id, t.level, xor(p.pos >> t.level, 1) < xor(p.pos >> t.level, 0) AS before, s.h
+  FROM placed p JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) t ON p.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = t.level AND s.pos = xor(p.pos >> t.level, 1)
+  UNION ALL
+  SELECT id, 1000 + t.level, xor(r.pos >> t.level, 1) < xor(r.pos >> t.level, 0), s.h
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang JOIN (SELECT DISTINCT level FROM crown WHERE n > 1) t ON true
+  LEFT JOIN crown s ON s.level = t.level AND s.pos = xor(r.pos >> t.level, 1)
+), ways AS (
+  SELECT id, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256,
+    list({'before': before, 'h': coalesce(h, '')} ORDER BY level) AS way
+  FROM steps GROUP BY id
+), folded AS (
+  SELECT placed.*, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce([{'before': false, 'h': coalesce(changed, leaf)}] || coalesce(way, []), lambda a, s:
+      {'before': false, 'h': sha256(CASE WHEN s.before THEN s.h || a.h ELSE a.h || s.h END)}).h AS folded_root
+  FROM placed LEFT JOIN ways ON placed.id = ways.id
+)
+SELECT doc_id, leaf, subroot, crown.h AS root, proof_sha256, folded_root, folded_root = crown.h AS verified
+FROM folded JOIN subroots ON folded.lang IS NOT DISTINCT FROM subroots.lang JOIN crown ON crown.n = 1
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op4_vector_search": VECTOR_SQL, "op8_chat_format": CHAT_SQL, "op9_quality_rules": quality_sql()}
+    return {
+        "op1_license_scan": license_sql(),
+        "op4_vector_search": VECTOR_SQL,
+        "op8_chat_format": CHAT_SQL,
+        "op9_quality_rules": quality_sql(),
+        "op12_merkle_manifest": MANIFEST_SQL,
+    }
