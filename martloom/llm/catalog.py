@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martloom.llm import automaton, chat, grammar, html_mincut, jaccard_join, licenses, manifest, packing, quality, suffix_dedup, vector_search
+from martloom.llm import alignment, automaton, chat, grammar, html_mincut, jaccard_join, licenses, manifest, packing, quality, suffix_dedup, vector_search
 from martloom.llm.common import scratch, stage, table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.code_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.link_scores(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_chat_format": chat_query,
         "op9_quality_rules": quality_rules,
         "op10_bpe": bpe_codes,
+        "op11_token_alignment": alignment_query,
         "op12_merkle_manifest": manifest_query,
         "pipeline": corpus_pipeline.run,
     }
@@ -328,5 +334,6 @@ def llm_oracles() -> dict[str, str]:
         "op4_vector_search": VECTOR_SQL,
         "op8_chat_format": CHAT_SQL,
         "op9_quality_rules": quality_sql(),
+        "op11_token_alignment": alignment_query,
         "op12_merkle_manifest": MANIFEST_SQL,
     }
