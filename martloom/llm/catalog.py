@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from martloom.llm import alignment, automaton, chat, grammar, html_mincut, jaccard_join, licenses, manifest, packing, quality, suffix_dedup, vector_search
+from martloom.llm import alignment, automaton, chat, grammar, html_mincut, jaccard_join, licenses, manifest, packing, quality, rule_ensemble, suffix_dedup, vector_search
 from martloom.llm.common import scratch, stage, table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_license_scan": license_query,
@@ -92,6 +96,7 @@ def llm_queries() -> dict[str, Query]:
         "op10_bpe": bpe_codes,
         "op11_token_alignment": alignment_query,
         "op12_merkle_manifest": manifest_query,
+        "op13_quality_classifier": quality_scores,
         "pipeline": corpus_pipeline.run,
     }
 
