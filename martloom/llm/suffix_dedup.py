@@ -1,11 +1,12 @@
-"""Removal of long repeated byte strings by suffix arrays.
+"""Removal of long repeats by suffix arrays.
 
-A window is `span` bytes of a document. Every window that also starts anywhere else, in the
-same document or another, is removed with all the bytes it covers; removal is judged on the
-input.
+A window is `span` symbols of a document: bytes in `remove_repeats`, words in
+`without_repeats`. Every window that also starts anywhere else, in the same document or
+another, is removed with all that it covers; removal is judged on the input. Words lie
+between ASCII white space, case kept, and are compared by 32-bit hashes.
 
 Windows are dealt to shards by content, so that equal windows meet: the anchor of a window
-is its smallest hashed 64-byte string (the leftmost of equal ones), neighbouring windows
+is its smallest hashed string of 64 bytes or 10 words (the leftmost of equal ones), neighbouring windows
 with one anchor form a segment, and segments are dealt by the anchor's hash.
 
 1. Segments are counted without their texts. Where all segments of an anchor are equal,
@@ -25,7 +26,9 @@ texts are handled in overlapping blocks. Extra columns are left out of the resul
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,26 @@ from pyspark.sql import functions as F
 from martloom.llm.common import stage
 
 SPAN = 400
-_GRAM = 64
+WORD_SPAN = 51
+
+
+@dataclass(frozen=True)
+class Symbols:
+    """What windows are counted in: the type of a symbol, and how many an anchor has."""
+
+    kind: str
+    anchor: int
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    def array(self, buffer: pa.Buffer) -> np.ndarray:
+        return np.frombuffer(buffer, self.kind)
+
+
+BYTES = Symbols("u1", 64)
+WORDS = Symbols("<u4", 10)
 _BLOCK = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -50,9 +72,17 @@ _BYTE = _constants(256, 1)
 _STEP = _constants(40, 2)
 
 
+def _spread(data: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each symbol."""
+    if data.dtype.itemsize == 1:
+        return _BYTE[data]
+    wide = data.astype(np.uint64) * _BYTE[0] + _BYTE[1]
+    return (wide ^ (wide >> np.uint64(31))) * _BYTE[2]
+
+
 def _rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes that start at each place, by doubling."""
-    whole, total, at, step = None, 0, _BYTE[data], 0
+    """Hash of the `size` symbols that start at each place, by doubling."""
+    whole, total, at, step = None, 0, _spread(data), 0
     width = 1
     while True:
         if size & width:
@@ -75,12 +105,14 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments_of(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+def segments_of(
+    data: np.ndarray, starts: np.ndarray, counts: np.ndarray, span: int, anchor: int = BYTES.anchor
+) -> tuple[np.ndarray, ...]:
     """Segments (first window, windows, anchor hash) of pieces laid end to end.
 
-    Piece i begins at starts[i] and has counts[i] windows, all of its bytes being in data.
+    Piece i begins at starts[i] and has counts[i] windows, all of its symbols being in data.
     """
-    gram = min(_GRAM, span)
+    gram = min(anchor, span)
     hashes = _rolling(data, gram)
     places = np.arange(len(hashes), dtype=np.uint64)
     anchors = _sliding_min((hashes & ~_PLACE) | places, span - gram + 1) & _PLACE
@@ -93,37 +125,38 @@ def segments_of(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, span:
     return windows[first], sizes, hashes[own[first].astype(np.int64)]
 
 
-def _segment_rows(span: int):
+def _segment_rows(span: int, symbols: Symbols):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("bytes")
             held: list[tuple[int, int, int, np.ndarray]] = []
             size = 0
             for row in range(batch.num_rows):
-                data = np.frombuffer(values[row].as_buffer(), np.uint8)
+                data = symbols.array(values[row].as_buffer())
                 windows = len(data) - span + 1
                 for start in range(0, windows, _BLOCK):
                     count = min(_BLOCK, windows - start)
                     held.append((row, start, count, data[start : start + count + span - 1]))
                     size += count + span
                     if size >= _BLOCK:
-                        yield _flush(batch, held, span)
+                        yield _flush(batch, held, span, symbols)
                         held, size = [], 0
             if held:
-                yield _flush(batch, held, span)
+                yield _flush(batch, held, span, symbols)
 
     return run
 
 
-def _flush(batch: pa.RecordBatch, held: list[tuple[int, int, int, np.ndarray]], span: int) -> pa.RecordBatch:
+def _flush(
+    batch: pa.RecordBatch, held: list[tuple[int, int, int, np.ndarray]], span: int, symbols: Symbols
+) -> pa.RecordBatch:
     data = np.concatenate([h[3] for h in held])
     starts = np.cumsum([0] + [len(h[3]) for h in held[:-1]])
     counts = np.array([h[2] for h in held])
-    first, sizes, keys = segments_of(data, starts, counts, span)
-    view = memoryview(data)
-    kinds = [
-        xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (first + sizes + span - 1).tolist(), strict=True)
-    ]
+    first, sizes, keys = segments_of(data, starts, counts, span, symbols.anchor)
+    view = memoryview(data.view(np.uint8))
+    edges = zip((symbols.size * first).tolist(), (symbols.size * (first + sizes + span - 1)).tolist(), strict=True)
+    kinds = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in edges]
     piece = np.searchsorted(starts, first, "right") - 1
     rows = pa.array(np.array([h[0] for h in held])[piece])
     inside = first - starts[piece] + np.array([h[1] for h in held])[piece]
@@ -139,22 +172,23 @@ def _flush(batch: pa.RecordBatch, held: list[tuple[int, int, int, np.ndarray]],
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first `depth` bytes or more, and the rank of each.
+    """Suffixes in the order of their first `depth` symbols or more, and the rank of each.
 
     Larsson-Sadakane: the first 8 bytes give the first order; a round doubles the depth
     and sorts anew only inside groups that are still tied.
     """
     n = len(data)
     keys = np.zeros(n, np.uint64)
-    for i in range(8):
-        keys <<= np.uint64(8)
+    at_once = 8 // data.dtype.itemsize
+    for i in range(at_once):
+        keys <<= np.uint64(64 // at_once)
         keys[: n - i] |= data[i:].astype(np.uint64)
     order = np.argsort(keys, kind="stable").astype(np.int32)
     fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
     group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)).astype(np.int64)
     rank = np.empty(n, np.int64)
     rank[order] = group
-    h = 8
+    h = at_once
     while h < depth:
         ends = np.concatenate([fresh[1:], [True]])
         tied = np.flatnonzero(~(fresh & ends))
@@ -194,15 +228,17 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, s
 
 
 def _kasai(data: np.ndarray, windows: np.ndarray, by: np.ndarray, counts: np.ndarray, span: int) -> np.ndarray:
-    """Bytes that each window shares with the one before it in suffix order, `span` at most.
+    """Symbols that each window shares with the one before it in suffix order, `span` at most.
 
-    Kasai's walk takes the windows of a segment in text order: one byte further, all but
-    one of the shared bytes remain shared, if the window before has a successor that still
+    Kasai's walk takes the windows of a segment in text order: one symbol further, all but
+    one of the shared ones remain shared, if the window before has a successor that still
     stands before. All segments walk in step.
     """
+    at_once = 8 // data.dtype.itemsize
+    bits = 64 // at_once
     eight = np.zeros(len(data) + 8, np.uint64)
-    for i in range(8):
-        eight[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+    for i in range(at_once):
+        eight[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(bits * i)
     first = np.cumsum(counts) - counts
     place = np.empty(len(windows), np.int64)
     place[by] = np.arange(len(by))
@@ -227,9 +263,10 @@ def _kasai(data: np.ndarray, windows: np.ndarray, by: np.ndarray, counts: np.nda
         while len(going):
             differs = eight[a[going] + shared[going]] ^ eight[b[going] + shared[going]]
             low = differs & (~differs + np.uint64(1))
-            more = np.where(differs == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+            same = np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // bits
+            more = np.where(differs == 0, at_once, same)
             shared[going] += more
-            going = going[(more == 8) & (shared[going] < span)]
+            going = going[(more == at_once) & (shared[going] < span)]
         common[at] = np.minimum(shared, span)
     return common
 
@@ -237,7 +274,7 @@ def _kasai(data: np.ndarray, windows: np.ndarray, by: np.ndarray, counts: np.nda
 _SHARD_BYTES = 1 << 21
 
 
-def _shard_rows(span: int, id_type_name: str):
+def _shard_rows(span: int, symbols: Symbols):
     """Repeated windows of shards, and sorted slices of hashes of those that are split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +287,13 @@ def _shard_rows(span: int, id_type_name: str):
             for row, key in enumerate(keys):
                 if key != last and size >= _SHARD_BYTES:
                     held.append(batch.slice(begin, row - begin))
-                    yield from _shard(pa.Table.from_batches(held), span)
+                    yield from _shard(pa.Table.from_batches(held), span, symbols)
                     held, size, begin = [], 0, row
                 last = key
                 size += sizes[row]
             held.append(batch.slice(begin))
         if size:
-            yield from _shard(pa.Table.from_batches(held), span)
+            yield from _shard(pa.Table.from_batches(held), span, symbols)
 
     return run
 
@@ -264,10 +301,10 @@ def _shard_rows(span: int, id_type_name: str):
 _FOUND = ["doc_id", "tag", "start", "n", "key", "slice", "hashes", "ids", "tags", "starts"]
 
 
-def _shard(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
+def _shard(table: pa.Table, span: int, symbols: Symbols) -> Iterator[pa.RecordBatch]:
     table = table.combine_chunks()
     column = {c: (table.column(c).chunk(0) if table.num_rows else table.column(c)) for c in table.column_names}
-    parts = [np.frombuffer(v.as_buffer(), np.uint8) for v in column["bytes"]]
+    parts = [symbols.array(v.as_buffer()) for v in column["bytes"]]
     data = np.concatenate(parts)
     lengths = np.array([len(p) for p in parts])
     starts = np.cumsum(lengths) - lengths
@@ -341,12 +378,35 @@ def _merge_slice(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(own, ["doc_id", "tag", "start", "n"])
 
 
-def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256) -> DataFrame:
-    """Runs of repeated windows (doc_id, tag, start, n) of rows (doc_id, tag, bytes)."""
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column bytes with each word replaced by its code."""
+    known = _WordCodes()
+    for batch in batches:
+        column = batch.schema.get_field_index("bytes")
+        codes = [b"".join(map(known.__getitem__, value.as_py().split())) for value in batch.column(column)]
+        yield batch.set_column(column, "bytes", pa.array(codes, pa.binary()))
+
+
+class _WordCodes(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 500_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")[:4]
+        return found
+
+
+def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256, symbols: Symbols = BYTES) -> DataFrame:
+    """Runs of repeated windows (doc_id, tag, start, n) of rows (doc_id, tag, bytes), in symbols."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = f"doc_id {id_type}, tag long, key long, kind long, start long, n int"
-    long_enough = rows.where(F.octet_length("bytes") >= span)
-    segments = stage(long_enough.mapInArrow(_segment_rows(span), found), "segments")
+    # words and the spaces between them take two bytes each
+    least = span if symbols == BYTES else 2 * span - 1
+    long_enough = rows.where(F.octet_length("bytes") >= least)
+
+    def coded(df: DataFrame) -> DataFrame:
+        return df if symbols == BYTES else df.mapInArrow(_word_codes, df.schema)
+
+    segments = stage(coded(long_enough).mapInArrow(_segment_rows(span, symbols), found), "segments")
 
     kinds = segments.groupBy("key", "kind").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("one")
@@ -373,11 +433,16 @@ def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256
     wanted = split.groupBy("doc_id_", "tag_").agg(F.collect_list("seg").alias("segs"))
 
     def cut(s: Column) -> Column:
-        return s.withField("bytes", F.substring("bytes", s["start"].cast("int") + 1, s["n"] + (span - 1)))
+        size = symbols.size
+        return s.withField("bytes", F.substring("bytes", size * s["start"].cast("int") + 1, size * (s["n"] + (span - 1))))
 
-    fetched = (
+    texts = (
         long_enough.dropDuplicates(["doc_id", "tag"])
         .join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_")))
+        .select("doc_id", "tag", "bytes", "segs")
+    )
+    fetched = (
+        coded(texts)
         .select("doc_id", "tag", F.explode(F.transform("segs", cut)).alias("s"))
         .select("doc_id", "tag", "s.*")
     )
@@ -387,7 +452,7 @@ def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256
         f"doc_id {id_type}, tag long, start long, n int, key long, slice long, hashes array<bigint>, "
         f"ids array<{id_type}>, tags array<bigint>, starts array<bigint>"
     )
-    shards = stage(sharded.mapInArrow(_shard_rows(span, id_type), found), "shards")
+    shards = stage(sharded.mapInArrow(_shard_rows(span, symbols), found), "shards")
     inside = shards.where("key is null").select("doc_id", "tag", "start", "n")
     slices = shards.where("key is not null").select("key", "slice", "hashes", "ids", "tags", "starts")
     across = slices.groupBy("key", "slice").applyInArrow(_merge_slice, f"doc_id {id_type}, tag long, start long, n int")
@@ -395,7 +460,7 @@ def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256
 
 
 def _merged(ranges: list[dict], span: int) -> list[tuple[int, int]]:
-    """The byte spans that runs of windows cover, joined where they overlap or touch."""
+    """The stretches that runs of windows cover, joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
     for start, n in sorted((r["start"], r["n"]) for r in ranges):
         stop = start + n + span - 1
@@ -406,11 +471,23 @@ def _merged(ranges: list[dict], span: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(rows: DataFrame, ranges: DataFrame, span: int, carried: str, as_text: bool = False) -> DataFrame:
-    """Column `carried` of rows, with n_bytes, n_removed, n_spans, spans and kept.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _in_bytes(data: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of words as stretches of bytes, from a first word's start to a last one's end."""
+    if not stretches:
+        return []
+    words = [m.span() for m in _WORD.finditer(data)]
+    return [(words[a][0], words[b - 1][1]) for a, b in stretches]
+
+
+def _cut(rows: DataFrame, ranges: DataFrame, span: int, carried: str, symbols: Symbols = BYTES) -> DataFrame:
+    """Column `carried` of rows, with n_bytes, n_removed, n_spans, spans (in bytes) and kept.
 
-    As text, kept lacks the parts of characters that a cut splits.
+    Where words are cut, kept is text.
     """
+    as_text = symbols == WORDS
     owned = ranges.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(
         F.collect_set(F.struct("start", "n")).alias("ranges")
     )
@@ -424,10 +501,12 @@ def _cut(rows: DataFrame, ranges: DataFrame, span: int, carried: str, as_text: b
             for value, found in zip(batch.column("bytes"), batch.column("ranges"), strict=True):
                 data = value.as_py()
                 cut = _merged(found.as_py() or [], span)
+                if as_text:
+                    cut = _in_bytes(data, cut)
                 edges = [0, *(x for pair in cut for x in pair), len(data)]
                 parts = [data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
                 counts.append((len(data), len(data) - sum(map(len, parts)), len(cut)))
-                kept.append("".join(p.decode("utf-8", "ignore") for p in parts) if as_text else b"".join(parts))
+                kept.append("".join(p.decode() for p in parts) if as_text else b"".join(parts))
                 spans.append([{"start": a, "stop": b} for a, b in cut])
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -456,17 +535,18 @@ def remove_repeats(
     return _cut(rows, repeated_ranges(rows, span, shard_segments), span, "doc_id")
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, shard_segments: int = 256) -> DataFrame:
-    """docs with the repeats cut out of their texts and n_chars counted anew.
+def without_repeats(docs: DataFrame, words: int = WORD_SPAN, shard_segments: int = 256) -> DataFrame:
+    """docs with all repeats of so many words cut out of their texts and n_chars counted anew.
 
-    A character that a cut splits goes with the cut; a null text stays null.
+    A cut runs from the start of its first word to the end of its last; the white space
+    around it and a null text stay.
     """
-    ranges = repeated_ranges(_tagged(docs, "doc_id", "text"), span, shard_segments)
+    ranges = repeated_ranges(_tagged(docs, "doc_id", "text"), words, shard_segments, WORDS)
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", F.xxhash64(body).alias("tag"), body.cast("binary").alias("bytes"), F.struct("*").alias("row")
     )
-    cut = _cut(rows, ranges, span, "row", as_text=True)
+    cut = _cut(rows, ranges, words, "row", WORDS)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     values = {"text": text, "n_chars": F.length(text).cast("long")}
     return cut.select(*(values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -167,10 +167,44 @@ def test_long_texts_repeated_rows_and_columns(spark):
     docs = spark.createDataFrame(rows, DOCS)
     found = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
     assert found == [(0, 399, 0), (1, 700_000, 1_000), (2, 1_000, 1_000), (3, 5, 0), (3, 450, 450), (3, 450, 450), (4, 0, 0)]
-    kept = suffix_dedup.without_repeats(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows)
-    assert kept.where("doc_id = 4 and text is null").count() == 1
-    assert kept.where("doc_id = 1").first().text == long[:300_000] + long[301_000:]
+
+
+def brute_words(texts, span):
+    """Texts without every word that a repeated window of words covers."""
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words = [[t[a:b] for a, b in places] for t, places in zip(texts, spans, strict=True)]
+    seen = Counter(tuple(w[i : i + span]) for w in words for i in range(len(w) - span + 1))
+    out = []
+    for t, places, w in zip(texts, spans, words, strict=True):
+        gone = sorted({j for i in range(len(w) - span + 1) if seen[tuple(w[i : i + span])] > 1 for j in range(i, i + span)})
+        parts, at = [], 0
+        for i, j in enumerate(gone):
+            if i == 0 or gone[i - 1] != j - 1:
+                parts.append(t[at : places[j][0]])
+            at = places[j][1]
+        out.append(None if t is None else "".join(parts) + t[at:])
+    return out
+
+
+@pytest.mark.parametrize(("span", "shard_segments"), [(51, 256), (51, 2), (12, 3)])
+def test_word_repeats_equal_a_plain_search(spark, span, shard_segments):
+    rng = random.Random(span)
+
+    def some(n):
+        return "".join(rng.choice("aéb") + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(n))
+
+    def prose(n):
+        return " ".join(f"wé{rng.randint(0, 999)}" for _ in range(n))
+
+    planted = [prose(n) for n in range(51, 61)]
+    texts = [f"{prose(rng.randint(0, 90))} {planted[i % 10]}\n{prose(rng.randint(0, 90))}" for i in range(25)]
+    texts += [prose(50), prose(70), None, "", "one " * 200, some(150), some(140), f"{planted[0]} {planted[0]}", prose(20_000)]
+    texts += [texts[-1][500:9_000], texts[0], planted[3].upper()]
+    docs = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], DOCS)
+    found = suffix_dedup.without_repeats(docs, span, shard_segments).orderBy("doc_id")
+    assert found.columns == docs.columns
+    assert [r.text for r in found.collect()] == brute_words(texts, span)
+    assert suffix_dedup.without_repeats(docs.where("doc_id = 26"), span).first().text == texts[26]
 
 
 def test_one_letter(spark):
@@ -179,13 +213,6 @@ def test_one_letter(spark):
     assert found == {1: (300_000, 1), 2: (0, 0)}
 
 
-def test_cut_characters_vanish(spark):
-    shared = "€" * 140
-    docs = spark.createDataFrame([(1, "aé" + shared), (2, "bè" + shared)], "doc_id long, text string")
-    cut = suffix_dedup.without_repeats(docs, 400)
-    assert sorted(r.text for r in cut.collect()) == ["aé", "bè"]
-
-
 def test_empty_cut(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix_dedup.remove_repeats(empty).count() == 0

@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from test_near_duplicates import brute_links
+from test_near_duplicates import brute_links, brute_words
 from test_quality_rules import counts
 from tokenizers import Tokenizer
 
@@ -31,19 +31,8 @@ def plain_one_of_each(rows):
     return [rows[i] for i in sorted({c for c, _ in brute_links([t for _, t in rows])})]
 
 
-def plain_repeats(rows, span=400):
-    data = [t.encode() for _, t in rows]
-    seen = Counter(d[i : i + span] for d in data for i in range(len(d) - span + 1))
-    out = []
-    for (doc_id, _), d in zip(rows, data, strict=True):
-        gone = np.zeros(len(d), bool)
-        for i in range(len(d) - span + 1):
-            if seen[d[i : i + span]] > 1:
-                gone[i : i + span] = True
-        edges = [0, *(np.flatnonzero(np.diff(gone.astype(int))) + 1).tolist(), len(d)]
-        parts = [d[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b and not gone[a]]
-        out.append((doc_id, "".join(p.decode("utf-8", "ignore") for p in parts)))
-    return out
+def plain_repeats(rows):
+    return list(zip([i for i, _ in rows], brute_words([t for _, t in rows], 51), strict=True))
 
 
 def plain_packing(rows):
@@ -70,7 +59,7 @@ def documents():
 
     rows = [(i, some(20)) for i in range(1_600)]
     rows += [(i, " ".join(f"{w}#$%" for w in some(20).split())) for i in range(1_600, 1_900)]
-    passage, base = some(80), some(60)
+    passage, base = some(55), some(60)
     rows += [(2_000, f"{some(90)} {passage} {some(70)}"), (2_001, f"{some(100)} {passage}"), (None, f"{passage} {some(95)}")]
     rows += [(2_011, base), (2_010, f"{base} more"), (2_012, f"{base} other"), (2_020, some(3_000))]
     copy = some(30)
