@@ -4,12 +4,13 @@ A document is the set of its five-word shingles. Equal sets become one node firs
 has `TOKENS` min-hash tokens; two sets share a token with the probability of their Jaccard
 similarity. A run starts with all nodes in one bucket; a bucket with more than `bucket`
 nodes is split on sampled tokens, 1 / similarity of them on average, so a pair at the
-threshold is expected to stay together once per level. A bucket that keeps more than half
-of the one it came from is a group of near copies, which splitting does not part: it is
-compared as it is. Small buckets at once, large ones in blocks, are compared by sketches; runs are repeated until a pair at the
-threshold is missed with probability 1 - recall at most. What the sketches link forms
-candidate components, inside which all pairs are decided exactly, in blocks, on whole
-shingle sets.
+threshold is expected to stay together once per level. Splitting does not part a group of
+near copies: where most of a few members of a large bucket agree with one of them, the
+pivot, the bucket is not split. Its members are compared with the pivot, and only those that
+do not agree with it are compared with all others. Small buckets at once, large ones in
+blocks, are compared by sketches; runs are repeated until a pair at the threshold is missed
+with probability 1 - recall at most. What the sketches link forms candidate components,
+inside which all pairs are decided exactly, in blocks, on whole shingle sets.
 
 Results: one row per document with its class (documents linked directly or in chains, named
 by the least doc_id) and its number of links, copies included.
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martloom.llm.common import stage
@@ -144,10 +145,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paths(level: int, runs: int):
-    """Rows (path, node, before) one level down; the first level starts every run.
-
-    before is the size of the bucket that was split, 0 where that was all nodes.
-    """
+    """Rows (path, node) one level down; the first level starts every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +153,6 @@ def _paths(level: int, runs: int):
             if not n:
                 continue
             tokens = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
-            before = np.zeros(n, np.int64) if level == 1 else batch.column("held").to_numpy()
             if level == 1:
                 starts = [np.full(n, r, np.uint64) for r in range(1, runs + 1)]
             else:
@@ -170,8 +167,7 @@ def _paths(level: int, runs: int):
                     at = place[rows]
                     key = _mixed(path[rows] * _MIX[5] + at * _MIX[6] + tokens[rows, at.astype(np.int64)], 2)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), batch.column("node").take(pa.array(rows)), pa.array(before[rows])],
-                        ["path", "node", "before"],
+                        [pa.array(key.view(np.int64)), batch.column("node").take(pa.array(rows))], ["path", "node"]
                     )
 
     return run
@@ -255,6 +251,99 @@ def _bucket_edges(agree: int):
     return run
 
 
+_PICKS = 9
+
+
+def _copy_groups(large: DataFrame, sketches: DataFrame, agree: int) -> DataFrame:
+    """Of large buckets (path, node) those of near copies: path_, pivot and its sketch.
+
+    Nine members are picked by hash; in a group of near copies six of eight agree with the
+    first. Picks from too mixed a bucket cost comparisons, but lose no pair.
+    """
+    picked = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"pick{i}") for i in range(_PICKS)]
+    picks = large.groupBy("path").agg(*picked)
+    picks = picks.select(
+        F.col("path").alias("path_"), F.posexplode(F.array(*(f"pick{i}" for i in range(_PICKS)))).alias("place", "pick")
+    )
+    known = picks.join(sketches, F.col("pick") == F.col("node_")).groupBy("path_")
+    ordered = known.agg(F.sort_array(F.collect_list(F.struct("place", "pick", "sketch"))).alias("picks"))
+    pivot = F.col("picks")[0]
+
+    def near(other: Column) -> Column:
+        def equal(total: Column, i: Column) -> Column:
+            a, b = (F.substring(x, i, F.lit(1)) for x in (pivot["sketch"], other["sketch"]))
+            return total + (a == b).cast("int")
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TOKENS)), F.lit(0), equal) >= agree
+
+    # the pivot is one of those that agree with it
+    mostly = F.size(F.filter("picks", near)) >= 1 + 3 * (_PICKS - 1) // 4
+    return ordered.where(mostly).select("path_", pivot["pick"].alias("pivot"), pivot["sketch"].alias("model"))
+
+
+def _star_rows(agree: int):
+    """Rows of near-copy groups, with whether they agree with their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, model = (_matrix(batch.column(c), np.uint8) for c in ("sketch", "model"))
+                near = pa.array((own == model).sum(1) >= agree)
+                columns = ["path", "node", "held", "sketch", "pivot"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), near], [*columns, "near"])
+
+    return run
+
+
+def _cross_edges(agree: int):
+    """Candidate links of a group's odd rows with all its rows, as a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _groups(batches, ["path", "low", "high"]):
+            sketches = _matrix(rows.column("sketch"), np.uint8)
+            odd = rows.column("odd").to_numpy(zero_copy_only=False)
+            left, right = [], []
+            for at, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), rows.num_rows], strict=True):
+                linked = np.zeros((stop - at, stop - at), bool)
+                for i in np.flatnonzero(odd[at:stop]):
+                    linked[i] = (sketches[at + i] == sketches[at:stop]).sum(1) >= agree
+                root = _roots(linked | linked.T)
+                member = np.flatnonzero(root != np.arange(stop - at))
+                left.append(at + root[member])
+                right.append(at + member)
+            nodes = rows.column("node")
+            ends = [nodes.take(pa.array(np.concatenate(x), pa.int64())) for x in (left, right)]
+            yield pa.RecordBatch.from_arrays(ends, ["u", "v"])
+
+    return run
+
+
+def _group_edges(members: DataFrame, rules: JoinRules) -> DataFrame:
+    """Candidate links of near-copy groups: rows path, node, held, sketch, pivot, model."""
+    schema = "path long, node binary, held long, sketch binary, pivot binary, near boolean"
+    stars = stage(members.mapInArrow(_star_rows(rules.agree), schema), "stars")
+    edges = stars.where("near and node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    odd = stars.where("not near")
+    if odd.isEmpty():
+        return edges
+    counts = odd.groupBy(F.col("path").alias("path_")).agg(F.count("*").alias("odds"))
+    counted = stars.join(counts, F.col("path") == F.col("path_")).withColumns(
+        {"low_n": F.ceil(F.col("odds") / rules.block).cast("int"), "high_n": F.ceil(F.col("held") / rules.block).cast("int")}
+    )
+
+    def dealt(rows: DataFrame, own: str, other: str, is_odd: bool) -> DataFrame:
+        # to its own block on one side, and to every block of the other side
+        place = F.pmod(F.xxhash64("node"), F.col(f"{own}_n")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_n") - 1))
+        spread = rows.withColumn(own, place).withColumn(other, every).withColumn("odd", F.lit(is_odd))
+        return spread.select("path", "low", "high", "node", "sketch", "odd")
+
+    both = dealt(counted.where("not near"), "low", "high", True).unionByName(dealt(counted, "high", "low", False))
+    many = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = both.repartition(many, "path", "low", "high").sortWithinPartitions("path", "low", "high")
+    return edges.unionByName(groups.mapInArrow(_cross_edges(rules.agree), "u binary, v binary"))
+
+
 def _in_blocks(rows: DataFrame, count: str, block: int, keys: list[str]) -> DataFrame:
     """rows with low and high: every pair of blocks of a key's rows is a group of its own."""
     blocks = F.ceil(F.col(count) / block).cast("int")
@@ -319,15 +408,20 @@ def _similar(sets: list[np.ndarray], shared: int, of: int) -> np.ndarray:
     return linked
 
 
+def _tag(doc_id: str, text: str) -> Column:
+    """128 bits by which rows are told apart."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), doc_id, text).alias("b"))
+
+
 def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows doc_id, tag, bytes), staged members, and staged nodes: equal sets are one."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        F.xxhash64(doc_id, text).alias("tag"),
+        _tag(doc_id, text).alias("tag"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"),
     )
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, tag long, node binary, tokens binary, sketch binary"
+    schema = f"doc_id {kind}, tag struct<a:bigint,b:bigint>, node binary, tokens binary, sketch binary"
     members = stage(rows.mapInArrow(_node_rows, schema), "members")
     nodes = (
         members.where("node is not null")
@@ -345,28 +439,40 @@ def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
 
 def candidate_edges(nodes: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """Candidate links (u, v) among nodes (node, tokens, sketch): a spanning forest per bucket."""
-    tokens = nodes.select("node", "tokens")
-    schema = "path long, node binary, before long"
-    rows = tokens.mapInArrow(_paths(1, rules.runs()), schema)
-    ready = []
+    tokens = nodes.select(F.col("node").alias("node_"), "tokens")
+    sketches = nodes.select(F.col("node").alias("node_"), "sketch")
+    schema = "path long, node binary"
+    rows = nodes.select("node", "tokens").mapInArrow(_paths(1, rules.runs()), schema)
+    ready: list[DataFrame] = []
+    found: list[DataFrame] = []
     for level in range(1, rules.depth + 1):
         counts = rows.groupBy(F.col("path").alias("path_")).agg(F.count("*").alias("held")).where("held > 1")
         met = stage(rows.join(counts, F.col("path") == F.col("path_")).drop("path_"), "paths")
-        settled = (F.col("held") <= rules.bucket) | ((F.col("before") > 0) & (2 * F.col("held") > F.col("before")))
-        large = met.where(~settled)
-        if level == rules.depth or large.isEmpty():
+        large = met.where(F.col("held") > rules.bucket)
+        if large.isEmpty():
             ready.append(met)
             break
-        ready.append(met.where(settled))
-        with_tokens = large.join(tokens.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"))
-        rows = with_tokens.select("path", "node", "held", "tokens").mapInArrow(_paths(level + 1, rules.runs()), schema)
+        ready.append(met.where(F.col("held") <= rules.bucket))
+        copies = stage(_copy_groups(large, sketches, rules.agree), "copies")
+        of_group = F.col("path") == F.col("path_")
+        members = large.join(copies, of_group).join(sketches, F.col("node") == F.col("node_"))
+        if not copies.isEmpty():
+            found.append(_group_edges(members.drop("path_", "node_"), rules))
+        large = large.join(copies, of_group, "left_anti")
+        if level == rules.depth:
+            ready.append(large)
+            break
+        with_tokens = large.join(tokens, F.col("node") == F.col("node_"))
+        rows = with_tokens.select("path", "node", "tokens").mapInArrow(_paths(level + 1, rules.runs()), schema)
     met = ready[0]
     for more in ready[1:]:
         met = met.unionByName(more)
-    sketches = nodes.select(F.col("node").alias("node_"), "sketch")
     joined = met.join(sketches, F.col("node") == F.col("node_")).select("path", "node", "held", "sketch")
     blocks = _in_blocks(joined, "held", rules.block, ["path"])
-    return blocks.mapInArrow(_bucket_edges(rules.agree), "u binary, v binary")
+    edges = blocks.mapInArrow(_bucket_edges(rules.agree), "u binary, v binary")
+    for more in found:
+        edges = edges.unionByName(more)
+    return edges
 
 
 def _linked_nodes(rows: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:
@@ -425,6 +531,6 @@ def one_of_each(docs: DataFrame, rules: JoinRules = JoinRules(), doc_id: str = "
     rows, members, nodes = _nodes(docs, doc_id, text)
     kept = _classes(rows, nodes, rules).select(F.col("first.tag").alias("kept_tag")).distinct()
     wordless = members.where("node is null").select(F.col("tag").alias("kept_tag")).distinct()
-    tagged = docs.select(F.xxhash64(doc_id, text).alias("tag"), F.struct("*").alias("row"))
+    tagged = docs.select(_tag(doc_id, text).alias("tag"), F.struct("*").alias("row"))
     chosen = tagged.join(kept.unionByName(wordless), F.col("tag") == F.col("kept_tag"), "left_semi")
     return chosen.dropDuplicates(["tag"]).select("row.*")

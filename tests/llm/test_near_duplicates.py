@@ -66,6 +66,52 @@ def test_links_equal_all_pairs(spark, rules):
     assert {r.doc_id for r in kept.collect()} == {c for c, _ in brute_links(texts)}
 
 
+def test_groups_of_near_copies_are_not_split(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"z{rng.randint(0, 9999)}"
+        texts.append(" ".join(words))
+    # a second group shares half of the words, and a chain leads away from the first
+    texts += [" ".join([*base[:150], *(f"c{j}" for j in range(150 + i % 5))]) for i in range(40)]
+    texts += [" ".join([*base[12 * i :], *(f"d{j}" for j in range(12 * i))]) for i in range(1, 8)]
+    docs = spark.createDataFrame([(i, t, "", i) for i, t in enumerate(texts)], DOCS)
+    rules = jaccard_join.JoinRules(bucket=8, depth=4, block=16)
+    seen = []
+    original = jaccard_join._group_edges
+    try:
+        jaccard_join._group_edges = lambda members, r: seen.append(members.count()) or original(members, r)
+        found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.link(docs, rules).collect()}
+    finally:
+        jaccard_join._group_edges = original
+    assert [found[i] for i in range(len(texts))] == brute_links(texts)
+    # the groups are recognised on the first level, in most of the runs
+    assert seen[0] >= 0.7 * 150 * rules.runs()
+
+
+def test_recall_at_full_depth(spark):
+    """Pairs between 0.79 and 0.83, each alone in buckets that are always split again."""
+    rng = random.Random(21)
+    texts, exact = [], []
+    for _ in range(1_500):
+        # 104 shingles; a changed end of k words leaves 104 - k of them in common
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(108)]
+        k = rng.choice([10, 11, 12])
+        texts += [" ".join(words), " ".join([*words[:-k], *(f"v{rng.randint(0, 10**9)}" for _ in range(k))])]
+        exact.append((104 - k) / (104 + k))
+    docs = spark.createDataFrame([(i, t, "", i) for i, t in enumerate(texts)], DOCS)
+    rules = jaccard_join.JoinRules(bucket=1, depth=6)
+    _, members, nodes = jaccard_join._nodes(docs, "doc_id", "text")
+    number = {r.node: r.doc_id for r in members.collect()}
+    met = {frozenset((number[r.u] // 2, number[r.v] // 2)) for r in jaccard_join.candidate_edges(nodes, rules).collect()}
+    at = [frozenset((i,)) in met for i, s in enumerate(exact) if s >= 0.8]
+    assert 0.78 < min(exact) and max(exact) < 0.83 and len(at) > 700
+    assert sum(at) / len(at) >= 0.99
+
+
 def test_null_and_repeated_ids(spark):
     text = "these are exactly six words here"
     rows = [(None, text, "", 0), (7, text, "", 0), (7, text, "", 0), (None, "alone in its own class now", "", 0)]
