@@ -88,6 +88,28 @@ class DemandRules:
     splits: SplitDates = field(default_factory=SplitDates)
 
 
+@dataclass(frozen=True)
+class StockRules:
+    """Days of cover below and above which stock is short or long, and the reorder settings."""
+
+    use_days: int = 28
+    short_days: float = 7.0
+    long_days: float = 60.0
+    lead_days: int = 7
+    service_level: float = 0.95
+
+
+@dataclass(frozen=True)
+class SlowRules:
+    """Smoothing of sales and gaps, and the limits of the classes."""
+
+    alpha: float = 0.1
+    absence_days: int = 14
+    slow_gap_days: float = 30.0
+    declining: float = -0.25
+    dormant_gaps: float = 3.0
+
+
 @dataclass(frozen=True)
 class ChurnRules:
     horizon_days: int = 60

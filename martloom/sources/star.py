@@ -368,3 +368,14 @@ def event_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'Fast Casual' AS dining_type",
         "CAST(20 + length(event_type) AS INT) AS seating_capacity",
     )
+
+
+def stock_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock going in and out per branch, ingredient and day: lines not returned restock twice over."""
+    return star_lines(spark, sf_dir).selectExpr(
+        f"l_orderkey % {RESTAURANTS} AS source_restaurant_id",
+        "concat('ING-', l_suppkey % 40) AS ingredient_name",
+        "CAST(shipped AS DATE) AS movement_date",
+        "CASE WHEN l_returnflag = 'N' THEN 2 * qty ELSE 0 END AS restocked",
+        "CASE WHEN l_returnflag <> 'N' THEN qty ELSE 0 END AS consumed",
+    )
