@@ -302,7 +302,10 @@ _FOUND = ["doc_id", "tag", "start", "n", "key", "slice", "hashes", "ids", "tags"
 
 
 def _shard(table: pa.Table, span: int, symbols: Symbols) -> Iterator[pa.RecordBatch]:
-    table = table.combine_chunks()
+    # a kind may come several times, if rows are repeated: one of each is enough
+    names = np.stack([table.column(c).to_numpy() for c in ("key", "kind")])
+    first = np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(0)])
+    table = table.filter(pa.array(first)).combine_chunks()
     column = {c: (table.column(c).chunk(0) if table.num_rows else table.column(c)) for c in table.column_names}
     parts = [symbols.array(v.as_buffer()) for v in column["bytes"]]
     data = np.concatenate(parts)
@@ -395,6 +398,44 @@ class _WordCodes(dict):
         return found
 
 
+_SEGMENT = ["key", "kind", "copies", "start", "n", "shards", "salt"]
+
+
+def _segment_texts(span: int, symbols: Symbols):
+    """The wanted segments (segs) of texts with their symbols, once for rows that a task sees again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordCodes()
+        seen: set[tuple] = set()
+        for batch in batches:
+            ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
+            owners, texts, kept = [], [], []
+            for row, name in enumerate(zip(ids, tags, strict=True)):
+                if name in seen:
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(name)
+                kept.append(row)
+                data = batch.column("bytes")[row].as_py()
+                if symbols == WORDS:
+                    data = b"".join(map(known.__getitem__, data.split()))
+                segs = batch.column("segs").slice(row, 1).flatten()
+                starts = symbols.size * segs.field("start").to_numpy()
+                stops = starts + symbols.size * (segs.field("n").to_numpy() + (span - 1))
+                texts.extend(data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
+                owners.extend([row] * len(segs))
+            if not kept:
+                continue
+            segs = batch.column("segs").take(pa.array(kept)).flatten()
+            rows = pa.array(owners)
+            arrays = [batch.column("doc_id").take(rows), batch.column("tag").take(rows)]
+            arrays += [segs.field(c) for c in _SEGMENT]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], ["doc_id", "tag", *_SEGMENT, "bytes"])
+
+    return run
+
+
 def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256, symbols: Symbols = BYTES) -> DataFrame:
     """Runs of repeated windows (doc_id, tag, start, n) of rows (doc_id, tag, bytes), in symbols."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -421,6 +462,7 @@ def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256
     split = kinds.join(anchors, F.col("key") == F.col("key_")).select(
         F.struct(
             "key",
+            "kind",
             "copies",
             "start",
             "n",
@@ -432,22 +474,13 @@ def repeated_ranges(rows: DataFrame, span: int = SPAN, shard_segments: int = 256
     )
     wanted = split.groupBy("doc_id_", "tag_").agg(F.collect_list("seg").alias("segs"))
 
-    def cut(s: Column) -> Column:
-        size = symbols.size
-        return s.withField("bytes", F.substring("bytes", size * s["start"].cast("int") + 1, size * (s["n"] + (span - 1))))
-
-    texts = (
-        long_enough.dropDuplicates(["doc_id", "tag"])
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_")))
-        .select("doc_id", "tag", "bytes", "segs")
-    )
-    fetched = (
-        coded(texts)
-        .select("doc_id", "tag", F.explode(F.transform("segs", cut)).alias("s"))
-        .select("doc_id", "tag", "s.*")
+    texts = long_enough.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_")))
+    fetched = texts.select("doc_id", "tag", "bytes", "segs").mapInArrow(
+        _segment_texts(span, symbols),
+        f"doc_id {id_type}, tag long, key long, kind long, copies long, start long, n int, shards int, salt int, bytes binary",
     )
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = fetched.repartition(many, "key", "salt").sortWithinPartitions("key", "salt")
+    sharded = fetched.repartition(many, "key", "salt").sortWithinPartitions("key", "salt", "kind")
     found = (
         f"doc_id {id_type}, tag long, start long, n int, key long, slice long, hashes array<bigint>, "
         f"ids array<{id_type}>, tags array<bigint>, starts array<bigint>"
@@ -482,17 +515,19 @@ def _in_bytes(data: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int,
     return [(words[a][0], words[b - 1][1]) for a, b in stretches]
 
 
-def _cut(rows: DataFrame, ranges: DataFrame, span: int, carried: str, symbols: Symbols = BYTES) -> DataFrame:
+def _cut(
+    rows: DataFrame, ranges: DataFrame, span: int, carried: str, data: Column, symbols: Symbols = BYTES
+) -> DataFrame:
     """Column `carried` of rows, with n_bytes, n_removed, n_spans, spans (in bytes) and kept.
 
-    Where words are cut, kept is text.
+    `data` is the bytes of a row. Where words are cut, kept is text.
     """
     as_text = symbols == WORDS
     owned = ranges.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(
         F.collect_set(F.struct("start", "n")).alias("ranges")
     )
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("tag") == F.col("tag_"))
-    joined = rows.join(owned, same, "left").select(carried, "bytes", "ranges")
+    joined = rows.join(owned, same, "left").select(carried, data.alias("bytes"), "ranges")
     kind = rows.schema[carried].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +567,7 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans, kept (remaining bytes)."""
     rows = _tagged(docs, doc_id, text)
-    return _cut(rows, repeated_ranges(rows, span, shard_segments), span, "doc_id")
+    return _cut(rows, repeated_ranges(rows, span, shard_segments), span, "doc_id", F.col("bytes"))
 
 
 def without_repeats(docs: DataFrame, words: int = WORD_SPAN, shard_segments: int = 256) -> DataFrame:
@@ -542,11 +577,10 @@ def without_repeats(docs: DataFrame, words: int = WORD_SPAN, shard_segments: int
     around it and a null text stay.
     """
     ranges = repeated_ranges(_tagged(docs, "doc_id", "text"), words, shard_segments, WORDS)
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", F.xxhash64(body).alias("tag"), body.cast("binary").alias("bytes"), F.struct("*").alias("row")
-    )
-    cut = _cut(rows, ranges, words, "row", WORDS)
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", tag.alias("tag"), F.struct("*").alias("row"))
+    data = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    cut = _cut(rows, ranges, words, "row", data, WORDS)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     values = {"text": text, "n_chars": F.length(text).cast("long")}
     return cut.select(*(values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
