@@ -251,14 +251,14 @@ def _bucket_edges(agree: int):
     return run
 
 
-_PICKS = 9
+_PICKS = 15
 
 
 def _copy_groups(large: DataFrame, sketches: DataFrame, agree: int) -> DataFrame:
     """Of large buckets (path, node) those of near copies: path_, pivot and its sketch.
 
-    Nine members are picked by hash; in a group of near copies six of eight agree with the
-    first. Picks from too mixed a bucket cost comparisons, but lose no pair.
+    Fifteen members are picked by hash; in a group of near copies more than half of them
+    agree with one of them. A bucket more mixed than its picks costs comparisons, but no pair.
     """
     picked = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"pick{i}") for i in range(_PICKS)]
     picks = large.groupBy("path").agg(*picked)
@@ -267,18 +267,21 @@ def _copy_groups(large: DataFrame, sketches: DataFrame, agree: int) -> DataFrame
     )
     known = picks.join(sketches, F.col("pick") == F.col("node_")).groupBy("path_")
     ordered = known.agg(F.sort_array(F.collect_list(F.struct("place", "pick", "sketch"))).alias("picks"))
-    pivot = F.col("picks")[0]
 
-    def near(other: Column) -> Column:
+    def near(one: Column, other: Column) -> Column:
         def equal(total: Column, i: Column) -> Column:
-            a, b = (F.substring(x, i, F.lit(1)) for x in (pivot["sketch"], other["sketch"]))
+            a, b = (F.substring(x, i, F.lit(1)) for x in (one["sketch"], other["sketch"]))
             return total + (a == b).cast("int")
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(TOKENS)), F.lit(0), equal) >= agree
 
-    # the pivot is one of those that agree with it
-    mostly = F.size(F.filter("picks", near)) >= 1 + 3 * (_PICKS - 1) // 4
-    return ordered.where(mostly).select("path_", pivot["pick"].alias("pivot"), pivot["sketch"].alias("model"))
+    def followed(pick: Column) -> Column:
+        followers = F.size(F.filter("picks", lambda other: near(pick, other)))
+        return F.struct(followers.alias("followers"), pick.alias("pick"))
+
+    best = ordered.select("path_", F.array_max(F.transform("picks", followed)).alias("best"))
+    best = best.where(F.col("best.followers") > _PICKS // 2)
+    return best.select("path_", F.col("best.pick.pick").alias("pivot"), F.col("best.pick.sketch").alias("model"))
 
 
 def _star_rows(agree: int):
