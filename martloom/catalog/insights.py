@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,15 @@ from pyspark.sql.types import DateType, TimestampType
 from pyspark.sql import functions as F
 
 from martloom.catalog.domain_sql import fixed, text, with_domain
-from martloom.config import SlowRules, StockRules
-from martloom.plans import slow_movers, stock
+from martloom.catalog.mart_sql import menu_performance as menu_sql
+from martloom.config import OrderRules, SlowRules, SplitDates, StockRules
+from martloom.functions.dates import split_label
+from martloom.plans import drift, menu, promotion_lift, rollups, search, slow_movers, stock
+from martloom.plans.base import ITEM, RESTAURANT, sold_of
 from martloom.session import tune
-from martloom.sources.staging import stage
+from martloom.sources.layout import read_filtered, write_filterable
+from martloom.sources.sinks import read_mart, write_mart
+from martloom.sources.staging import stage, staging_root
 from martloom.sources.star import star_snapshot, stock_movements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +52,99 @@ def _slow(item: str) -> Query:
     return run
 
 
+BANDS = promotion_lift.LiftRules(band_width=100.0)
+SPLITS = SplitDates("2000-06-30", "2000-12-31", "2001-03-31")
+NUMBERS = ["quantity", "unit_price_at_sale", "promoted_discount"]
+CATEGORIES = ["order_channel", "order_year"]
+PERIOD = ("1999-07-01", "2000-06-01")
+MENU_RANGES = {
+    "current_base_price": (920.0, 960.0),
+    "avg_rating": (2.0, 4.5),
+    "wastage_pct": (None, 0.05),
+    "last_order_date": ("1999-01-01", None),
+}
+MENU_COLUMNS = [RESTAURANT, ITEM, "current_base_price", "avg_rating", "wastage_pct", "composite_score"]
+MENU_ORDER = [("composite_score", False), (RESTAURANT, True), (ITEM, True)]
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promotion_lift.promotion_lift(star_snapshot(tune(spark), sf_dir, "brand"), BANDS)
+
+
+def _drift_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sold lines with their window and week; the discount is known for promoted lines alone."""
+    sold = sold_of(star_snapshot(tune(spark), sf_dir, "brand"), OrderRules())
+    return sold.withColumns(
+        {
+            "win": split_label(F.to_date("order_timestamp"), SPLITS),
+            "week": F.to_date(F.date_trunc("week", "order_timestamp")),
+            "order_year": F.year("order_timestamp"),
+            "promoted_discount": F.when(F.col("source_promotion_id").isNotNull(), F.col("line_discount")),
+        }
+    )
+
+
+def _stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.stability(_drift_rows(spark, sf_dir), "win", NUMBERS, CATEGORIES)
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly sketches, stored and read back, against the exact index."""
+    rows = stage(_drift_rows(spark, sf_dir), "drift")
+    path = _folder(spark, "sketches")
+    write_mart(drift.weekly_sketches(rows, "win", "week", NUMBERS), path)
+    near = drift.stability_of_sketches(read_mart(spark, path)).select("feature", "win", F.col("psi").alias("near"))
+    exact = drift.stability(rows, "win", NUMBERS).select("feature", "win", "row_count", "psi")
+    # a share of a bin errs by twice the rank error at most
+    close = F.abs(F.col("near") - F.col("psi")) <= 0.03
+    return exact.join(near, ["feature", "win"]).select("feature", "win", "row_count", close.alias("close"))
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a year per branch from stored monthly sketches, against the exact count."""
+    orders = star_snapshot(tune(spark), sf_dir).orders
+    path = _folder(spark, "customers")
+    write_mart(rollups.customer_sketches(orders), path)
+    about = rollups.active_customers(read_mart(spark, path), [RESTAURANT], *PERIOD)
+    month = F.trunc(F.to_date("order_timestamp"), "month")
+    exact = (
+        orders.where((F.col("order_status") != "Voided") & month.between(*PERIOD))
+        .groupBy(RESTAURANT)
+        .agg(F.count_distinct("source_customer_id").alias("exact_customers"))
+    )
+    # five standard errors of the sketch, and one for rounding
+    close = F.abs(F.col("customers") - F.col("exact_customers")) <= 1 + 0.08 * F.col("exact_customers")
+    return about.join(exact, RESTAURANT).select(RESTAURANT, "orders", "exact_customers", close.alias("close"))
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price, rating, waste and date ranges on the menu mart, stored in interleaved order."""
+    mart = menu.menu_performance(star_snapshot(tune(spark), sf_dir)).withColumn("last_order_date", F.to_date("last_order_date"))
+    path = _folder(spark, "menu")
+    write_filterable(mart, path, list(MENU_RANGES), files=4)
+    ranges = MENU_RANGES | {"last_order_date": (F.to_date(F.lit("1999-01-01")), None)}
+    return read_filtered(spark, path, ranges, MENU_COLUMNS)
+
+
+def _found_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of items whose name or id has a text, by postings and the first page's last row."""
+    mart = stage(menu.menu_performance(star_snapshot(tune(spark), sf_dir)), "menu")
+    keys, searched = [RESTAURANT, ITEM], ["item_name", ITEM]
+    path = _folder(spark, "postings")
+    search.write_postings(mart, keys, searched, path, files=4)
+    rows = mart.where("category_name = 'economy' AND classification = 'Low Performer'")
+    found = search.search(rows, read_mart(spark, path), keys, searched, "in")
+    names = [c for c, _ in MENU_ORDER]
+    first = search.next_page(found, MENU_ORDER, 20).select(*names).collect()
+    last = tuple(first[-1]) if first else None
+    page = search.next_page(found, MENU_ORDER, 50, last)
+    return page.select(RESTAURANT, ITEM, "item_name", "composite_score", "classification")
+
+
 def insights() -> dict[str, Query]:
     return {
         "stock_levels": _levels,
@@ -53,6 +152,12 @@ def insights() -> dict[str, Query]:
         "reorder_points": _reorder,
         "slow_movers": _slow("part"),
         "slow_movers_brands": _slow("brand"),
+        "promotion_lift": _lift,
+        "drift_index": _stability,
+        "drift_sketches": _sketched,
+        "customer_rollups": _rollup,
+        "menu_ranges": _ranges,
+        "menu_search_page": _found_page,
     }
 
 
@@ -136,6 +241,106 @@ SELECT r AS {R}, i AS {I}, item_name, sale_days, units, {text("last")} AS last_s
 FROM joined"""
 
 
+def _lift_sql(rules: promotion_lift.LiftRules = BANDS) -> str:
+    groups = promotion_lift.GROUPS
+    columns = ",\n    ".join(
+        f"COUNT(*) FILTER (g = '{g}') AS n_{g}, AVG(units) FILTER (g = '{g}') AS u_{g}, AVG(margin) FILTER (g = '{g}') AS m_{g}, "
+        f"SUM(units * units) FILTER (g = '{g}') - SUM(units) FILTER (g = '{g}') ** 2 / COUNT(*) FILTER (g = '{g}') AS i_{g}"
+        for g in groups
+    )
+    whole = " AND ".join(f"n_{g} > 0" for g in groups)
+    variance = " + ".join(
+        f"SUM(i_{g}) FILTER ({whole}) / nullif(SUM(n_{g} - 1) FILTER ({whole}), 0) * SUM(n_treated_in ** 2 / n_{g}) FILTER ({whole})"
+        for g in groups
+    )
+
+    def change(letter: str) -> str:
+        t, b, c, d = (f"{letter}_{g}" for g in groups)
+        return f"({t} - {b} - {c} + {d})"
+
+    return with_domain("items", "orders", "sold", "promotions", "menu", item="brand") + f""",
+days AS (
+  SELECT {R} AS r, s.{I} AS i, order_date AS d, CAST(SUM(quantity) AS DOUBLE) AS units,
+    CAST(SUM(line_contribution_margin) AS DOUBLE) * 100 AS margin, list(DISTINCT source_promotion_id) AS promos,
+    dayofweek(order_date) AS wd, any_value(floor(current_base_price / {rules.band_width})) AS band
+  FROM sold s LEFT JOIN d_menu m ON s.{I} = m.{I} GROUP BY ALL),
+plain AS (SELECT * FROM days WHERE len([p FOR p IN promos IF p IS NOT NULL]) = 0),
+during AS (
+  SELECT p.source_promotion_id AS p, x.* FROM (SELECT *, unnest(promos) AS promo FROM days) x
+  JOIN d_promotions p ON promo = p.source_promotion_id AND d BETWEEN start_date AND end_date),
+windows AS (SELECT source_promotion_id AS p, start_date, end_date, start_date - CAST(end_date - start_date + 1 AS INTEGER) AS before FROM d_promotions),
+groups AS (
+  SELECT p, r, wd, band, 'treated_in' AS g, units, margin FROM during
+  UNION ALL
+  SELECT t.p, t.r, t.wd, t.band, 'treated_before', units, margin FROM (SELECT DISTINCT p, r, wd, band, i FROM during) t
+  JOIN windows w ON t.p = w.p JOIN plain x ON x.r = t.r AND x.wd = t.wd AND x.band = t.band AND x.i = t.i
+    AND d >= before AND d < start_date
+  UNION ALL
+  SELECT t.p, t.r, t.wd, t.band, CASE WHEN d < start_date THEN 'control_before' ELSE 'control_in' END, units, margin
+  FROM (SELECT DISTINCT p, r, wd, band FROM during) t
+  JOIN windows w ON t.p = w.p JOIN plain x ON x.r = t.r AND x.wd = t.wd AND x.band = t.band AND d BETWEEN before AND end_date),
+cells AS (SELECT p, r, wd, band, {columns} FROM groups GROUP BY ALL),
+totals AS (
+  SELECT p, SUM(n_treated_in) AS promoted, SUM(n_treated_in) FILTER ({whole}) AS matched,
+    SUM(n_treated_in * {change("u")}) FILTER ({whole}) AS lift, SUM(n_treated_in * {change("m")}) FILTER ({whole}) AS gain,
+    SUM(n_treated_in * (u_treated_in - {change("u")})) FILTER ({whole}) AS base, sqrt({variance}) AS error
+  FROM cells GROUP BY p)
+SELECT source_promotion_id, campaign_name, CAST(coalesce(promoted, 0) AS BIGINT) AS promoted_days,
+  CAST(coalesce(matched, 0) AS BIGINT) AS matched_days, {fixed("coalesce(matched, 0) / promoted", 4)} AS matched_share,
+  {fixed("lift / matched", 4)} AS unit_lift, {fixed(f"(lift - {rules.z} * error) / matched", 4)} AS lift_low,
+  {fixed(f"(lift + {rules.z} * error) / matched", 4)} AS lift_high, {fixed("lift / nullif(base, 0)", 4)} AS relative_lift,
+  {fixed("gain / matched / 100", 2)} AS margin_lift, lift > 0 AND gain < 0 AS is_trap
+FROM d_promotions LEFT JOIN totals ON p = source_promotion_id"""
+
+
+def _drift_ctes() -> str:
+    a, b, c = (f"DATE '{d}'" for d in (SPLITS.train_end, SPLITS.validation_end, SPLITS.test_end))
+    return with_domain("items", "orders", "sold", item="brand") + f""",
+rows AS (
+  SELECT *, CASE WHEN order_date <= {a} THEN 'TRAIN' WHEN order_date <= {b} THEN 'VALIDATION'
+    WHEN order_date <= {c} THEN 'TEST' ELSE 'UNSEEN_COMPARISON' END AS win,
+    CASE WHEN source_promotion_id IS NOT NULL THEN line_discount END AS promoted_discount, year(order_date) AS order_year
+  FROM sold)"""
+
+
+def _drift_sql(rules: drift.DriftRules = drift.DriftRules()) -> str:
+    numbers = " UNION ALL ".join(
+        f"SELECT win, '{c}' AS feature, CAST(round({c} * {rules.scale}) AS BIGINT) AS x, NULL AS c FROM rows" for c in NUMBERS
+    )
+    words = " UNION ALL ".join(f"SELECT win, '{c}', NULL, CAST({c} AS VARCHAR) FROM rows" for c in CATEGORIES)
+    numeric = ", ".join(f"'{c}'" for c in NUMBERS)
+    shares = ", ".join(str(i / rules.bins) for i in range(1, rules.bins))
+    return _drift_ctes() + f""",
+cells AS ({numbers} UNION ALL {words}),
+edges AS (SELECT feature, list_distinct(quantile_disc(x, [{shares}])) AS edges FROM cells WHERE win = 'TRAIN' AND x IS NOT NULL GROUP BY 1),
+seen AS (SELECT DISTINCT feature, c FROM cells WHERE win = 'TRAIN' AND c IS NOT NULL),
+binned AS (
+  SELECT cells.feature, win, CASE WHEN x IS NULL AND cells.c IS NULL THEN 'missing'
+      WHEN cells.feature IN ({numeric}) THEN CAST(len([e FOR e IN edges IF e < x]) AS VARCHAR)
+      WHEN seen.c IS NULL THEN 'unseen' ELSE '=' || seen.c END AS bin
+  FROM cells LEFT JOIN edges ON cells.feature = edges.feature LEFT JOIN seen ON cells.feature = seen.feature AND cells.c = seen.c),
+held AS (SELECT feature, win, bin, COUNT(*) AS n FROM binned GROUP BY ALL),
+totals AS (SELECT feature, win, SUM(n) AS total FROM held GROUP BY ALL),
+grid AS (
+  SELECT t.feature, t.win, t.total, coalesce(h.n, 0) / t.total AS a, coalesce(e.n, 0) / (SELECT total FROM totals x WHERE x.feature = t.feature AND x.win = 'TRAIN') AS e
+  FROM totals t JOIN (SELECT DISTINCT feature, bin FROM held) b ON b.feature = t.feature
+  LEFT JOIN held h ON h.feature = t.feature AND h.win = t.win AND h.bin = b.bin
+  LEFT JOIN held e ON e.feature = t.feature AND e.win = 'TRAIN' AND e.bin = b.bin),
+psi AS (
+  SELECT feature, win, CAST(any_value(total) AS BIGINT) AS row_count, COUNT(*) AS bins,
+    {fixed(f"SUM((greatest(a, {rules.floor}) - greatest(e, {rules.floor})) * ln(greatest(a, {rules.floor}) / greatest(e, {rules.floor})))", 4)} AS psi
+  FROM grid GROUP BY ALL)
+SELECT *, CASE WHEN psi >= {rules.major} THEN 'Major' WHEN psi >= {rules.moderate} THEN 'Moderate' ELSE 'Stable' END AS drift FROM psi"""
+
+
+def _menu_rows(where: str) -> str:
+    conditions = []
+    for column, (low, high) in MENU_RANGES.items():
+        value = f"CAST({column} AS VARCHAR)" if "date" in column else column
+        conditions += [f"{value} >= {low!r}"] * (low is not None) + [f"{value} <= {high!r}"] * (high is not None)
+    return f"SELECT {', '.join(MENU_COLUMNS)} FROM ({where}) WHERE {' AND '.join(conditions)}"
+
+
 def insight_oracles() -> dict[str, str]:
     use = float(StockRules().use_days)
     return {
@@ -153,4 +358,20 @@ FROM lv GROUP BY ALL""",
         "reorder_points": _reorder_sql(),
         "slow_movers": _slow_sql("part"),
         "slow_movers_brands": _slow_sql("brand"),
+        "promotion_lift": _lift_sql(),
+        "drift_index": _drift_sql(),
+        "drift_sketches": _drift_ctes()
+        + " SELECT unnest(["
+        + ", ".join(f"'{c}'" for c in NUMBERS)
+        + "]) AS feature, win, row_count, TRUE AS close FROM (SELECT win, COUNT(*) AS row_count FROM rows GROUP BY 1)",
+        "customer_rollups": with_domain("orders")
+        + f"""
+SELECT {R}, COUNT(*) AS orders, COUNT(DISTINCT source_customer_id) AS exact_customers, TRUE AS close FROM valid_orders
+WHERE date_trunc('month', order_date) BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}' GROUP BY 1""",
+        "menu_ranges": _menu_rows(menu_sql(True)),
+        "menu_search_page": f"""
+SELECT {R}, {I}, item_name, composite_score, classification FROM ({menu_sql(True)})
+WHERE category_name = 'economy' AND classification = 'Low Performer'
+  AND (lower(item_name) LIKE '%in%' OR CAST({I} AS VARCHAR) LIKE '%in%')
+ORDER BY composite_score DESC, {R}, {I} LIMIT 50 OFFSET 20""",
     }
