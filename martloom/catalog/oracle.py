@@ -5,6 +5,7 @@ from __future__ import annotations
 from martloom.catalog import mart_sql as m
 from martloom.catalog.checks import check_oracles
 from martloom.catalog.domain_sql import with_domain
+from martloom.catalog.governance import governance_oracles
 from martloom.catalog.insights import insight_oracles
 from martloom.catalog.quality_sql import quality_oracles
 from martloom.catalog.queries import CUTOFFS, SCENARIOS, SPLITS
@@ -52,4 +53,5 @@ def all_oracles() -> dict[str, str]:
         **comparison_oracles(_SPLITS),
         **serving_oracles(_SPLITS, SCENARIOS),
         **insight_oracles(),
+        **governance_oracles(),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
 from martloom.catalog.checks import checks
+from martloom.catalog.governance import governance
 from martloom.catalog.insights import insights
 from martloom.config import DemandRules, ScaleRules, SettlementRules, SplitDates
 from martloom.functions.dates import split_label
@@ -548,9 +549,10 @@ MODELS: dict[str, Query] = {
 
 
 INSIGHTS: dict[str, Query] = insights()
+GOVERNANCE: dict[str, Query] = {name: on_star(build, item) for name, (build, item) in governance().items()}
 
 CHECKS: dict[str, Query] = {name: on_star(build, item) for name, (build, item) in checks().items()}
 
 
 def all_queries() -> dict[str, Query]:
-    return {**CHECKS, **MARTS, **JOINS, **QUALITY, **FEATURES, **COMPARISON, **SERVING, **INSIGHTS, **MODELS}
+    return {**CHECKS, **MARTS, **JOINS, **QUALITY, **FEATURES, **COMPARISON, **SERVING, **INSIGHTS, **GOVERNANCE, **MODELS}

@@ -19,7 +19,9 @@ slices of rows; extra columns stay out.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from martloom.llm.common import stage
 from martloom.llm.presplit import byte_letters
 
-BLOCK_BYTES = 1 << 20
-_SLICE = 1 << 19
+BLOCK_BYTES = 1 << 18
+_SLICE = 1 << 17
 _B_BITS = 32
 
 
@@ -53,7 +55,7 @@ class Rows:
         return len(self.starts) - 1
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(self.height), np.diff(self.starts))
+        return np.repeat(np.arange(self.height, dtype=np.int32), np.diff(self.starts))
 
     def transposed(self) -> Rows:
         order = np.argsort(self.columns, kind="stable")
@@ -65,7 +67,7 @@ def byte_incidence(lengths: np.ndarray) -> Rows:
     """Tokens laid end to end, and the bytes that each covers."""
     starts = np.concatenate([[0], np.cumsum(lengths)])
     total = int(starts[-1])
-    return Rows(starts, np.arange(total), np.ones(total, np.int32), total)
+    return Rows(starts, np.arange(total, dtype=np.int32), np.ones(total, np.int32), total)
 
 
 def group_incidence(groups: np.ndarray, width: int) -> Rows:
@@ -128,46 +130,113 @@ def shared_group_links(groups_a: np.ndarray, groups_b: np.ndarray) -> tuple[np.n
     return _whole(row_products(group_incidence(groups_a, width), group_incidence(groups_b, width).transposed()))[:2]
 
 
+# fixed value: the split rule of byte-level vocabularies
+_BYTE_RULE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# characters that every version of Unicode classes alike
+_SETTLED = re.compile("[\\x00-\u024f]*")
+_CHUNK = re.compile(" +[^ ]*")
+
+
+class _Chunks(dict):
+    """A chunk's ids by B as packed bytes, None where they do not spell it out."""
+
+    def __init__(self, words: Vocabularies, most: int = 100_000) -> None:
+        super().__init__()
+        self._words, self._most = words, most
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if len(self) >= self._most:
+            self.clear()
+        found = self[chunk] = self._words.piece_ids(chunk)
+        return found
+
+
 class Vocabularies:
-    """Both tokenizers, and the bytes of each id."""
+    """Both tokenizers, and the bytes of each id.
+
+    Where the byte vocabulary has one id for each byte and ids in the order of its merges,
+    texts of settled characters are encoded from these ranks; its own tokenizer encodes the
+    rest. Pieces with a space after another character are unknown to the piece vocabulary,
+    so that texts are encoded by stretches that begin with spaces.
+    """
 
     def __init__(self, bytes_file: str, pieces_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(bytes_file)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = SentencePieceProcessor(model_file=pieces_file)
+        self._bytes_file = bytes_file
+        with open(bytes_file, encoding="utf-8") as file:
+            spec = json.load(file)
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
-            if all(letter in byte_of for letter in entry):
-                self.bytes_a[i] = bytes(byte_of[letter] for letter in entry)
+        vocab = {e: i for e, i in spec["model"]["vocab"].items() if all(letter in byte_of for letter in e)}
+        added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.bytes_a = [added.get(i, b"") for i in range(1 + max([*vocab.values(), *added]))]
+        for entry, i in vocab.items():
+            self.bytes_a[i] = bytes(byte_of[letter] for letter in entry)
+        self._ranks = self._by_rank(spec, vocab, added)
+        self._tokenizer = None
+        self.b = SentencePieceProcessor(model_file=pieces_file)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self._parted = not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
+        self._chunks = _Chunks(self)
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
         # ids as text, each followed by what may stand after it
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.written = [f"{i}{mark}" for i in range(most) for mark in ",|;"]
 
+    def _by_rank(self, spec: dict, vocab: dict[str, int], added: dict[int, bytes]):
+        merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in spec["model"]["merges"]]
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        single = all(vocab.get(letter, 256) < 256 for letter in byte_letters())
+        ordered = all(vocab.get(m) == 256 + i for i, m in enumerate(merges))
+        if spec.get("normalizer") or not (plain and single and ordered):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[i]: i for i in vocab.values() if i not in added}
+        return tiktoken.Encoding("ranks", pat_str=_BYTE_RULE, mergeable_ranks=ranks, special_tokens={})
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         if self.b.is_byte(i):
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and by B of each text, none where they do not spell it out."""
-        found = self.a.encode_batch_fast([f" {text}" for text in texts], add_special_tokens=False)
-        out = []
-        for text, a, b in zip(texts, found, self.b.encode(texts, num_threads=1), strict=True):
-            a, whole = a.ids, f" {text}".encode()
-            right = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((a, b) if right else ([], []))
-        return out
+    def byte_ids(self, text: str) -> np.ndarray | None:
+        """Ids by A of a text with its space."""
+        if self._ranks is not None and _SETTLED.fullmatch(text):
+            # every byte has an id: nothing can be lost
+            return self._ranks.encode_to_numpy(text, disallowed_special=())
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self._bytes_file)
+            self._tokenizer.encode_special_tokens = True
+            self._tokenizer.no_truncation()
+            self._tokenizer.no_padding()
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        spelled = b"".join(map(self.bytes_a.__getitem__, ids)) == text.encode()
+        return np.array(ids, np.uint32) if spelled else None
+
+    def piece_ids(self, chunk: str) -> bytes | None:
+        """Ids by B, which puts the first space before a chunk."""
+        # of an empty text it makes nothing, not the space alone
+        ids = self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.b.piece_to_id("▁")]
+        spelled = b"".join(map(self.bytes_b.__getitem__, ids)) == chunk.encode()
+        return np.array(ids, np.uint32).tobytes() if spelled else None
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by A and by B, none where they do not spell the text out."""
+        none = np.empty(0, np.uint32)
+        if not text:
+            return none, none
+        text = f" {text}"
+        chunks = _CHUNK.findall(text) if self._parted else [text]
+        found = list(map(self._chunks.__getitem__, chunks))
+        a = None if None in found else self.byte_ids(text)
+        return (none, none) if a is None else (a, np.frombuffer(b"".join(found), np.uint32))
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +252,15 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _index_type(pairs: int) -> str:
+    """The narrowest type that holds a place among so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def _aligned(block: int, doc_ids: pa.Array, texts: list[str], words: Vocabularies) -> pa.RecordBatch:
-    encoded = words.encode(texts)
+    encoded = [words.encode(text) for text in texts]
     n_a, n_b = (np.array([len(x[side]) for x in encoded], np.int64) for side in (0, 1))
-    ids_a, ids_b = (np.array([i for x in encoded for i in x[side]], np.int64) for side in (0, 1))
+    ids_a, ids_b = (np.concatenate([x[side] for x in encoded]).astype(np.int64) for side in (0, 1))
     length_a, length_b = words.length_a[ids_a], words.length_b[ids_b]
     # every text ends with both its sequences, so that links stay inside a text
     left, right = ending_together(length_a, length_b)
@@ -212,11 +286,18 @@ def _aligned(block: int, doc_ids: pa.Array, texts: list[str], words: Vocabularie
         digests.append(sha256(line[:-1].encode()).hexdigest() if line else "")
         start = stop
 
-    pairs, index, times = np.unique((ids_a[left] << _B_BITS) | ids_b[right], return_inverse=True, return_counts=True)
+    linked = (ids_a[left] << _B_BITS) | ids_b[right]
+    by = np.argsort(linked)
+    new = np.concatenate([np.ones(min(1, len(by)), bool), linked[by[1:]] != linked[by[:-1]]])
+    index = np.empty(len(by), np.int32)
+    index[by] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    pairs, times = linked[by[first]], np.diff(np.append(first, len(by)))
     arrays = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)]
     arrays += [_lists(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
     arrays += [pa.array([digests], pa.list_(pa.string())), _lists(pairs, pa.int64()), _lists(times, pa.int64())]
-    return pa.RecordBatch.from_arrays([*arrays, _lists(index.reshape(-1), pa.int32())], _BLOCK)
+    packed = index.astype(_index_type(len(pairs))).tobytes()
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([packed], pa.binary())], _BLOCK)
 
 
 def _block_rows(bytes_file: str, pieces_file: str, block_bytes: int):
@@ -224,16 +305,17 @@ def _block_rows(bytes_file: str, pieces_file: str, block_bytes: int):
         words = _vocabularies(bytes_file, pieces_file)
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
-            first, held = 0, 0
-            for row, text in enumerate(texts):
+            ids, column = batch.column("doc_id"), batch.column("text")
+            first, texts, held = 0, [], 0
+            for row in range(batch.num_rows):
+                text = column[row].as_py() or ""
                 if held and held + len(text) > block_bytes:
-                    yield _aligned(block, ids.slice(first, row - first), texts[first:row], words)
-                    first, held, block = row, 0, block + 1
+                    yield _aligned(block, ids.slice(first, row - first), texts, words)
+                    first, texts, held, block = row, [], 0, block + 1
+                texts.append(text)
                 held += len(text)
             if texts:
-                yield _aligned(block, ids.slice(first), texts[first:], words)
+                yield _aligned(block, ids.slice(first), texts, words)
                 block += 1
 
     return run
@@ -251,14 +333,15 @@ def align(
 
     Columns: block; doc_ids, n_a, n_b, n_groups, n_links, digests (one entry per document);
     pairs (id of A in the upper half, id of B in the lower) and times; links (places in
-    pairs, document after document).
+    pairs, document after document, as packed numbers of two bytes, or four where there are
+    more pairs than these can name).
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     longs = ", ".join(f"{c} array<bigint>" for c in ("n_a", "n_b", "n_groups", "n_links"))
     schema = (
         f"block long, doc_ids array<{kind}>, {longs}, digests array<string>, "
-        "pairs array<bigint>, times array<bigint>, links array<int>"
+        "pairs array<bigint>, times array<bigint>, links binary"
     )
     return rows.mapInArrow(_block_rows(bytes_file, pieces_file, block_bytes), schema)
 
@@ -287,7 +370,8 @@ _RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 def _scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            own = {c: batch.column(c).slice(row, 1).flatten() for c in batch.schema.names if c not in ("block", "known")}
+            lists = ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests")
+            own = {c: batch.column(c).slice(row, 1).flatten() for c in lists}
             known = batch.column("known").slice(row, 1).flatten()
             counts = np.zeros(len(known), np.int64)
             best = np.zeros(len(known), np.int64)
@@ -295,7 +379,8 @@ def _scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = known.field("place").to_numpy()
                 counts[place] = known.field("links").to_numpy()
                 best[place] = known.field("best").to_numpy(zero_copy_only=False)
-            links = own["links"].to_numpy()
+            packed = batch.column("links")[row].as_buffer()
+            links = np.frombuffer(packed, _index_type(len(known)))
             stops = np.concatenate([[0], np.cumsum(own["n_links"].to_numpy())])
             sums = []
             for values in (best, counts):

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.config import WhatIfDefaults
 from martloom.functions.numeric import fixed, money_sum, ratio
 from martloom.plans.base import CUSTOMER, ITEM, RESTAURANT
 from martloom.plans.pricing import EVENT
+from martloom.sources.sinks import read_mart
 
 PER_DOMAIN = 5
 WASTE_SAVING = 0.30
@@ -149,6 +150,12 @@ def latest_elasticity(pricing: DataFrame) -> DataFrame:
     )
 
 
+def stored_inputs(spark: SparkSession, menu: str, pricing: str) -> tuple[DataFrame, DataFrame]:
+    """The columns that `what_if` uses of the stored chain-wide menu mart and pricing mart."""
+    items = [ITEM, "item_name", "current_base_price", "current_base_cost", "total_quantity"]
+    return read_mart(spark, menu, items), read_mart(spark, pricing, [ITEM, EVENT, "effective_from", "elasticity"])
+
+
 def what_if(
     menu: DataFrame,
     pricing: DataFrame,

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martloom.plans.models import Verdict, run_status, run_tasks
+from martloom.config import SplitDates
+from martloom.plans.models import (
+    Verdict,
+    churn_contest,
+    demand_contest,
+    run_status,
+    run_tasks,
+    segment_contest,
+    waste_contest,
+)
 from martloom.sources.sinks import write_mart, write_run_metadata
 
 
@@ -37,6 +46,25 @@ def run_models(
     return run_status(done, errors), rows, errors
 
 
+def run_all(
+    spark: SparkSession,
+    demand: DataFrame,
+    waste: DataFrame,
+    churn_panel: DataFrame,
+    customers: DataFrame,
+    out: str,
+    splits: SplitDates = SplitDates(),
+) -> tuple[str, dict[str, int], dict[str, str]]:
+    """Train and store demand, wastage risk, churn and segmentation from their features."""
+    tasks: dict[str, Callable[[], Verdict]] = {
+        "demand": lambda: demand_contest(demand, splits),
+        "wastage_risk": lambda: waste_contest(waste, splits),
+        "churn": lambda: churn_contest(churn_panel),
+        "segmentation": lambda: segment_contest(customers),
+    }
+    return run_models(spark, tasks, out)
+
+
 def read_metadata(spark: SparkSession, out: str) -> DataFrame:
     """One row per candidate of the stored runs."""
     schema = (
