@@ -11,7 +11,7 @@ Inside texts and roles `\\`, `<`, `#` (and `:` in roles) become `\\\\`, `\\l`, `
 no control string can occur there and every text can be read back.
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation of its own;
-events with equal seq are ordered by kind and text; repeated events count each; unknown
+events with equal seq are ordered by kind, text and role, and a message has the role of its first event; repeated events count each; unknown
 kinds add nothing; an empty log has no conversations; long texts are kept whole. Extra
 columns are left out.
 """
@@ -46,13 +46,13 @@ def unescape(text: Column) -> Column:
 
 def _fold(events: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: whether an event replaced what stood before, and the text since."""
-    listed = F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "fresh")))
-    grouped = events.groupBy(*keys).agg(listed.alias("events"), F.min_by("role", "seq").alias("role"))
+    listed = F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "fresh", "role")))
+    grouped = events.groupBy(*keys).agg(listed.alias("events"))
     last = F.array_max(F.transform("events", lambda e, i: F.when(e["fresh"], i)))
     since = F.slice("events", F.coalesce(last, F.lit(0)) + 1, F.size("events"))
     return grouped.select(
         *keys,
-        "role",
+        F.get("events", F.lit(0))["role"].alias("role"),
         F.get("events", F.lit(0))["seq"].alias("seq"),
         F.lit("").alias("kind"),
         last.isNotNull().alias("fresh"),
@@ -119,15 +119,32 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log with one delta per row."""
+    """A table of turns (conv_id, turn, role, text) as the log of a live chat that ends in them.
+
+    By turns, a message comes in two deltas; as a draft that is thrown away by a regenerate
+    and then told anew; or as a delta that an edit replaces by the first half, the second
+    half following.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return turns.select(
-        "conv_id",
-        F.row_number().over(order).cast("long").alias("message"),
-        F.row_number().over(order).cast("long").alias("seq"),
-        "role",
-        F.lit("delta").alias("kind"),
-        "text",
+    numbered = turns.select(
+        "conv_id", "role", F.coalesce("text", F.lit("")).alias("whole"), F.row_number().over(order).cast("long").alias("message")
+    )
+    half = F.floor(F.length("whole") / 2).cast("int")
+    first, second = F.substr("whole", F.lit(1), half), F.substr("whole", half + 1)
+
+    def event(place: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft = F.concat(second, F.lit(" draft"))
+    whole, nothing = F.col("whole"), F.lit(None).cast("string")
+    log = (
+        F.when(F.col("message") % 3 == 1, F.array(event(0, "delta", first), event(1, "delta", second)))
+        .when(F.col("message") % 3 == 2, F.array(event(0, "delta", draft), event(1, "regenerate", nothing), event(2, "delta", whole)))
+        .otherwise(F.array(event(0, "delta", draft), event(1, "edit", first), event(2, "delta", second)))
+    )
+    events = numbered.select("conv_id", "message", "role", F.explode(log).alias("e"))
+    return events.select(
+        "conv_id", "message", (4 * F.col("message") + F.col("e.place")).alias("seq"), "role", "e.kind", "e.text"
     )
 
 
