@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 # fixed values: what the tags of HTML mean
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template noscript svg math iframe object canvas audio video select textarea button title head".split())
+_CONTROLS = frozenset("input select textarea button".split())
 _IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
@@ -42,9 +43,15 @@ _CLOSES_P = frozenset(
     "main menu nav ol p pre section table ul".split()
 )
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # names of page parts that never hold the article, and those that an article inside overrules
-_NEVER_TAGS = frozenset("nav footer aside form menu dialog".split())
-_NEVER_NAMES = frozenset("comment comments replies disqus respond related".split())
+_NEVER_TAGS = frozenset("nav footer aside menu dialog".split())
+_NEVER_NAMES = frozenset("comment comments replies disqus respond feedback discussion related".split())
+# words that stand beside the names of page parts and say nothing of their own
+_PLAIN_NAMES = frozenset(
+    "area articles bar block body bottom box button col column container content div group holder id inner items js left links "
+    "list main outer page panel post posts reader right row section site stories text top user users visitor widget wrap wrapper".split()
+)
 _RARELY_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies copyright dialog footer gdpr "
     "header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted recommended "
@@ -63,15 +70,18 @@ _WEIGHTS = {
     "links": -4.0,
     "paragraph": 0.8,
     "heading": 0.4,
-    "item": -0.5,
-    "sign": -3.0,
-    "article": 5.0,
-    "rarely": -9.0,
-    "never": -14.0,
+    "item": -0.3,
+    "sign": -8.0,
+    "form": -6.0,
+    "article": 2.5,
+    "rarely": -5.0,
+    "never": -7.0,
 }
 _LIMIT = 20.0
-_NEAR = 1.0
-_SIBLING = 0.5
+_NEAR = 2.5
+_SIBLING = 1.0
+# a form with so many words in paragraphs for each of its controls wraps a page
+_FORM_WORDS = 25
 _SCALE = 1000
 
 
@@ -82,6 +92,7 @@ class _Node:
     depth: int
     never: bool
     place: str  # article, rarely or nothing: the innermost part that says so
+    form: list[int] | None = None  # controls and words in paragraphs of the innermost form
 
 
 @dataclass(slots=True)
@@ -113,6 +124,8 @@ class BlockReader(HTMLParser):
             if tag not in _VOID:
                 self._silent.append(tag)
             return
+        if self._at.form is not None and tag in _CONTROLS:
+            self._at.form[0] += not any(k == "type" and v == "hidden" for k, v in attrs)
         if tag in _SILENT:
             self._silent.append(tag)
             return
@@ -208,24 +221,30 @@ class BlockReader(HTMLParser):
     def _push(self, tag: str, attrs: list) -> None:
         up = self._at
         never, place = up.never, up.place
+        form = [0, 0] if tag == "form" else up.form
         names: set[str] = set()
+        unsure: set[str] = set()
         role = ""
         hidden = False
         for name, value in attrs:
             if name in ("class", "id", "itemprop") and value:
-                names.update(x.lower() for x in _NAME.findall(value))
-                names.add(value.lower())
+                for part in value.split():
+                    words = {x.lower() for x in _NAME.findall(part)} | {part.lower()}
+                    names |= words
+                    # a name with a word of another kind may speak of the text itself
+                    if words - {part.lower()} - _PLAIN_NAMES - _NEVER_NAMES - _RARELY_NAMES:
+                        unsure |= words & _NEVER_NAMES
             elif name == "role":
                 role = (value or "").lower()
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 hidden = True
-        if tag in _NEVER_TAGS or names & _NEVER_NAMES or role in _NEVER_ROLES or hidden:
+        if tag in _NEVER_TAGS or (names & _NEVER_NAMES) - unsure or role in _NEVER_ROLES or hidden:
             never = True
         elif names & _RARELY_NAMES or role == "banner" or (tag == "header" and place != "article"):
             place = "rarely"
         elif tag in ("article", "main") or role in ("main", "article") or names & _ARTICLE_NAMES and place != "rarely":
             place = "article"
-        self._at = _Node(tag, up, up.depth + 1, never, place)
+        self._at = _Node(tag, up, up.depth + 1, never, place, form)
 
 
 def log_odds(block: Block, text: str) -> float:
@@ -237,12 +256,14 @@ def log_odds(block: Block, text: str) -> float:
         score += w["sentence"]
     if node.tag in ("p", "blockquote", "pre", "figcaption"):
         score += w["paragraph"]
-    elif node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    elif node.tag in _HEADINGS:
         score += w["heading"]
     elif node.tag in ("li", "td", "th", "dt", "dd"):
         score += w["item"]
     if "©" in text:
         score += w["sign"]
+    if node.form is not None and node.form[1] < _FORM_WORDS * (node.form[0] + 1):
+        score += w["form"]
     if node.never:
         score += w["never"]
     elif node.place:
@@ -251,7 +272,7 @@ def log_odds(block: Block, text: str) -> float:
 
 
 def _shared(a: _Node, b: _Node) -> float:
-    """Share of the shallower block's ancestors, itself included, that both have.
+    """Share of the shallower block's ancestors, itself and the page included, that both have.
 
     Between neighbouring blocks the steps are the elements that end and begin there, so a
     page's neighbours take no more steps than it has elements.
@@ -262,7 +283,7 @@ def _shared(a: _Node, b: _Node) -> float:
             a = a.parent
         else:
             b = b.parent
-    return a.depth / max(least, 1)
+    return (a.depth + 1) / (least + 1)
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
@@ -271,7 +292,10 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
     latest: dict[int, int] = {}
     for i, block in enumerate(blocks):
         if i:
-            found.append((i - 1, i, round(_SCALE * _NEAR * _shared(blocks[i - 1].node, block.node))))
+            before = blocks[i - 1].node
+            # a heading goes with what follows, and parts from what stands before
+            tie = (2.0 if before.tag in _HEADINGS else 1.0) * (0.5 if block.node.tag in _HEADINGS else 1.0)
+            found.append((i - 1, i, round(_SCALE * _NEAR * tie * _shared(before, block.node))))
         parent = id(block.node.parent or block.node)
         if parent in latest and latest[parent] < i - 1:
             found.append((latest[parent], i, round(_SCALE * _SIBLING)))
@@ -383,6 +407,9 @@ def main_text(html: str | None) -> str:
         if text:
             blocks.append(block)
             texts.append(text)
+    for block, text in zip(blocks, texts, strict=True):
+        if block.node.form is not None and block.node.tag in ("p", "blockquote", "pre"):
+            block.node.form[1] += len(text.split()) - block.linked
     odds = [round(_SCALE * log_odds(b, t)) for b, t in zip(blocks, texts, strict=True)]
     side = minimum_cut(odds, edges_of(blocks))
     return " ".join(t for t, s in zip(texts, side, strict=True) if s)

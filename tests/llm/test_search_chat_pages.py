@@ -258,3 +258,43 @@ def test_every_template_finds_itself(spark):
     files = spark.createDataFrame([(i, None, "words\n" + t, "") for i, (_, t) in enumerate(licenses.TEMPLATES)], FILES)
     found = {r.key: (r.license, r.cosine) for r in licenses.scan(files).collect()}
     assert found == {i: (name, 1.0) for i, (name, _) in enumerate(licenses.TEMPLATES)}
+
+
+LONG = "<p>" + " ".join(["This is a long sentence of the article that goes on, with words and more words in it."] * 3) + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        # a form around the whole page, as some servers write them
+        (f"<form><input type=hidden><div><h1>Big title</h1>{LONG}{LONG}<input><button>Go</button></div></form>", ["Big title", "long"], ["Go"]),
+        (f"<article>{LONG}</article><form><label>Your name</label><input><p>We never share it.</p><button>Send</button></form>", ["long"], ["name", "share"]),
+        # a name of a page part inside a name of another kind
+        (f"<article><h1>T</h1>{LONG}<section id='related-work'><h2>Related work</h2>{LONG}</section></article>", ["Related work"], []),
+        (f"<article>{LONG}</article><div class='related-posts'><h3>Related</h3><p>See this other story, too.</p></div>", ["long"], ["Related", "story"]),
+        # no names at all: the cut keeps title and list, and leaves the last line out
+        (
+            f"<div><a href=1>Home</a> <a href=2>News</a></div><h1>Only title</h1>{LONG}<ul><li>first item of it</li><li>second item of it</li></ul>"
+            f"{LONG}<div>© 2024 Company. All rights reserved.</div>",
+            ["Only title", "first item", "second item"],
+            ["Home", "reserved"],
+        ),
+        (
+            f"<main><h1>T</h1>{LONG}</main><section class='user-feedback'><b>Joe</b><p>I think that this is a really great article, thanks.</p></section>",
+            ["long"],
+            ["Joe", "great"],
+        ),
+    ],
+)
+def test_pages_of_other_builds(html, kept, gone):
+    text = html_mincut.main_text(f"<html><body>{html}</body></html>")
+    assert all(x in text for x in kept) and not any(x in text for x in gone)
+
+
+def test_the_cut_overrules_single_blocks():
+    """A title and list items that look like boilerplate alone are content among paragraphs."""
+    reader = html_mincut.BlockReader()
+    reader.feed(f"<h1>Only title</h1>{LONG}<ul><li>first item of it</li><li>second item of it</li></ul>{LONG}")
+    odds = [round(1000 * html_mincut.log_odds(b, b.joined())) for b in reader.blocks]
+    side = html_mincut.minimum_cut(odds, html_mincut.edges_of(reader.blocks))
+    assert [o > 0 for o in odds] == [False, True, False, False, True] and all(side)
