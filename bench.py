@@ -15,8 +15,8 @@ import sys
 import tempfile
 import time
 
-from martloom.catalog.queries import all_queries
-from martloom.plans import serving
+from martloom.catalog.queries import SCENARIOS, all_queries
+from martloom.plans import advice, serving
 from martloom.plans.runner import run_marts
 from martloom.session import local_session
 from martloom.sources.star import star_snapshot
@@ -47,6 +47,12 @@ OTHERS = [
     "churn_panel_features",
     "agreement_regression",
     "what_if_grid",
+    "stock_levels",
+    "reorder_points",
+    "slow_movers",
+    "promotion_lift",
+    "drift_index",
+    "customer_rollups",
 ]
 
 
@@ -68,7 +74,11 @@ def stored_pages(spark, snap, root: str) -> dict:
     def segments():
         return serving.value_counts(mart("customer_rfm", "rfm_segment"), "rfm_segment").collect()
 
-    return {"stored_kpis": kpis, "stored_channels": channels, "stored_segments": segments}
+    def what_if():
+        paths = [f"{root}/mart_{name}.parquet" for name in ("menu_performance", "pricing")]
+        return advice.what_if(*advice.stored_inputs(spark, *paths), SCENARIOS).collect()
+
+    return {"stored_kpis": kpis, "stored_channels": channels, "stored_segments": segments, "stored_what_if": what_if}
 
 
 def main() -> None:
