@@ -134,21 +134,6 @@ def shared_group_links(groups_a: np.ndarray, groups_b: np.ndarray) -> tuple[np.n
 _BYTE_RULE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # characters that every version of Unicode classes alike
 _SETTLED = re.compile("[\\x00-\u024f]*")
-_CHUNK = re.compile(" +[^ ]*")
-
-
-class _Chunks(dict):
-    """A chunk's ids by B as packed bytes, None where they do not spell it out."""
-
-    def __init__(self, words: Vocabularies, most: int = 100_000) -> None:
-        super().__init__()
-        self._words, self._most = words, most
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if len(self) >= self._most:
-            self.clear()
-        found = self[chunk] = self._words.piece_ids(chunk)
-        return found
 
 
 class Vocabularies:
@@ -156,8 +141,7 @@ class Vocabularies:
 
     Where the byte vocabulary has one id for each byte and ids in the order of its merges,
     texts of settled characters are encoded from these ranks; its own tokenizer encodes the
-    rest. Pieces with a space after another character are unknown to the piece vocabulary,
-    so that texts are encoded by stretches that begin with spaces.
+    rest.
     """
 
     def __init__(self, bytes_file: str, pieces_file: str) -> None:
@@ -177,8 +161,6 @@ class Vocabularies:
         self._tokenizer = None
         self.b = SentencePieceProcessor(model_file=pieces_file)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self._parted = not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
-        self._chunks = _Chunks(self)
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
         # ids as text, each followed by what may stand after it
@@ -220,23 +202,16 @@ class Vocabularies:
         spelled = b"".join(map(self.bytes_a.__getitem__, ids)) == text.encode()
         return np.array(ids, np.uint32) if spelled else None
 
-    def piece_ids(self, chunk: str) -> bytes | None:
-        """Ids by B, which puts the first space before a chunk."""
-        # of an empty text it makes nothing, not the space alone
-        ids = self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.b.piece_to_id("▁")]
-        spelled = b"".join(map(self.bytes_b.__getitem__, ids)) == chunk.encode()
-        return np.array(ids, np.uint32).tobytes() if spelled else None
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by A and by B, none where they do not spell the text out."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and by B of each text, none where they do not spell it out."""
         none = np.empty(0, np.uint32)
-        if not text:
-            return none, none
-        text = f" {text}"
-        chunks = _CHUNK.findall(text) if self._parted else [text]
-        found = list(map(self._chunks.__getitem__, chunks))
-        a = None if None in found else self.byte_ids(text)
-        return (none, none) if a is None else (a, np.frombuffer(b"".join(found), np.uint32))
+        out = []
+        for text, pieces in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            whole = f" {text}"
+            spelled = text and b"".join(map(self.bytes_b.__getitem__, pieces)) == whole.encode()
+            a = self.byte_ids(whole) if spelled else None
+            out.append((none, none) if a is None else (a, np.array(pieces, np.uint32)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -258,7 +233,7 @@ def _index_type(pairs: int) -> str:
 
 
 def _aligned(block: int, doc_ids: pa.Array, texts: list[str], words: Vocabularies) -> pa.RecordBatch:
-    encoded = [words.encode(text) for text in texts]
+    encoded = words.encode(texts)
     n_a, n_b = (np.array([len(x[side]) for x in encoded], np.int64) for side in (0, 1))
     ids_a, ids_b = (np.concatenate([x[side] for x in encoded]).astype(np.int64) for side in (0, 1))
     length_a, length_b = words.length_a[ids_a], words.length_b[ids_b]
@@ -267,7 +242,9 @@ def _aligned(block: int, doc_ids: pa.Array, texts: list[str], words: Vocabularie
     owner = np.repeat(np.arange(len(texts)), n_a)
     n_links = np.bincount(owner[left], minlength=len(texts))
     ends_a, ends_b = np.cumsum(length_a), np.cumsum(length_b)
-    cuts = np.unique(ends_a[left])
+    # in order, as the rows of the product are
+    cuts = ends_a[left]
+    cuts = cuts[np.concatenate([np.ones(min(1, len(cuts)), bool), cuts[1:] != cuts[:-1]])]
     last_bytes = np.cumsum(np.bincount(owner, weights=length_a, minlength=len(texts)).astype(np.int64))
     n_groups = np.diff(np.searchsorted(cuts, np.concatenate([[0], last_bytes]), "right"))
 
