@@ -167,7 +167,7 @@ def null_positions(scale: ScaleRules) -> Callable[[Snapshot], DataFrame]:
 
 
 def line_formulas(snap: Snapshot) -> DataFrame:
-    """Net revenue, margin, order total and trap flag by the contract formulas."""
+    """Net revenue, margin and order total by the contract formulas."""
     net = contracts.line_net_revenue("quantity", "unit_price_at_sale", "line_discount")
     margin = contracts.line_contribution_margin("net", "quantity", "unit_cost_at_sale")
     lines = snap.order_items.withColumn("net", net).withColumn("margin", margin)
