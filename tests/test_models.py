@@ -252,3 +252,35 @@ def test_weighted_scores_equal_the_evaluator(spark):
     for name, metric in (("f1", "f1"), ("precision", "weightedPrecision"), ("recall", "weightedRecall"), ("accuracy", "accuracy")):
         want = MulticlassClassificationEvaluator(metricName=metric).evaluate(df)
         assert abs(found[name] - want) < 1e-6
+
+
+def waste_rows(spark, risky):
+    rows = [
+        (dt.date(2025, 7, 7) + dt.timedelta(weeks=week), item, 1, "c", 0.01, 0.02, int(risky(item, week)))
+        for item in range(4) for week in range(24)
+    ]
+    mart = spark.createDataFrame(
+        rows,
+        "week_start date, source_menu_item_id int, source_restaurant_id int, source_category_id string, "
+        "waste_cost_ratio double, waste_quantity_ratio double, next_week_wastage_risk int",
+    )
+    return features.waste_features(mart)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_waste_contest_with_one_class_in_training(spark, label):
+    # later weeks, which are not trained on, hold the other class for one item
+    verdict = models.waste_contest(waste_rows(spark, lambda item, week: label ^ (item == 0 and week > 10)))
+    assert verdict.champion.name == "OneClass" and set(verdict.champion.validation) >= {"roc_auc", "f1"}
+    rows = verdict.predictions.collect()
+    assert len(rows) == 96 and {r["predicted_label"] for r in rows} == {label}
+    assert {r["risk_probability"] for r in rows} == {float(label)}
+    meta = verdict.metadata(spark, "wastage_risk")
+    assert serving.champion(meta, "wastage_risk").first()["algorithm"] == "OneClass"
+    assert [r["test_metrics"]["accuracy"] for r in meta.collect()] == [0.75]
+
+
+def test_waste_contest_when_no_window_holds_any_risk(spark):
+    verdict = models.waste_contest(waste_rows(spark, lambda item, week: False))
+    assert verdict.test["accuracy"] == 1.0
+    assert {r["predicted_label"] for r in verdict.predictions.collect()} == {0}
