@@ -125,18 +125,20 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price, rating, waste and date ranges on the menu mart, stored in interleaved order."""
     mart = menu.menu_performance(star_snapshot(tune(spark), sf_dir)).withColumn("last_order_date", F.to_date("last_order_date"))
     path = _folder(spark, "menu")
-    write_filterable(mart, path, list(MENU_RANGES), files=4)
+    write_filterable(mart, path, list(MENU_RANGES))
     ranges = MENU_RANGES | {"last_order_date": (F.to_date(F.lit("1999-01-01")), None)}
     return read_filtered(spark, path, ranges, MENU_COLUMNS)
 
 
 def _found_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of items whose name or id has a text, by postings and the first page's last row."""
-    mart = stage(menu.menu_performance(star_snapshot(tune(spark), sf_dir)), "menu")
-    keys, searched = [RESTAURANT, ITEM], ["item_name", ITEM]
+    snap = star_snapshot(tune(spark), sf_dir)
+    # an item has its name in every branch: one posting serves all of them
+    keys, searched = [ITEM], ["item_name", ITEM]
     path = _folder(spark, "postings")
-    search.write_postings(mart, keys, searched, path, files=4)
-    rows = mart.where("category_name = 'economy' AND classification = 'Low Performer'")
+    search.write_postings(snap.menu_items, keys, searched, path)
+    rows = menu.menu_performance(snap).where("category_name = 'economy' AND classification = 'Low Performer'")
+    rows = stage(rows.select(RESTAURANT, *searched, "composite_score", "classification"), "menu")
     found = search.search(rows, read_mart(spark, path), keys, searched, "in")
     names = [c for c, _ in MENU_ORDER]
     first = search.next_page(found, MENU_ORDER, 20).select(*names).collect()

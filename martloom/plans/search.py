@@ -29,9 +29,15 @@ def postings(df: DataFrame, keys: Sequence[str], searched: Sequence[str]) -> Dat
     return df.select(F.explode(every).alias("gram"), *keys)
 
 
-def write_postings(df: DataFrame, keys: Sequence[str], searched: Sequence[str], path: str, files: int) -> None:
-    """Stored by gram, so that a search reads the few row groups of its grams."""
-    rows = postings(df, keys, searched).repartitionByRange(files, "gram", *keys).sortWithinPartitions("gram")
+def write_postings(df: DataFrame, keys: Sequence[str], searched: Sequence[str], path: str, files: int | None = None) -> None:
+    """Stored by gram, so that a search reads the few row groups of its grams.
+
+    Without a number of `files` there are as many as the postings' size asks for.
+    """
+    found = postings(df, keys, searched)
+    by = ["gram", *keys]
+    dealt = found.repartitionByRange(*by) if files is None else found.repartitionByRange(files, *by)
+    rows = dealt.sortWithinPartitions("gram")
     rows.write.mode("overwrite").parquet(path)
 
 
@@ -43,8 +49,9 @@ def _needed(needle: str) -> list[str]:
 def search(df: DataFrame, stored: DataFrame, keys: Sequence[str], searched: Sequence[str], needle: str) -> DataFrame:
     """Rows of df with the needle, in any case, in one of the searched columns.
 
-    `stored` are the postings of df by `keys`, which name a row. An empty needle is in all
-    rows. Rows with a NULL key are not found by postings.
+    `stored` are the postings by `keys` of df, or of a table that has the searched columns
+    once for all rows of df with the same keys. An empty needle is in all rows. Rows with a
+    NULL key are not found by postings.
     """
     needle = needle.lower()
     if not needle:

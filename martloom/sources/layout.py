@@ -47,11 +47,11 @@ def _step(number: Column, edges: Sequence[float]) -> Column:
 
 
 def write_filterable(
-    df: DataFrame, path: str, columns: Sequence[str], files: int, row_group_bytes: int = 16 << 20, bits: int = BITS
+    df: DataFrame, path: str, columns: Sequence[str], files: int | None = None, row_group_bytes: int = 16 << 20, bits: int = BITS
 ) -> None:
     """Write df to Parquet in the interleaved order of the columns.
 
-    `files` tasks write a range of the order each. The quantiles that cut a column are at
+    `files` tasks write a range of the order each, or as many as the size of df asks for. The quantiles that cut a column are at
     most 2 ** bits numbers, with 1 % of the rows as error: they shape the layout, no result
     depends on them. NULLs come first.
     """
@@ -64,7 +64,9 @@ def write_filterable(
     key = "order_"
     while key in rows.columns:
         key = f"_{key}"
-    ordered = rows.withColumn(key, interleaved(steps, bits)).repartitionByRange(files, key).sortWithinPartitions(key)
+    placed = rows.withColumn(key, interleaved(steps, bits))
+    dealt = placed.repartitionByRange(key) if files is None else placed.repartitionByRange(files, key)
+    ordered = dealt.sortWithinPartitions(key)
     ordered.drop(key).write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
 
 

@@ -227,3 +227,31 @@ def test_pages_continue_after_the_last_row(spark, order):
         last = tuple(found[-1][c] for c, _ in order)
     by = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
     assert [r.id for r in pages] == [r.id for r in df.orderBy(*by).collect()]
+
+
+def test_layout_and_postings_have_as_many_files_as_their_size_asks_for(spark, tmp_path):
+    df = spark.range(0, 60_000, 1, 8).select(
+        "id", (F.col("id") % 25).alias("branch"), F.concat(F.lit("dish "), F.col("id")).alias("name"),
+        F.xxhash64("id").cast("double").alias("price"),
+    )
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        write_filterable(df, str(tmp_path / "m"), ["price", "id"])
+        # a posting by item alone serves the rows of every branch
+        search.write_postings(df.select("id", "name"), ["id"], ["name"], str(tmp_path / "p"))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for name, rows in (("m", 60_000), ("p", None)):
+        stored = spark.read.parquet(str(tmp_path / name))
+        assert len(stored.inputFiles()) > 4
+        assert rows is None or stored.count() == rows
+    found = search.search(df, spark.read.parquet(str(tmp_path / "p")), ["id"], ["name"], "H 123")
+    assert found.count() == df.where("name LIKE '%h 123%'").count() > 0
