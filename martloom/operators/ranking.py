@@ -55,7 +55,9 @@ def percent_ranks(
 
     Equal values share a rank, so only the distinct values are sorted, each with the
     number of rows that hold it. NULLs come first and share a rank; a single row has rank
-    0. `key` identifies a row.
+    0. `key` identifies a row. Columns of few different values, counted, meet their ranks
+    where the rows lie, so the rows of a frequent value are never brought together; only
+    the other columns are joined by value.
     """
     base = stage(df, "rank-input")
     n = base.count()
@@ -67,8 +69,7 @@ def percent_ranks(
                 for out, src in columns.items()
             }
         )
-    cells = _long_form(base, names, key)
-    counts = cells.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("held"))
+    counts = _long_form(base, names, []).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("held"))
     staged, offsets = _placed(counts.orderBy("metric", "value"), F.col("held"))
     earlier = (
         Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,17 +82,35 @@ def percent_ranks(
     ranks = staged.join(F.broadcast(offsets), "part").select(
         "metric", "value", (below / F.lit(float(max(n - 1, 1)))).alias("share")
     )
-    ranked = cells.alias("c").join(
-        ranks.alias("r"),
-        (F.col("c.metric") == F.col("r.metric")) & F.col("c.value").eqNullSafe(F.col("r.value")),
-    )
-    wide = ranked.groupBy(*[F.col(f"c.{k}").alias(k) for k in key]).agg(
-        *[
-            F.max(F.when(F.col("c.metric") == i, F.col("r.share"))).alias(out)
-            for i, out in enumerate(columns)
-        ]
-    )
-    return base.join(wide, key, "inner")
+    sizes = {r["metric"]: r["count"] for r in staged.groupBy("metric").count().collect()}
+    few = [i for i in range(len(names)) if sizes[i] <= scale.broadcast_values]
+    many = [i for i in range(len(names)) if i not in few]
+    outputs = list(columns)
+    out = base
+    if few:
+        small = stage(ranks.filter(F.col("metric").isin(*few)), "few-ranks")
+        for i in few:
+            mine = small.filter(F.col("metric") == i).select(
+                F.col("value").alias("_value"), F.col("share").alias(outputs[i])
+            )
+            same = F.col(names[i]).cast("double").eqNullSafe(F.col("_value"))
+            out = out.join(F.broadcast(mine), same, "inner").drop("_value")
+    if many:
+        cells = _long_form(base, [names[i] for i in many], key)
+        place = F.create_map(*[F.lit(x) for j, i in enumerate(many) for x in (i, j)])
+        large = ranks.filter(F.col("metric").isin(*many)).withColumn("metric", place[F.col("metric")])
+        ranked = cells.alias("c").join(
+            large.alias("r"),
+            (F.col("c.metric") == F.col("r.metric")) & F.col("c.value").eqNullSafe(F.col("r.value")),
+        )
+        wide = ranked.groupBy(*[F.col(f"c.{k}").alias(k) for k in key]).agg(
+            *[
+                F.max(F.when(F.col("c.metric") == j, F.col("r.share"))).alias(outputs[i])
+                for j, i in enumerate(many)
+            ]
+        )
+        out = out.join(wide, key, "inner")
+    return out.select(*base.columns, *outputs)
 
 
 def row_positions(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from martloom.config import ScaleRules
 from martloom.operators import joins, quarantine, ranking
 from martloom.operators.pairs import pair_counts
+from martloom import session
 from martloom.operators.ranking import ntile_of, percent_ranks, quantile_bin_of, row_positions
 from martloom.operators.timeseries import calendar_spine, if_full, next_value_if, trailing
 
@@ -346,3 +347,36 @@ def test_raw_waste_meets_the_latest_stock_record(spark):
     assert [r["item_name"] for r in dish.collect()] == ["Soup"]
     got = {r["source_wastage_id"]: r["current_stock_quantity"] for r in raw.collect()}
     assert got == {1: 4.0, 3: None}
+
+
+def test_frequent_values_meet_their_ranks_without_a_shuffle(spark):
+    rows = [(i, float(i % 3) if i % 7 else None, i * 0.5) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, hot double, cold double")
+    columns = {"rh": "hot", "rc": "cold"}
+    one = percent_ranks(df, columns, ["k"])
+    for bound in (0, 10, 1_000):
+        spread = percent_ranks(df, columns, ["k"], ScaleRules(one_task_rows=0, broadcast_values=bound))
+        assert spread.columns == one.columns
+        assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, one.collect()))
+        joins = spread._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+        assert joins >= {0: 0, 10: 1, 1_000: 2}[bound]
+
+
+def test_parents_are_checked_alike_with_few_and_many_missing_keys(spark):
+    df = spark.createDataFrame([(i // 2, i % 9 or None, i) for i in range(90)], "id int, parent int, n int")
+    parents = spark.createDataFrame([(i,) for i in (1, 2, 3, 3)], "pk int")
+    found = []
+    for bound in (0, 1_000):
+        checks = [quarantine.Parent("ORPHAN", "parent", parents, "pk")]
+        out = quarantine.split(df, checks, quarantine.Uniqueness("id", "DUPLICATE", ["n"]), ScaleRules(one_task_rows=bound))
+        found.append(sorted(map(str, out.judged.collect())))
+        exchanges = out.judged._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+        assert exchanges == (2 if bound else 0)
+    assert found[0] == found[1] and len(found[0]) == 90
+
+
+def test_tasks_stay_small_however_much_data_there_is(spark):
+    tuned = session.tune(spark)
+    assert tuned.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    asked = int(tuned.conf.get("spark.sql.shuffle.partitions"))
+    assert int(tuned.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > asked
