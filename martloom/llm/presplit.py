@@ -2,8 +2,8 @@
 
 A tokenizer file of the tokenizers library fixes the rules: normalizer, pre-tokenizer and
 added tokens. Its own Rust rules are applied to any text with unusual characters. Texts of
-plain Latin-1 take a short cut that gives the same words: lower case per character and one
-regular expression.
+plain Latin-1 take a short cut that gives the same words: lower case per character, white
+space, and one regular expression inside what stands between, which is kept.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 # characters for which lower case, composition and the classes below are plain
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -19,6 +20,8 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
 _WORD = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
 )
+# a full stop or comma that other marks precede belongs to their word
+_MARKS = re.compile("[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾][.,][\t\n\r ]")
 _SHORT_CUT_RULES = (
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
     ["NFC", "Replace", "Lowercase"],
@@ -49,7 +52,7 @@ class WordSplitter:
         return (pattern, normalizers) == _SHORT_CUT_RULES and len(splits) == 2 and not splits[1]["add_prefix_space"]
 
     def parts(self, text: str) -> Iterator[tuple[list[str] | None, int]]:
-        """(words, -1) for ordinary stretches, (None, id) for added tokens."""
+        """(words or runs of words, -1) for ordinary stretches, (None, id) for added tokens."""
         for i, part in enumerate(self._mark.split(text) if self._mark else [text]):
             if i % 2:
                 yield None, self.added[part]
@@ -58,13 +61,22 @@ class WordSplitter:
 
     def _words(self, text: str) -> list[str]:
         if self._short_cut and _PLAIN.fullmatch(text):
-            return _WORD.findall(text.lower())
+            # white space parts words, and so do full stops and commas that stand alone behind one
+            low = text.lower()
+            if not _MARKS.search(low):
+                for mark in (". ", ", ", ".\n", ",\n"):
+                    low = low.replace(mark, " " + mark)
+            return low.split()
         rules = self.tokenizer
         normal = rules.normalizer.normalize_str(text) if rules.normalizer else text
         pieces = rules.pre_tokenizer.pre_tokenize_str(normal)
         bytes_of = {c: b for b, c in enumerate(self._letters)}
         return [bytes(bytes_of[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in pieces]
 
+    def words_of(self, run: str) -> list[str]:
+        """The words of a run without white space, as `parts` gives it."""
+        return _WORD.findall(run) if self._short_cut and _PLAIN.fullmatch(run) else [run]
+
     def symbols(self, word: str) -> list[str]:
         """A word's bytes as the letters that vocabularies use, the last with the end mark."""
         letters = [self._letters[b] for b in word.encode("utf-8", "surrogateescape")]
@@ -80,19 +92,23 @@ def byte_letters() -> list[str]:
 
 
 class PackedWords(dict):
-    """word -> its ids as little-endian 32-bit bytes, computed when first met.
+    """Word or run of words -> its ids as little-endian 32-bit bytes, computed when first met.
 
-    Holds at most `most` words, then starts anew: bounded memory on any input.
+    Full after `most` words, it starts anew, but takes over words of the generation before
+    when they come again: bounded memory on any input, and frequent words stay.
     """
 
     def __init__(self, encode: Callable[[str], bytes], most: int = 300_000) -> None:
         super().__init__()
         self._encode, self._most = encode, most
+        self._before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        found = self._before.get(word) or self._encode(word)
         if len(self) >= self._most:
+            self._before = dict(self)
             self.clear()
-        found = self[word] = self._encode(word)
+        self[word] = found
         return found
 
 
@@ -100,7 +116,11 @@ class TextIds:
     """Token ids of whole texts as packed bytes, one cached word at a time."""
 
     def __init__(self, splitter: WordSplitter, encode: Callable[[str], bytes]) -> None:
-        self._splitter, self._cache = splitter, PackedWords(encode)
+        def packed(run: str) -> bytes:
+            words = splitter.words_of(run)
+            return encode(run) if len(words) == 1 else b"".join(map(self._cache.__getitem__, words))
+
+        self._splitter, self._cache = splitter, PackedWords(packed)
         self.size = splitter.tokenizer.get_vocab_size()
 
     def packed(self, text: str | None) -> bytes:
@@ -115,13 +135,20 @@ class TextIds:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
 def library_ids(path: str) -> TextIds:
-    """Ids by the tokenizers library, which is asked once per word."""
+    """Ids by the tokenizers library, which is asked once per word.
+
+    A worker process keeps it, and the words met, from task to task.
+    """
     splitter = WordSplitter(path)
     model = splitter.tokenizer.model
+    if hasattr(model, "_resize_cache"):
+        model._resize_cache(0)  # words are kept here; the model's own cache costs more than it saves
+    letters_of = "".join(splitter._letters)
 
     def encode(word: str) -> bytes:
-        letters = "".join(splitter._letters[b] for b in word.encode("utf-8", "surrogateescape"))
+        letters = word.encode("utf-8", "surrogateescape").decode("latin-1").translate(letters_of)
         return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
 
     return TextIds(splitter, encode)

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from martloom.llm import automaton, grammar, packing
 from martloom.llm.common import tokenizer_file
-from martloom.llm.presplit import library_ids
+from martloom.llm.presplit import PackedWords, library_ids
 
 DOCS = "doc_id long, text string, ids string, start int"
 TEXTS = [
@@ -56,6 +56,30 @@ def test_short_cut_equals_the_library(expected):
     assert [encoder.packed(t) for t in TEXTS] == [packed(e) for e in expected]
 
 
+def test_marks_beside_words_equal_the_library(library):
+    encoder = library_ids(tokenizer_file())
+    rng = random.Random(5)
+    pieces = [".", ",", " ", "\n", "\t", "a", "Word", "it's", "7", '"', "...", ")", "'", "-", "é", "½", "αb", "\xa0", "'RE"]
+    for _ in range(4_000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 25)))
+        assert encoder.packed(text) == packed(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_frequent_words_are_encoded_once():
+    asked = []
+    words = PackedWords(lambda w: asked.append(w) or w.encode(), most=4)
+    for i in range(40):
+        assert (words["the"], words[f"rare{i}"]) == (b"the", f"rare{i}".encode())
+        assert len(words) + len(words._before) <= 8
+    assert asked.count("the") == 1 and len(asked) == 41
+
+
+def test_words_stay_from_task_to_task():
+    first = library_ids(tokenizer_file())
+    first.packed("a word that stays")
+    assert "stays" in library_ids(tokenizer_file())._cache
+
+
 def test_automaton_equals_the_library_on_random_words(library):
     codec = automaton.Codec(tokenizer_file())
     rng = random.Random(3)
