@@ -28,20 +28,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ties.unionByName(least.select(F.col("u_").alias("u"), F.col("low").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node at most, and then no other is tied to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    held = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.agg(F.count(F.when(F.col("up") + F.col("down") > 1, 1))).first()[0] == 0
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of edges (u, v); the root is the least node.
 
     Self loops and repeated edges are allowed, nulls are not. An empty table has no nodes.
-    Each round is written down; rounds end when a round changes nothing, after a number of
-    them that grows with the logarithm of the largest component.
+    The edges are computed once. Each round is written down; rounds end when all that is
+    left are stars, after a number of them that grows with the logarithm of the largest
+    component.
     """
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, mark = stage(now, label), None
-    while True:
+    given = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    now = given.where("u <> v")
+    while not _are_stars(now):
         now = stage(_small_star(_large_star(now)), label)
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
-    return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("root"))
+    own = now.select("v", "v").union(given.where("u = v")).toDF("node", "root")
+    return now.toDF("node", "root").unionByName(own).groupBy("node").agg(F.min("root").alias("root"))

@@ -7,7 +7,8 @@ nodes is split on sampled tokens, 1 / similarity of them on average, so a pair a
 threshold is expected to stay together once per level. Splitting does not part a group of
 near copies: where most of a few members of a large bucket agree with one of them, the
 pivot, the bucket is not split. Its members are compared with the pivot, and only those that
-do not agree with it are compared with all others. Small buckets at once, large ones in
+do not agree with it are compared with all others. Where all large buckets of a level together
+hold few pairs, they are compared instead of split. Small buckets at once, large ones in
 blocks, are compared by sketches; runs are repeated until a pair at the threshold is missed
 with probability 1 - recall at most. What the sketches link forms candidate components,
 inside which all pairs are decided exactly, in blocks, on whole shingle sets.
@@ -51,7 +52,10 @@ _TOKEN_A = np.array([_odd(f"token-{i}") for i in range(TOKENS)], np.uint64)
 
 @dataclass(frozen=True)
 class JoinRules:
-    """Similarity as a fraction, target recall, bucket size, depth, sketch agreement, block."""
+    """Similarity as a fraction, target recall, bucket size, depth, sketch agreement, block.
+
+    Large buckets that need no more than few * bucket ** 3 comparisons are not split.
+    """
 
     shared: int = 4
     of: int = 5
@@ -60,6 +64,7 @@ class JoinRules:
     depth: int = 6
     agree: int = 38
     block: int = 1024
+    few: int = 4
 
     @property
     def similarity(self) -> float:
@@ -452,7 +457,9 @@ def candidate_edges(nodes: DataFrame, rules: JoinRules = JoinRules()) -> DataFra
         counts = rows.groupBy(F.col("path").alias("path_")).agg(F.count("*").alias("held")).where("held > 1")
         met = stage(rows.join(counts, F.col("path") == F.col("path_")).drop("path_"), "paths")
         large = met.where(F.col("held") > rules.bucket)
-        if large.isEmpty():
+        # each member of a bucket meets all that the bucket holds
+        compared = large.agg(F.sum("held")).first()[0] or 0
+        if compared <= rules.few * rules.bucket**3:
             ready.append(met)
             break
         ready.append(met.where(F.col("held") <= rules.bucket))

@@ -92,6 +92,36 @@ def test_groups_of_near_copies_are_not_split(spark):
     assert seen[0] >= 0.7 * 150 * rules.runs()
 
 
+def test_few_pairs_are_compared_instead_of_split(spark, monkeypatch):
+    texts = near_copies(8, groups=12, size=10)
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], DOCS)
+    expected = brute_links(texts)
+    levels = []
+    paths = jaccard_join._paths
+    monkeypatch.setattr(jaccard_join, "_paths", lambda level, runs: levels.append(level) or paths(level, runs))
+    for few, deeper in ((0, True), (1_000_000, False)):
+        levels.clear()
+        rules = jaccard_join.JoinRules(bucket=2, depth=3, block=5, few=few)
+        rows = sorted(jaccard_join.link(docs, rules).collect())
+        assert [(r.class_id, r.n_links) for r in rows] == expected
+        assert (max(levels) > 1) == deeper
+
+
+def test_edges_of_components_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pairs = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (3, 1)]
+    edges = spark.createDataFrame(pairs, "u long, v long").mapInArrow(counted, "u long, v long")
+    found = {r.node: r.root for r in components(edges).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 7: 7}
+    assert seen.value == len(pairs)
+
+
 def test_recall_at_full_depth(spark):
     """Pairs between 0.79 and 0.83, each alone in buckets that are always split again."""
     rng = random.Random(21)
