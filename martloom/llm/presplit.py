@@ -143,8 +143,6 @@ def library_ids(path: str) -> TextIds:
     """
     splitter = WordSplitter(path)
     model = splitter.tokenizer.model
-    if hasattr(model, "_resize_cache"):
-        model._resize_cache(0)  # words are kept here; the model's own cache costs more than it saves
     letters_of = "".join(splitter._letters)
 
     def encode(word: str) -> bytes:
