@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martloom.llm.presplit import library_ids
+from martloom.llm.presplit import TextIds, library_ids, task_ids
 
 END_ID = 1
 SHARD_IDS = 1 << 20
@@ -275,7 +275,10 @@ def _encode(tokenizer: str, end_id: int, edges: list):
     """Rows with their range as task and their ids, two bytes each where all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_ids(tokenizer)
+        with task_ids(tokenizer) as encoder:
+            yield from coded_rows(encoder, batches)
+
+    def coded_rows(encoder: TextIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             tasks, widths, coded = [], [], []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.presplit import library_ids
+from martloom.llm.presplit import TextIds, task_ids
 
 MAX_LENGTH = 4096
 END_ID = 2
@@ -53,7 +53,10 @@ def pack(
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_ids(tokenizer)
+        with task_ids(tokenizer, keep=False) as encoder:
+            yield from pieces_of(encoder, batches)
+
+    def pieces_of(encoder: TextIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << _PLACE_BITS
         places: Counter[int] = Counter()
         for batch in batches:

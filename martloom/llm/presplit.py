@@ -12,7 +12,11 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import islice
+
+import pyarrow as pa
 
 # characters for which lower case, composition and the classes below are plain
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -111,6 +115,13 @@ class PackedWords(dict):
         self[word] = found
         return found
 
+    def trim(self, most: int = 50_000) -> None:
+        """Keep the words met first, which are mostly the frequent ones."""
+        kept = dict(islice((self._before or self).items(), most))
+        self._before = {}
+        self.clear()
+        self.update(kept)
+
 
 class TextIds:
     """Token ids of whole texts as packed bytes, one cached word at a time."""
@@ -134,12 +145,39 @@ class TextIds:
                 out.extend(map(cache.__getitem__, words))
         return b"".join(out)
 
+    def rest(self) -> None:
+        """Give back most of the memory."""
+        self._cache.trim()
+        pa.default_memory_pool().release_unused()
+
+    def close(self) -> None:
+        """Give back all of it; no text can be encoded any more."""
+        self._cache = self._splitter = None
+        pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def task_ids(path: str, keep: bool = True) -> Iterator[TextIds]:
+    """`library_ids` for one task: Spark keeps idle workers beside later stages, so they must stay small.
+
+    Without keep the next task of the worker reads the tokenizer anew.
+    """
+    encoder = library_ids(path)
+    try:
+        yield encoder
+    finally:
+        if keep:
+            encoder.rest()
+        else:
+            library_ids.cache_clear()
+            encoder.close()
+
 
 @lru_cache(maxsize=2)
 def library_ids(path: str) -> TextIds:
     """Ids by the tokenizers library, which is asked once per word.
 
-    A worker process keeps it, and the words met, from task to task.
+    A worker process keeps it from task to task, with what `TextIds.rest` leaves of the words met.
     """
     splitter = WordSplitter(path)
     model = splitter.tokenizer.model

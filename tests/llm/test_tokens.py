@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import weakref
 import zlib
 from array import array
 from hashlib import sha256
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from martloom.llm import automaton, grammar, packing
 from martloom.llm.common import tokenizer_file
-from martloom.llm.presplit import PackedWords, library_ids
+from martloom.llm.presplit import PackedWords, library_ids, task_ids
 
 DOCS = "doc_id long, text string, ids string, start int"
 TEXTS = [
@@ -80,6 +81,21 @@ def test_words_stay_from_task_to_task():
     assert "stays" in library_ids(tokenizer_file())._cache
 
 
+def test_a_resting_worker_keeps_few_words(library):
+    text = " ".join(["often", *(f"{i:x}" for i in range(60_000)), "often"])
+    with task_ids(tokenizer_file()) as encoder:
+        first = encoder.packed(text)
+        assert len(encoder._cache) > 50_000
+    assert len(encoder._cache) == 50_000 and "often" in encoder._cache and not encoder._cache._before
+    assert encoder.packed(text) == first == array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def test_a_worker_can_drop_its_tokenizer():
+    with task_ids(tokenizer_file(), keep=False) as encoder:
+        model = weakref.ref(encoder._splitter)
+    assert model() is None and library_ids(tokenizer_file()) is not encoder
+
+
 def test_automaton_equals_the_library_on_random_words(library):
     codec = automaton.Codec(tokenizer_file())
     rng = random.Random(3)
