@@ -20,7 +20,6 @@ table gives files without shards; a document longer than a shard fills one of it
 from __future__ import annotations
 
 import struct
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -33,6 +32,7 @@ from martloom.llm.presplit import TextIds, library_ids, task_ids
 
 END_ID = 1
 SHARD_IDS = 1 << 20
+_KNOWN_WORDS = 250_000  # that a worker keeps from task to task
 _HEAD = struct.Struct("<4sIIIIQ")
 _MAGIC = b"RPG2"
 
@@ -75,21 +75,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple:
     rules: list[np.ndarray] = []
     made = 0
     while len(places := np.flatnonzero(active)):
-        left, right = seq[places], seq[after[places]]
+        second = after[places]
+        left, right = seq[places], seq[second]
         order, first = _grouped(left, right)
         counts = np.diff(np.append(first, len(places)))
         group = np.empty(len(places), np.int32)
         group[order] = np.repeat(np.arange(len(first), dtype=np.int32), counts)
-        odd = _odd_of_runs(group, after[places[:-1]] == places[1:])
-        if odd is not None:
-            counts -= np.bincount(group[odd], minlength=len(first))
-        repeats = counts >= 2
-        live = repeats[group]
-        active[places[~live]] = False
-        if odd is not None:
-            live &= ~odd
-        places, group = places[live], group[live]
-        take = _apart(_precedence(counts)[group], after[places[:-1]] == places[1:])
+        odd = _odd_of_runs(group, second[:-1] == places[1:])
+        counts -= np.bincount(group[odd], minlength=len(first))
+        active[places] = live = (counts >= 2)[group]
+        live[odd] = False
+        places, second, group = places[live], second[live], group[live]
+        take = _apart(_precedence(counts)[group], second[:-1] == places[1:])
         places, group = places[take], group[take]
         used = np.bincount(group, minlength=len(first)) >= 2
         places, group = places[used[group]], group[used[group]]
@@ -119,13 +116,12 @@ def _precedence(counts: np.ndarray) -> np.ndarray:
     return ((counts.max(initial=0) - counts) << bits) | mixed
 
 
-def _odd_of_runs(group: np.ndarray, beside: np.ndarray) -> np.ndarray | None:
-    """Every second place of a run of one pair (a run of one symbol), or None if there are no runs."""
-    same = np.concatenate([[False], beside & (group[1:] == group[:-1])])
-    if not same.any():
-        return None
-    at = np.arange(len(group))
-    return (at - np.maximum.accumulate(np.where(same, 0, at))) % 2 == 1
+def _odd_of_runs(group: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Where every second place of a run of one pair (a run of one symbol) stands."""
+    same = np.flatnonzero(beside & (group[1:] == group[:-1])) + 1
+    at = np.arange(len(same))
+    inner = np.concatenate([[False], same[1:] == same[:-1] + 1])[: len(same)]
+    return same[(at - np.maximum.accumulate(np.where(inner, 0, at))) % 2 == 0]
 
 
 def _apart(rank: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -275,21 +271,22 @@ def _encode(tokenizer: str, end_id: int, edges: list):
     """Rows with their range as task and their ids, two bytes each where all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with task_ids(tokenizer) as encoder:
+        with task_ids(tokenizer, words=_KNOWN_WORDS) as encoder:
             yield from coded_rows(encoder, batches)
 
     def coded_rows(encoder: TextIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = array("I", [end_id]).tobytes()
         for batch in batches:
-            tasks, widths, coded = [], [], []
-            for owner, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(encoder.packed(value.as_py()) + end, "<u4")
+            for at, ids, counts in encoder.many(batch.column("text")):
+                own = batch.slice(at, len(counts))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
                 width = 2 if ids.max() < 1 << 16 else 4
-                tasks.append(0 if owner is None else bisect_right(edges, owner))
-                widths.append(width)
-                coded.append(ids.astype(f"<u{width}").tobytes())
-            arrays = [batch.column("doc_id"), batch.column("tie"), pa.array(tasks, pa.int32()), pa.array(widths, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(coded, pa.binary())], ["doc_id", "tie", "task", "width", "ids"])
+                edge = np.concatenate([[0], width * (ends + np.arange(1, len(ends) + 1))]).astype(np.int32)
+                buffers = [None, pa.py_buffer(edge), pa.py_buffer(ids.astype(f"<u{width}"))]
+                tasks = [0 if x is None else bisect_right(edges, x) for x in own.column("doc_id").to_pylist()]
+                arrays = [own.column("doc_id"), own.column("tie"), pa.array(tasks, pa.int32())]
+                arrays += [pa.array([width] * len(ends), pa.int32()), pa.Array.from_buffers(pa.binary(), len(ends), buffers)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tie", "task", "width", "ids"])
 
     return run
 

@@ -14,9 +14,12 @@ from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # characters for which lower case, composition and the classes below are plain
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
@@ -26,6 +29,10 @@ _WORD = re.compile(
 )
 # a full stop or comma that other marks precede belongs to their word
 _MARKS = re.compile("[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾][.,][\t\n\r ]")
+_STOPS = (". ", ", ", ".\n", ",\n")
+# about how many bytes of text are cut into words at once, and beyond how many a text is encoded alone
+_AT_ONCE = 1 << 24
+_LONGEST = 1 << 25
 _SHORT_CUT_RULES = (
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
     ["NFC", "Replace", "Lowercase"],
@@ -68,7 +75,7 @@ class WordSplitter:
             # white space parts words, and so do full stops and commas that stand alone behind one
             low = text.lower()
             if not _MARKS.search(low):
-                for mark in (". ", ", ", ".\n", ",\n"):
+                for mark in _STOPS:
                     low = low.replace(mark, " " + mark)
             return low.split()
         rules = self.tokenizer
@@ -77,6 +84,24 @@ class WordSplitter:
         bytes_of = {c: b for b, c in enumerate(self._letters)}
         return [bytes(bytes_of[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in pieces]
 
+    def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """Which texts take the short cut without a look at each, and the runs of these.
+
+        The runs are those that `parts` gives; empty ones come with white space at a text's ends.
+        """
+        if not self._short_cut or not len(texts):
+            return np.zeros(len(texts), bool), pa.array([], pa.list_(texts.type))
+        odd = pc.match_substring_regex(texts, _one_not_in(_PLAIN))
+        odd = pc.or_(odd, pc.greater(pc.binary_length(texts), _LONGEST))
+        for mark in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        low = pc.utf8_lower(texts)
+        odd = pc.or_(odd, pc.match_substring_regex(low, _MARKS.pattern))
+        low = low.filter(pc.invert(odd))
+        for mark in _STOPS:
+            low = pc.replace_substring(low, mark, " " + mark)
+        return ~odd.to_numpy(zero_copy_only=False), pc.ascii_split_whitespace(low)
+
     def words_of(self, run: str) -> list[str]:
         """The words of a run without white space, as `parts` gives it."""
         return _WORD.findall(run) if self._short_cut and _PLAIN.fullmatch(run) else [run]
@@ -88,6 +113,11 @@ class WordSplitter:
         return letters
 
 
+def _one_not_in(stretch: re.Pattern) -> str:
+    """The class of characters that a `[...]*` leaves out."""
+    return "[^" + stretch.pattern[1:-1]
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -115,6 +145,21 @@ class PackedWords(dict):
         self[word] = found
         return found
 
+    def all_of(self, words: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct words; those not met before are encoded together."""
+        found = list(map(self.get, words))
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        for i in missed if self._before else ():
+            found[i] = self._before.get(words[i])
+        asked = [i for i in missed if found[i] is None]
+        for i, ids in zip(asked, encode_all([words[i] for i in asked]), strict=True):
+            found[i] = ids
+        if len(self) + len(missed) > self._most:
+            self._before = dict(self)
+            self.clear()
+        self.update((words[i], found[i]) for i in missed[: self._most])
+        return found
+
     def trim(self, most: int = 50_000) -> None:
         """Keep the words met first, which are mostly the frequent ones."""
         kept = dict(islice((self._before or self).items(), most))
@@ -126,12 +171,23 @@ class PackedWords(dict):
 class TextIds:
     """Token ids of whole texts as packed bytes, one cached word at a time."""
 
-    def __init__(self, splitter: WordSplitter, encode: Callable[[str], bytes]) -> None:
+    def __init__(
+        self,
+        splitter: WordSplitter,
+        encode: Callable[[str], bytes],
+        encode_all: Callable[[list[str]], list[bytes]] | None = None,
+    ) -> None:
         def packed(run: str) -> bytes:
             words = splitter.words_of(run)
             return encode(run) if len(words) == 1 else b"".join(map(self._cache.__getitem__, words))
 
-        self._splitter, self._cache = splitter, PackedWords(packed)
+        def packed_all(runs: list[str]) -> list[bytes]:
+            # letters alone are one word
+            words = [r for r in runs if r.isalpha()]
+            known = dict(zip(words, encode_all(words) if encode_all else map(encode, words), strict=True))
+            return [known[r] if r in known else packed(r) for r in runs]
+
+        self._splitter, self._cache, self._packed_all = splitter, PackedWords(packed), packed_all
         self.size = splitter.tokenizer.get_vocab_size()
 
     def packed(self, text: str | None) -> bytes:
@@ -145,29 +201,63 @@ class TextIds:
                 out.extend(map(cache.__getitem__, words))
         return b"".join(out)
 
-    def rest(self) -> None:
-        """Give back most of the memory."""
-        self._cache.trim()
+    def many(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Stretches of whole texts: the first one's place, ids laid end to end, and how many each text has.
+
+        A word is looked up once for a stretch.
+        """
+        texts = pc.fill_null(texts, "")
+        at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // _AT_ONCE
+        edges = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(texts)]
+        for first, stop in pairwise(edges):
+            yield first, *self._stretch(texts.slice(first, stop - first))
+
+    def _stretch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain, runs = self._splitter.runs_of(texts)
+        ids, counts = self._of_runs(runs)
+        if plain.all():
+            return ids, counts
+        pieces = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        own = [next(pieces) if p else np.frombuffer(self.packed(t.as_py()), "<u4") for p, t in zip(plain.tolist(), texts, strict=True)]
+        return np.concatenate(own), np.array([len(x) for x in own])
+
+    def _of_runs(self, runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        coded = runs.flatten().dictionary_encode()
+        packed = self._cache.all_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._packed_all)
+        table = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        which = coded.indices.to_numpy()
+        width = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[which] - ends[:-1]
+        ids = table[np.repeat(shift, width) + np.arange(ends[-1], dtype=np.int32)]
+        # a slice's offsets begin where it does
+        offsets = runs.offsets.to_numpy()
+        return ids, np.diff(ends[offsets - offsets[0]])
+
+    def rest(self, most: int = 50_000) -> None:
+        """Give back most of the memory, but for so many words."""
+        self._cache.trim(most)
         pa.default_memory_pool().release_unused()
 
     def close(self) -> None:
         """Give back all of it; no text can be encoded any more."""
-        self._cache = self._splitter = None
+        self._cache = self._splitter = self._packed_all = None
         pa.default_memory_pool().release_unused()
 
 
 @contextmanager
-def task_ids(path: str, keep: bool = True) -> Iterator[TextIds]:
+def task_ids(path: str, keep: bool = True, words: int = 50_000) -> Iterator[TextIds]:
     """`library_ids` for one task: Spark keeps idle workers beside later stages, so they must stay small.
 
-    Without keep the next task of the worker reads the tokenizer anew.
+    The next task of the worker finds so many words known; without keep it reads the tokenizer anew.
     """
     encoder = library_ids(path)
     try:
         yield encoder
     finally:
         if keep:
-            encoder.rest()
+            encoder.rest(words)
         else:
             library_ids.cache_clear()
             encoder.close()
@@ -183,8 +273,15 @@ def library_ids(path: str) -> TextIds:
     model = splitter.tokenizer.model
     letters_of = "".join(splitter._letters)
 
+    apart = letters_of[:32] + " " + letters_of[33:]
+    id_of = attrgetter("id")
+
     def encode(word: str) -> bytes:
         letters = word.encode("utf-8", "surrogateescape").decode("latin-1").translate(letters_of)
         return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
 
-    return TextIds(splitter, encode)
+    def encode_all(words: list[str]) -> list[bytes]:
+        letters = " ".join(words).encode("utf-8", "surrogateescape").decode("latin-1").translate(apart).split()
+        return [array("I", list(map(id_of, model.tokenize(word)))).tobytes() for word in letters]
+
+    return TextIds(splitter, encode, encode_all)

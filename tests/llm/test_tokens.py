@@ -7,11 +7,12 @@ from array import array
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from martloom.llm import automaton, grammar, packing
+from martloom.llm import automaton, grammar, packing, presplit
 from martloom.llm.common import tokenizer_file
 from martloom.llm.presplit import PackedWords, library_ids, task_ids
 
@@ -66,6 +67,40 @@ def test_marks_beside_words_equal_the_library(library):
         assert encoder.packed(text) == packed(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_texts_together_equal_the_library(library, expected, monkeypatch):
+    rng = random.Random(6)
+    pieces = [".", ",", " ", "\n", "\t", "  ", "a", "Word", "ÀÉ", "it's", "7", '"', ")", "'", "é", "½", "αb", "\xa0", "<|endoftext|>", "\x0b"]
+    texts = ["".join(rng.choices(pieces[: rng.choice([12, 20])], k=rng.randint(0, 25))) for _ in range(3_000)]
+    wanted = expected + [library.encode(t, add_special_tokens=False).ids for t in texts]
+    whole = pa.array(["left out", *TEXTS, *texts]).slice(1)
+    encoder = library_ids(tokenizer_file())
+    for at_once, longest in ((1 << 24, 1 << 25), (500, 1 << 25), (500, 40)):
+        monkeypatch.setattr(presplit, "_AT_ONCE", at_once)
+        monkeypatch.setattr(presplit, "_LONGEST", longest)
+        encoder.rest(10)
+        found = list(encoder.many(whole))
+        counts = np.concatenate([c for _, _, c in found])
+        assert [first for first, _, _ in found] == [0, *np.cumsum([len(c) for _, _, c in found])[:-1]]
+        assert counts.tolist() == [len(w) for w in wanted]
+        assert np.concatenate([ids for _, ids, _ in found]).tolist() == [x for w in wanted for x in w]
+    assert list(encoder.many(whole[:0])) == []
+
+
+def test_words_of_many_texts_are_encoded_once():
+    asked = []
+    words = PackedWords(str.encode, most=4)
+
+    def encode_all(new):
+        asked.extend(new)
+        return [w.encode() for w in new]
+
+    for i in range(40):
+        wanted = ["the", *(f"rare{j}" for j in range(i, i + 2))]
+        assert words.all_of(wanted, encode_all) == [w.encode() for w in wanted]
+        assert len(words) <= 4 and len(words._before) <= 4
+    assert len(asked) == len(set(asked)) == 42
+
+
 def test_frequent_words_are_encoded_once():
     asked = []
     words = PackedWords(lambda w: asked.append(w) or w.encode(), most=4)
@@ -106,6 +141,18 @@ def test_automaton_equals_the_library_on_random_words(library):
         assert codec.packed(word) == packed(library.encode(word, add_special_tokens=False).ids), word
 
 
+def test_every_second_place_of_a_run():
+    rng = random.Random(8)
+    for _ in range(500):
+        group = [rng.randint(0, 2) for _ in range(rng.randint(1, 30))]
+        beside = [rng.random() < 0.8 for _ in group[1:]]
+        odd, run = [], 0
+        for i in range(1, len(group)):
+            run = run + 1 if beside[i - 1] and group[i] == group[i - 1] else 0
+            odd += [i] * (run % 2)
+        assert grammar._odd_of_runs(np.array(group), np.array(beside, bool)).tolist() == odd
+
+
 def plain_bpe(word, merges):
     """Merges in order, each from the left wherever it applies."""
     word = list(word)
