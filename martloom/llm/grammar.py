@@ -42,10 +42,13 @@ def _grouped(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
     wide = max(int(left.max()), int(right.max())).bit_length()
     low = len(left).bit_length()
     if 2 * wide + low <= 64:  # a plain sort that carries the places is several times faster than argsort
-        pairs = (left.astype(np.uint64) << np.uint64(wide + low)) | (right.astype(np.uint64) << np.uint64(low))
+        pairs = left.astype(np.uint64)
+        pairs <<= np.uint64(wide)
+        pairs |= right
+        pairs <<= np.uint64(low)
         pairs |= np.arange(len(left), dtype=np.uint64)
         pairs.sort()
-        order = (pairs & np.uint64((1 << low) - 1)).astype(np.int64)
+        order = (pairs & np.uint64((1 << low) - 1)).view(np.int64)
         pairs >>= np.uint64(low)
     else:
         pairs = (left.astype(np.uint64) << np.uint64(32)) | right

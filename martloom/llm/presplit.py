@@ -9,13 +9,13 @@ space, and one regular expression inside what stands between, which is kept.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import islice, pairwise
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ _WORD = re.compile(
 _MARKS = re.compile("[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾][.,][\t\n\r ]")
 _STOPS = (". ", ", ", ".\n", ",\n")
 # about how many bytes of text are cut into words at once, and beyond how many a text is encoded alone
-_AT_ONCE = 1 << 24
+_AT_ONCE = 1 << 23
 _LONGEST = 1 << 25
 _SHORT_CUT_RULES = (
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
@@ -185,7 +185,7 @@ class TextIds:
             # letters alone are one word
             words = [r for r in runs if r.isalpha()]
             known = dict(zip(words, encode_all(words) if encode_all else map(encode, words), strict=True))
-            return [known[r] if r in known else packed(r) for r in runs]
+            return [known.get(r) or packed(r) for r in runs]
 
         self._splitter, self._cache, self._packed_all = splitter, PackedWords(packed), packed_all
         self.size = splitter.tokenizer.get_vocab_size()
@@ -269,19 +269,41 @@ def library_ids(path: str) -> TextIds:
 
     A worker process keeps it from task to task, with what `TextIds.rest` leaves of the words met.
     """
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
     splitter = WordSplitter(path)
     model = splitter.tokenizer.model
     letters_of = "".join(splitter._letters)
-
     apart = letters_of[:32] + " " + letters_of[33:]
-    id_of = attrgetter("id")
+
+    @lru_cache(maxsize=1)
+    def together() -> tuple[Tokenizer, np.ndarray]:
+        """A tokenizer of words between spaces, and which ids end a word by their mark (none, if not all do)."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
+        words = Tokenizer(model)
+        words.pre_tokenizer = CharDelimiterSplit(" ")
+        mark, vocabulary = splitter.spec["model"].get("end_of_word_suffix"), splitter.tokenizer.get_vocab()
+        final = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark and all(letter + mark in vocabulary for letter in letters_of):
+            final[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+        return words, final
 
     def encode(word: str) -> bytes:
         letters = word.encode("utf-8", "surrogateescape").decode("latin-1").translate(letters_of)
         return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
 
+    def encode_some(words: list[str]) -> list[bytes]:
+        letters = " ".join(words).encode("utf-8", "surrogateescape").decode("latin-1").translate(apart)
+        tokenizer, final = together()
+        ids = np.array(tokenizer.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(final[ids]) + 1)
+        if len(ends) != len(words):  # ends that do not show
+            return list(map(encode, words))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
     def encode_all(words: list[str]) -> list[bytes]:
-        letters = " ".join(words).encode("utf-8", "surrogateescape").decode("latin-1").translate(apart).split()
-        return [array("I", list(map(id_of, model.tokenize(word)))).tobytes() for word in letters]
+        return [ids for i in range(0, len(words), 2_000) for ids in encode_some(words[i : i + 2_000])]
 
     return TextIds(splitter, encode, encode_all)
