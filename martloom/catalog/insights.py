@@ -18,7 +18,7 @@ from martloom.plans.base import ITEM, RESTAURANT, sold_of
 from martloom.session import tune
 from martloom.sources.layout import read_filtered, write_filterable
 from martloom.sources.sinks import read_mart, write_mart
-from martloom.sources.staging import stage, staging_root
+from martloom.sources.staging import stage, stage_result, staging_root, staging_scope
 from martloom.sources.star import star_snapshot, stock_movements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,9 +123,12 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price, rating, waste and date ranges on the menu mart, stored in interleaved order."""
-    mart = menu.menu_performance(star_snapshot(tune(spark), sf_dir)).withColumn("last_order_date", F.to_date("last_order_date"))
+    snap = star_snapshot(tune(spark), sf_dir)
     path = _folder(spark, "menu")
-    write_filterable(mart, path, list(MENU_RANGES))
+    with staging_scope(spark):
+        dated = {"last_order_date": F.to_date("last_order_date")}
+        mart = stage_result(spark, lambda: menu.menu_performance(snap).withColumns(dated), "mart")
+        write_filterable(mart, path, list(MENU_RANGES), stored=True)
     ranges = MENU_RANGES | {"last_order_date": (F.to_date(F.lit("1999-01-01")), None)}
     return read_filtered(spark, path, ranges, MENU_COLUMNS)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martloom.config import ScaleRules
-from martloom.sources.staging import stage
+from martloom.sources.staging import stage, stage_result
 
 _ROW_BITS = 33
 
@@ -45,11 +45,54 @@ def _placed(ordered: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
     return staged, offsets
 
 
+def _value_shares(base: DataFrame, names: list[str], rows: int) -> DataFrame:
+    """The percent_rank of every different value of every named column."""
+    counts = _long_form(base, names, []).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("held"))
+    staged, offsets = _placed(counts.orderBy("metric", "value"), F.col("held"))
+    earlier = (
+        Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    below = (
+        F.col("offset")
+        + F.coalesce(F.sum("held").over(earlier), F.lit(0))
+        - F.col("metric") * F.lit(rows)
+    )
+    return staged.join(F.broadcast(offsets), "part").select(
+        "metric", "value", (below / F.lit(float(max(rows - 1, 1)))).alias("share")
+    )
+
+
+def _with_shares(
+    base: DataFrame, cells: DataFrame, key: list[str], outputs: list[str], together: list[str]
+) -> DataFrame:
+    """base with the shares of its cells, `outputs` by metric number, in one shuffle of both."""
+    row = "row"
+    while row in {c.lower() for c in (*key, *outputs)}:
+        row = f"_{row}"
+    rest = [c for c in base.columns if c not in key]
+    whole = F.struct(F.lit(True).alias("known"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = base.select(*key, whole.alias(row), *[F.lit(None).cast("double").alias(o) for o in outputs])
+    shares = cells.select(
+        *key,
+        F.lit(None).cast(rows.schema[row].dataType).alias(row),
+        *[F.when(F.col("metric") == j, F.col("share")).alias(o) for j, o in enumerate(outputs)],
+    )
+    order = [*together, *[k for k in key if k not in together]]
+    merged = (
+        rows.unionAll(shares)
+        .repartition(*together)
+        .groupBy(*order)
+        .agg(F.first(row, ignorenulls=True).alias(row), *[F.max(o).alias(o) for o in outputs])
+    )
+    return merged.select(*key, *[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(rest)], *outputs)
+
+
 def percent_ranks(
     df: DataFrame,
     columns: dict[str, str],
     key: list[str],
     scale: ScaleRules = ScaleRules(),
+    together: list[str] | None = None,
 ) -> DataFrame:
     """Add percent_rank of each named column over all rows; `columns` maps output to input.
 
@@ -57,7 +100,9 @@ def percent_ranks(
     number of rows that hold it. NULLs come first and share a rank; a single row has rank
     0. `key` identifies a row. Columns of few different values, counted, meet their ranks
     where the rows lie, so the rows of a frequent value are never brought together; only
-    the other columns are joined by value.
+    the other columns are joined by value. Their ranks and the rows then meet in one shuffle,
+    by the key or by those of its columns that `together` names: a later join, group or window
+    by these needs no shuffle of its own.
     """
     base = stage(df, "rank-input")
     n = base.count()
@@ -69,32 +114,13 @@ def percent_ranks(
                 for out, src in columns.items()
             }
         )
-    counts = _long_form(base, names, []).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("held"))
-    staged, offsets = _placed(counts.orderBy("metric", "value"), F.col("held"))
-    earlier = (
-        Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    below = (
-        F.col("offset")
-        + F.coalesce(F.sum("held").over(earlier), F.lit(0))
-        - F.col("metric") * F.lit(n)
-    )
-    ranks = staged.join(F.broadcast(offsets), "part").select(
-        "metric", "value", (below / F.lit(float(max(n - 1, 1)))).alias("share")
-    )
-    sizes = {r["metric"]: r["count"] for r in staged.groupBy("metric").count().collect()}
+    spark = base.sparkSession
+    ranks = stage_result(spark, lambda: _value_shares(base, names, n), "ranks")
+    sizes = {r["metric"]: r["count"] for r in ranks.groupBy("metric").count().collect()}
     few = [i for i in range(len(names)) if sizes[i] <= scale.broadcast_values]
     many = [i for i in range(len(names)) if i not in few]
     outputs = list(columns)
     out = base
-    if few:
-        small = stage(ranks.filter(F.col("metric").isin(*few)), "few-ranks")
-        for i in few:
-            mine = small.filter(F.col("metric") == i).select(
-                F.col("value").alias("_value"), F.col("share").alias(outputs[i])
-            )
-            same = F.col(names[i]).cast("double").eqNullSafe(F.col("_value"))
-            out = out.join(F.broadcast(mine), same, "inner").drop("_value")
     if many:
         cells = _long_form(base, [names[i] for i in many], key)
         place = F.create_map(*[F.lit(x) for j, i in enumerate(many) for x in (i, j)])
@@ -103,13 +129,16 @@ def percent_ranks(
             large.alias("r"),
             (F.col("c.metric") == F.col("r.metric")) & F.col("c.value").eqNullSafe(F.col("r.value")),
         )
-        wide = ranked.groupBy(*[F.col(f"c.{k}").alias(k) for k in key]).agg(
-            *[
-                F.max(F.when(F.col("c.metric") == j, F.col("r.share"))).alias(outputs[i])
-                for j, i in enumerate(many)
-            ]
-        )
-        out = out.join(wide, key, "inner")
+        met = stage(ranked.select(*[F.col(f"c.{k}").alias(k) for k in key], "c.metric", "r.share"), "cell-ranks")
+        out = _with_shares(base, met, key, [outputs[i] for i in many], together or key)
+    if few:
+        small = stage(ranks.filter(F.col("metric").isin(*few)), "few-ranks")
+        for i in few:
+            mine = small.filter(F.col("metric") == i).select(
+                F.col("value").alias("_value"), F.col("share").alias(outputs[i])
+            )
+            same = F.col(names[i]).cast("double").eqNullSafe(F.col("_value"))
+            out = out.join(F.broadcast(mine), same, "inner").drop("_value")
     return out.select(*base.columns, *outputs)
 
 

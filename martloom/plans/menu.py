@@ -34,6 +34,15 @@ _RANKED = {
     "rank_trend": "sales_trend_ratio",
 }
 
+_DESCRIBED = [
+    "source_category_id",
+    "item_name",
+    "current_base_price",
+    "current_base_cost",
+    "is_seasonal",
+    "prep_time_minutes",
+]
+
 
 def _sales(snap: Snapshot, keys: list[str], orders: OrderRules) -> DataFrame:
     """Sales, customers, repeat customers and trend from one pass over the lines.
@@ -108,7 +117,7 @@ def _item_stats(
     )
     stats = _sales(snap, keys, orders).join(waste, keys, "left").join(ratings, keys, "left")
     moved = F.col("total_quantity") + F.col("waste_quantity")
-    stats = (
+    return (
         stats.withColumns(
             {
                 "waste_quantity": F.coalesce("waste_quantity", F.lit(0.0)),
@@ -128,20 +137,13 @@ def _item_stats(
             }
         )
     )
-    stats = attach(
-        stats,
-        snap.menu_items,
-        ITEM,
-        [
-            "source_category_id",
-            "item_name",
-            "current_base_price",
-            "current_base_cost",
-            "is_seasonal",
-            "prep_time_minutes",
-        ],
-    )
-    return attach(stats, snap.menu_categories, "source_category_id", ["category_name"])
+
+
+def _described(df: DataFrame, snap: Snapshot) -> DataFrame:
+    """Rows with their item's name, prices and category, which the menu already holds together."""
+    items = attach(snap.menu_items, snap.menu_categories, "source_category_id", ["category_name"])
+    found = attach(df, items, ITEM, [*_DESCRIBED, "category_name"])
+    return found.select("source_category_id", *[c for c in found.columns if c != "source_category_id"])
 
 
 def menu_performance(
@@ -152,7 +154,8 @@ def menu_performance(
     scale: ScaleRules = ScaleRules(),
 ) -> DataFrame:
     keys = [RESTAURANT, ITEM] if by_restaurant else [ITEM]
-    ranked = percent_ranks(_item_stats(snap, keys, rules, orders), _RANKED, keys, scale)
+    # ranks leave an item's branches together, for its description and for the divergence below
+    ranked = _described(percent_ranks(_item_stats(snap, keys, rules, orders), _RANKED, keys, scale, [ITEM]), snap)
 
     def pct(name: str):
         return F.col(name) * 100.0

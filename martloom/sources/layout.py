@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
-from martloom.sources.staging import stage
+from martloom.sources.staging import own_shuffles, stage
 
 Range = tuple[object | None, object | None]
 BITS = 6
@@ -47,15 +47,22 @@ def _step(number: Column, edges: Sequence[float]) -> Column:
 
 
 def write_filterable(
-    df: DataFrame, path: str, columns: Sequence[str], files: int | None = None, row_group_bytes: int = 16 << 20, bits: int = BITS
+    df: DataFrame,
+    path: str,
+    columns: Sequence[str],
+    files: int | None = None,
+    row_group_bytes: int = 16 << 20,
+    bits: int = BITS,
+    stored: bool = False,
 ) -> None:
     """Write df to Parquet in the interleaved order of the columns.
 
     `files` tasks write a range of the order each, or as many as the size of df asks for. The quantiles that cut a column are at
     most 2 ** bits numbers, with 1 % of the rows as error: they shape the layout, no result
-    depends on them. NULLs come first.
+    depends on them. NULLs come first. df is read three times, so it is staged first unless it
+    is a `stored` table already.
     """
-    rows = stage(df, "layout")
+    rows = df if stored else stage(df, "layout")
     numbers = {c: _number(rows, c) for c in columns}
     bounds = rows.select(*(n.alias(c) for c, n in numbers.items())).approxQuantile(
         list(columns), [i / (1 << bits) for i in range(1, 1 << bits)], 0.01
@@ -67,7 +74,8 @@ def write_filterable(
     placed = rows.withColumn(key, interleaved(steps, bits))
     dealt = placed.repartitionByRange(key) if files is None else placed.repartitionByRange(files, key)
     ordered = dealt.sortWithinPartitions(key)
-    ordered.drop(key).write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+    with own_shuffles(rows.sparkSession):
+        ordered.drop(key).write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def within(ranges: Mapping[str, Range]) -> Column:

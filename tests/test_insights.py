@@ -255,3 +255,16 @@ def test_layout_and_postings_have_as_many_files_as_their_size_asks_for(spark, tm
         assert rows is None or stored.count() == rows
     found = search.search(df, spark.read.parquet(str(tmp_path / "p")), ["id"], ["name"], "H 123")
     assert found.count() == df.where("name LIKE '%h 123%'").count() > 0
+
+
+def test_menu_ranges_leave_only_the_stored_mart(spark, small_dir):
+    import os
+
+    from martloom.catalog.insights import insights
+    from martloom.sources.staging import staging_root
+
+    root = staging_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    found = insights()["menu_ranges"](spark, small_dir)
+    assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"menu"}
+    assert found.count() == len(found.collect())

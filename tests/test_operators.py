@@ -362,6 +362,29 @@ def test_frequent_values_meet_their_ranks_without_a_shuffle(spark):
         assert joins >= {0: 0, 10: 1, 1_000: 2}[bound]
 
 
+def test_rows_meet_their_ranks_in_one_shuffle(spark):
+    rows = [(i % 4, i // 4 if i < 396 else None, f"n{i}", float(i * 7 % 100), (i * 31 % 400) * 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "branch int, item int, name string, a double, b double")
+    columns = {"ra": "a", "rb": "b"}
+    scale = ScaleRules(one_task_rows=0, broadcast_values=0)
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = percent_ranks(df, columns, ["branch", "item"], scale, ["item"])
+        got = got.withColumn("best", F.max("ra").over(Window.partitionBy("item")))
+        items = got.join(df.groupBy("item").count(), "item", "left")
+        found = items.collect()
+        # rows and ranks by item once, the counts once: no shuffle for the window or the join
+        assert items._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ") <= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    one = percent_ranks(df, columns, ["branch", "item"])
+    assert got.columns == [*one.columns, "best"]
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, got.drop("best").collect())) == sorted(map(key, one.collect()))
+    assert len(found) == 400
+
+
 def test_tasks_stay_small_however_much_data_there_is(spark):
     tuned = session.tune(spark)
     assert tuned.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"

@@ -171,6 +171,39 @@ def test_operational_flags(dirty):
     assert rows["ITEM-00000005"]["flag_negative_margin"]
 
 
+def shuffle_files(spark):
+    """How many shuffle files lie on the disks of this session."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).isShuffle() for i in range(blocks.size()))
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    import os
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from martloom.sources.staging import stage, stage_result, staging_root, staging_scope
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(setting), shuffle_files(spark)
+    grouped = [spark.range(1_000).groupBy((F.col("id") % n).alias("k")).count() for n in (7, 11, 13, 17)]
+    root = staging_root(spark).removeprefix("file:")
+    there = set(os.listdir(root))
+    with staging_scope(spark):
+        with ThreadPoolExecutor(4) as pool:
+            staged = list(pool.map(lambda df: stage(df, "grouped"), grouped))
+        last = stage_result(spark, lambda: stage(spark.range(5), "passing").repartition(3, "id"), "last")
+        assert {n.split("-")[0] for n in set(os.listdir(root)) - there} == {"grouped", "last"}
+        tries = 50
+        while shuffle_files(spark) > held and (tries := tries - 1):
+            time.sleep(0.1)
+        assert shuffle_files(spark) <= held
+        assert [df.count() for df in staged] == [7, 11, 13, 17]
+        assert sorted(r.id for r in last.collect()) == [0, 1, 2, 3, 4]
+    assert not {n for n in set(os.listdir(root)) - there if n.startswith("last")}
+    assert spark.conf.get(setting) == before
+
+
 def test_staged_tables_go_with_their_scope(spark, tmp_path):
     import os
 
