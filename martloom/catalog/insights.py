@@ -127,7 +127,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "menu")
     with staging_scope(spark):
         dated = {"last_order_date": F.to_date("last_order_date")}
-        mart = stage_result(spark, lambda: menu.menu_performance(snap).withColumns(dated), "mart")
+        mart = stage_result(spark, lambda: menu.menu_performance(snap).withColumns(dated), "mart", "zstd")
         write_filterable(mart, path, list(MENU_RANGES), stored=True)
     ranges = MENU_RANGES | {"last_order_date": (F.to_date(F.lit("1999-01-01")), None)}
     return read_filtered(spark, path, ranges, MENU_COLUMNS)

@@ -16,6 +16,8 @@ from martloom.config import ScaleRules
 from martloom.sources.staging import stage, stage_result
 
 _ROW_BITS = 33
+# sorted values and counts take much less room so
+_CODEC = "zstd"
 
 
 def _long_form(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
@@ -36,6 +38,7 @@ def _placed(ordered: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
         .withColumn("part", F.shiftright("place", _ROW_BITS))
         .withColumn("row", F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))),
         "ranked",
+        _CODEC,
     )
     parts = staged.groupBy("part").agg(F.sum(weight).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,8 +48,8 @@ def _placed(ordered: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
     return staged, offsets
 
 
-def _value_shares(base: DataFrame, names: list[str], rows: int) -> DataFrame:
-    """The percent_rank of every different value of every named column."""
+def _rows_below(base: DataFrame, names: list[str], rows: int) -> DataFrame:
+    """How many rows lie below every different value of every named column."""
     counts = _long_form(base, names, []).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("held"))
     staged, offsets = _placed(counts.orderBy("metric", "value"), F.col("held"))
     earlier = (
@@ -57,29 +60,30 @@ def _value_shares(base: DataFrame, names: list[str], rows: int) -> DataFrame:
         + F.coalesce(F.sum("held").over(earlier), F.lit(0))
         - F.col("metric") * F.lit(rows)
     )
-    return staged.join(F.broadcast(offsets), "part").select(
-        "metric", "value", (below / F.lit(float(max(rows - 1, 1)))).alias("share")
-    )
+    return staged.join(F.broadcast(offsets), "part").select("metric", "value", below.alias("below"))
 
 
-def _with_shares(
+def _with_cells(
     base: DataFrame, cells: DataFrame, key: list[str], outputs: list[str], together: list[str]
 ) -> DataFrame:
-    """base with the shares of its cells, `outputs` by metric number, in one shuffle of both."""
+    """base with the counts of its cells, `outputs` by metric number, in one shuffle of both.
+
+    A count takes half the bytes of the share that it gives.
+    """
     row = "row"
     while row in {c.lower() for c in (*key, *outputs)}:
         row = f"_{row}"
     rest = [c for c in base.columns if c not in key]
     whole = F.struct(F.lit(True).alias("known"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    rows = base.select(*key, whole.alias(row), *[F.lit(None).cast("double").alias(o) for o in outputs])
-    shares = cells.select(
+    rows = base.select(*key, whole.alias(row), *[F.lit(None).cast("long").alias(o) for o in outputs])
+    counts = cells.select(
         *key,
         F.lit(None).cast(rows.schema[row].dataType).alias(row),
-        *[F.when(F.col("metric") == j, F.col("share")).alias(o) for j, o in enumerate(outputs)],
+        *[F.when(F.col("metric") == j, F.col("below")).alias(o) for j, o in enumerate(outputs)],
     )
     order = [*together, *[k for k in key if k not in together]]
     merged = (
-        rows.unionAll(shares)
+        rows.unionAll(counts)
         .repartition(*together)
         .groupBy(*order)
         .agg(F.first(row, ignorenulls=True).alias(row), *[F.max(o).alias(o) for o in outputs])
@@ -104,7 +108,7 @@ def percent_ranks(
     by the key or by those of its columns that `together` names: a later join, group or window
     by these needs no shuffle of its own.
     """
-    base = stage(df, "rank-input")
+    base = stage(df, "rank-input", _CODEC)
     n = base.count()
     names = list(columns.values())
     if n <= scale.one_task_rows:
@@ -115,7 +119,8 @@ def percent_ranks(
             }
         )
     spark = base.sparkSession
-    ranks = stage_result(spark, lambda: _value_shares(base, names, n), "ranks")
+    ranks = stage_result(spark, lambda: _rows_below(base, names, n), "ranks", _CODEC)
+    share = lambda below: F.col(below) / F.lit(float(max(n - 1, 1)))
     sizes = {r["metric"]: r["count"] for r in ranks.groupBy("metric").count().collect()}
     few = [i for i in range(len(names)) if sizes[i] <= scale.broadcast_values]
     many = [i for i in range(len(names)) if i not in few]
@@ -129,13 +134,14 @@ def percent_ranks(
             large.alias("r"),
             (F.col("c.metric") == F.col("r.metric")) & F.col("c.value").eqNullSafe(F.col("r.value")),
         )
-        met = stage(ranked.select(*[F.col(f"c.{k}").alias(k) for k in key], "c.metric", "r.share"), "cell-ranks")
-        out = _with_shares(base, met, key, [outputs[i] for i in many], together or key)
+        met = stage(ranked.select(*[F.col(f"c.{k}").alias(k) for k in key], "c.metric", "r.below"), "cell-ranks", _CODEC)
+        out = _with_cells(base, met, key, [outputs[i] for i in many], together or key)
+        out = out.withColumns({outputs[i]: share(outputs[i]) for i in many})
     if few:
         small = stage(ranks.filter(F.col("metric").isin(*few)), "few-ranks")
         for i in few:
             mine = small.filter(F.col("metric") == i).select(
-                F.col("value").alias("_value"), F.col("share").alias(outputs[i])
+                F.col("value").alias("_value"), share("below").alias(outputs[i])
             )
             same = F.col(names[i]).cast("double").eqNullSafe(F.col("_value"))
             out = out.join(F.broadcast(mine), same, "inner").drop("_value")
